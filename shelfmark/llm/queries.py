@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm import language_id, packing, toxicity
 from shelfmark.llm.decontaminate import contamination
 from shelfmark.llm.exact_dedup import exact_dedup
 from shelfmark.llm.license_scan import RULES, SENTENCES, _as_list, _known, scan_licenses
@@ -27,11 +28,38 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def toxicity_network(docs: DataFrame, labels: DataFrame) -> toxicity.Network | None:
+    """Fitted on the labelled documents outside the held-out fold (crc32 of the identifier modulo 3 is 1)."""
+    known = labels.select(F.col("doc_id").alias("id"), "toxic").filter("toxic is not null")
+    labelled = docs.select("doc_id", "text").filter(language_id.fold(F.col("doc_id"), 3) != 1).join(known, F.col("doc_id") == F.col("id"))
+    return toxicity.fit(labelled.select("doc_id", "text", "toxic"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity_network(docs, _table(spark, sf_dir, "labels")))
+    held_out = (language_id.fold(F.col("doc_id"), 3) == 1).alias("held_out")
+    return out.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(language_id.fold(F.col("doc_id"), 3) != 1))
+    out = language_id.identify(docs, model)
+    return out.select("doc_id", (language_id.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -39,7 +67,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_license_scan, op5_sharding, op8_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_license_scan, op4_toxicity, op5_sharding, op6_packing, op7_language_id, op8_decontamination)}
 
 _RULE_SQL = ", ".join(
     "case when "
