@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from shelfmark.llm import language_id, packing, toxicity
 from shelfmark.llm.decontaminate import contamination
 from shelfmark.llm.exact_dedup import exact_dedup
+from shelfmark.llm.jaccard_join import near_duplicates
+from shelfmark.llm.language_model import score as score_texts
 from shelfmark.llm.license_scan import RULES, SENTENCES, _as_list, _known, scan_licenses
 from shelfmark.llm.sharding import shard_documents
+from shelfmark.llm.substring_dedup import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +24,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_licenses(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -67,7 +74,25 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_license_scan, op4_toxicity, op5_sharding, op6_packing, op7_language_id, op8_decontamination)}
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(language_id.fold(F.col("doc_id"), 7) == 2, F.lit(False))
+    out = score_texts(docs, docs.filter(~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_jaccard_join, op3_license_scan, op4_toxicity, op5_sharding,
+        op6_packing, op7_language_id, op8_decontamination, op9_lm_scoring, op10_substring_dedup,
+    )
+}
 
 _RULE_SQL = ", ".join(
     "case when "

@@ -258,12 +258,18 @@ def fit(labelled: DataFrame, per_class: int = 2500) -> Network | None:
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
     """``doc_id, score`` per document, over all windows of the whole text."""
+    return score_rows(docs.select("doc_id", "text"), net).select("doc_id", F.col("toxicity").alias("score"))
+
+
+def score_rows(docs: DataFrame, net: Network | None) -> DataFrame:
+    """``docs`` with the score of each row's ``text`` as ``toxicity``."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # about 0.6 MB, fixed by BUCKETS, EMBED and HIDDEN
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         net = shared.value
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["text"]]
+            texts = [t if isinstance(t, str) else "" for t in b]
             out, i = np.zeros(len(texts)), 0
             while i < len(texts) and net is not None:
                 j, size = i, 0
@@ -272,6 +278,6 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
                     j += 1
                 out[i:j] = net.score(text_logits(net, [words_of(t) for t in texts[i:j]]))
                 i = j
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": out})
+            yield pd.Series(out)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return docs.withColumn("toxicity", run("text"))
