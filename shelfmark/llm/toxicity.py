@@ -149,18 +149,21 @@ class Network:
                 g["i" + d] += dg.sum(0)
                 dx[t] += dg @ self.p["x" + d].T
                 dh = dh * (1 - m * (1 - z)) + drec @ w.T
-        per_word = np.zeros((len(inputs) + 1, 2 * EMBED), np.float32)
-        np.add.at(per_word, part, dx)
-        per_word = per_word[:-1]
-        np.add.at(g["words"], vocabulary.word, per_word[:, :EMBED])
+        per_word = _summed(part.ravel() + 1, dx.reshape(-1, 2 * EMBED), len(inputs) + 1)[1:]
+        g["words"] = _summed(vocabulary.word, per_word[:, :EMBED], BUCKETS)
         share = per_word[:, EMBED:] / vocabulary.size[:, None]
-        np.add.at(g["chars"], vocabulary.grams, np.repeat(share, vocabulary.size, axis=0))
+        g["chars"] = _summed(vocabulary.grams, np.repeat(share, vocabulary.size, axis=0), BUCKETS)
         return g, loss
 
     def score(self, logit: np.ndarray) -> np.ndarray:
         return _sigmoid(np.clip(self.scale * logit + self.shift, -30, 30))
 
 
+def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the values that fall on each row."""
+    return np.stack([np.bincount(rows, v, minlength=size) for v in values.T], 1).astype(np.float32)
+
+
 def _ranges(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
@@ -185,19 +188,19 @@ def train(windows: list[list[list[str]]], toxic: np.ndarray, steps: int = 600, b
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     weight_of = np.where(toxic > 0, len(toxic) / (2 * max(1, toxic.sum())), len(toxic) / (2 * max(1, (1 - toxic).sum()))).astype(np.float32)
     step, rounds = 0, 12
-    passes = max(1, -(-steps * batch // (rounds * max(1, len(windows)))))
     for n in range(rounds):
-        if n < 2:
+        if n < rounds // 2:
             order = np.lexsort((r.random(len(owner)), owner))
-            most = 3
+            most = 8
         else:
             order = np.lexsort((-net.logits(vocabulary.inputs(net), index), owner))
-            most = 1
+            most = 2
         starts = np.searchsorted(owner, np.arange(len(windows)))
         rank = np.empty(len(owner), int)
         rank[order] = np.arange(len(owner)) - starts[owner[order]]
         chosen = np.flatnonzero(rank < most)
-        chosen = np.concatenate([r.permutation(chosen) for _ in range(passes)])
+        passes = max(1, -(-steps * batch // (rounds * len(chosen))))
+        chosen = np.concatenate([r.permutation(chosen) for _ in range(passes)])[: max(steps * batch // rounds, min(len(chosen), 2 * steps * batch // rounds))]
         for i in range(0, len(chosen), batch):
             rows = chosen[i : i + batch]
             used, local = np.unique(index[rows], return_inverse=True)
