@@ -11,9 +11,11 @@ no rows; a null identifier is kept as null; further columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,34 +38,60 @@ class Encoder:
     and each distinct piece is encoded once.
     """
 
-    def __init__(self, path: str, closing_id: int = 1, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, closing_id: int = 1, most: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.memo = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.pieces: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
         self.closing = closing_id.to_bytes(4, "little")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    @staticmethod
+    def _stem(piece: str) -> tuple[str, str]:
+        """The piece in lower case and the full stop or comma after its last letter: their ids follow each other."""
+        if "\u03a3" not in piece and unicodedata.is_normalized("NFC", piece):
+            piece = piece.lower()
+            if piece[-1] in ".," and piece[:-1].isalpha():
+                return piece[:-1], piece[-1]
+        return piece, ""
+
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.pieces) + len(pieces) > self.most:
+            self.pieces, self.stems = {}, {}
+        split = [self._stem(p) for p in pieces]
+        new = list({s: None for pair in split for s in pair if s not in self.stems and s})
+        for i in range(0, len(new), 20_000):
+            self.stems.update(zip(new[i : i + 20_000], self._whole(new[i : i + 20_000]), strict=True))
+        self.stems[""] = b""
+        self.pieces.update((p, self.stems[a] + self.stems[b]) for p, (a, b) in zip(pieces, split, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.memo) > self.most:
-            self.memo = {}
-        pieces, new = [], {}
+        split = []
         for text in texts:
             text = text or ""
             odd = any(c in text for c in _ODD_ASCII) or not text.isascii() and any(c in text for c in _ODD_WIDE)
-            own = [text] if odd else text.split()
-            pieces.append(own)
-            new.update((p, None) for p in own if p not in self.memo)
-        words = list(new)
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            self.memo.update(zip(part, self._whole(part), strict=True))
-        out = [b"".join([*map(self.memo.__getitem__, own), self.closing]) for own in pieces]
-        for w in words:
-            if len(w) > 64:
-                del self.memo[w]
-        return out
+            split.append([text] if odd else text.split())
+        new = list({p: None for own in split for p in own if p not in self.pieces and p})
+        if new:
+            if len(self.pieces) + len(new) > self.most:  # known ones go too, so all are learned again
+                new = list({p: None for own in split for p in own if p})
+            self._learn(new)
+        self.pieces[""] = b""
+        return [b"".join([*map(self.pieces.__getitem__, own), self.closing]) for own in split]
+
+
+#: One encoder for each vocabulary and worker process, so that later tasks find known pieces.
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, closing_id: int) -> Encoder:
+    if (path, closing_id) not in _ENCODERS:
+        _ENCODERS[path, closing_id] = Encoder(path, closing_id)
+    return _ENCODERS[path, closing_id]
 
 
 class Packer:
@@ -153,13 +181,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, open_windows: int
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part = Encoder(tokenizer, closing_id), TaskContext.get().partitionId()
+        part, encode = TaskContext.get().partitionId(), encoder(tokenizer, closing_id).encode
         packer = Packer(window, open_windows, _first_id(0, part), part)
         for b in batches:
             ids_of = b["doc_id"].astype("Int64").tolist()
             texts = b["text"].tolist()
             for i in range(0, len(texts), 500):
-                for doc, ids in zip(ids_of[i : i + 500], encoder.encode([t if isinstance(t, str) else None for t in texts[i : i + 500]]), strict=True):
+                for doc, ids in zip(ids_of[i : i + 500], encode([t if isinstance(t, str) else None for t in texts[i : i + 500]]), strict=True):
                     packer.add(None if doc is pd.NA else doc, 0, len(ids) // 4, ids)
             yield packer.take()
         packer.leave()
