@@ -17,7 +17,7 @@ def size_text(size: Column) -> Column:
 
 
 def offset_text(seconds: Column) -> Column:
-    """Signed ``XhYm``, ``XmYs`` or ``Xs``; null stays null."""
+    """Signed ``XhYm``, ``XmYs`` or ``Xs``; a dash for null."""
     sign, a = F.when(seconds >= 0, "+").otherwise("-"), F.abs(seconds)
     div = lambda x, n: F.floor(x / n).cast("long")
     text = (
@@ -25,11 +25,12 @@ def offset_text(seconds: Column) -> Column:
         .when(a >= 60, F.format_string("%dm%ds", div(a, 60), (a % 60).cast("long")))
         .otherwise(F.format_string("%ds", a.cast("long")))
     )
-    return F.when(seconds.isNotNull(), F.concat(sign, text))
+    return F.when(seconds.isNull(), "-").otherwise(F.concat(sign, text))
 
 
-def coordinate_text(degrees: Column) -> Column:
-    return F.when(degrees.isNotNull(), F.format_string("%.6f", degrees))
+def coordinate_text(lat: Column, lng: Column) -> Column:
+    """Both coordinates with six decimals; a dash if one is null."""
+    return F.when(lat.isNull() | lng.isNull(), "-").otherwise(F.format_string("%.6f, %.6f", lat, lng))
 
 
 def to_dms(degrees: Column, positive: str, negative: str) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Extensions by class.
-IMAGE = [".jpg", ".jpeg", ".png", ".gif", ".bmp", ".webp", ".heic", ".heif", ".tiff", ".tif"]
-VIDEO = [".mp4", ".mov", ".avi", ".mkv", ".wmv", ".flv", ".webm", ".m4v", ".3gp"]
-RAW = [".raw", ".cr2", ".cr3", ".nef", ".arw", ".dng", ".orf", ".rw2"]
+IMAGE = [".jpg", ".jpeg", ".png", ".heic", ".heif", ".webp", ".avif", ".bmp", ".tiff", ".tif", ".gif"]
+VIDEO = [".mp4", ".mov", ".avi", ".mkv", ".wmv", ".flv", ".webm", ".m4v", ".3gp", ".mts", ".m2ts"]
+RAW = [".cr2", ".cr3", ".nef", ".arw", ".orf", ".rw2", ".dng", ".raf"]
 
 
 def file_name(path: Column) -> Column:
@@ -17,7 +17,7 @@ def file_name(path: Column) -> Column:
 
 def extension(name: Column) -> Column:
     """Lower-case last suffix with its dot; null where there is none, also for ``.bashrc`` and for a closing dot."""
-    return F.lower(F.nullif(F.regexp_extract(name, r"^.*[^.].*?(\.[^.]+)$|^[^.](\.[^.]+)$", 1), F.lit("")))
+    return F.lower(F.nullif(F.regexp_extract(name, r"^.*[^.](\.[^.]+)$", 1), F.lit("")))
 
 
 def relative_path(path: Column, root: Column) -> Column:

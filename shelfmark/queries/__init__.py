@@ -1,4 +1,6 @@
 """Registered queries and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from shelfmark.queries import catalog, learning, timeline
+
+QUERIES = catalog.QUERIES | timeline.QUERIES | learning.QUERIES
+ORACLE_SQL = catalog.ORACLE_SQL | timeline.ORACLE_SQL | learning.ORACLE_SQL
