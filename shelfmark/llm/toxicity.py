@@ -236,10 +236,17 @@ def _calibrate(net: Network, logits: np.ndarray, owner: np.ndarray, toxic: np.nd
     net.scale, net.shift = np.float32(max(beta[0], 0.05)), np.float32(beta[1])
 
 
-def fit(labelled: DataFrame, per_class: int = 2500) -> Network | None:
-    """Fits on columns ``doc_id, text, toxic`` (0 or 1)."""
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = labelled.filter("toxic in (0, 1)").select("doc_id", "toxic", "text").withColumn("n", rank).filter(F.col("n") <= per_class)
+def sample(labels: DataFrame, per_class: int) -> DataFrame:
+    """``id, toxic``: at most ``per_class`` labels of each class, those with the smallest identifier hash."""
+    known = labels.filter("doc_id is not null").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+    one = lambda c: known.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(per_class)
+    return one(0).unionByName(one(1))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Network | None:
+    """Fits on the documents of a sample of ``labels(doc_id, toxic)``, toxic being 0 or 1."""
+    chosen = F.broadcast(sample(labels, per_class))  # at most 2 * per_class rows
+    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
