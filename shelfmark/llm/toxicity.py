@@ -178,8 +178,13 @@ def text_logits(net: Network, texts: list[list[str]]) -> np.ndarray:
 
 
 def train(windows: list[list[list[str]]], toxic: np.ndarray, steps: int = 600, batch: int = 96, rate: float = 0.01, drop: float = 0.15, decay: float = 0.02, seed: int = 3) -> Network:
-    """Multiple-instance training: windows of texts with a label each."""
+    """Multiple-instance training: windows of texts with a label each. One text in five only serves to calibrate."""
     net, r = Network(), np.random.default_rng(seed)
+    apart = np.arange(len(toxic)) % 5 == 4
+    if len(set(toxic[apart])) < 2:
+        apart[:] = False
+    tuned = ([w for w, a in zip(windows, apart, strict=True) if a], toxic[apart]) if apart.any() else (windows, toxic)
+    windows, toxic = [w for w, a in zip(windows, apart, strict=True) if not a], toxic[~apart]
     flat = [w for t in windows for w in t]
     owner = np.repeat(np.arange(len(windows)), [len(t) for t in windows])
     words, index, own = windows_of(flat)
@@ -219,20 +224,22 @@ def train(windows: list[list[list[str]]], toxic: np.ndarray, steps: int = 600, b
                 b += 0.001 * (g[k] ** 2 - b)
                 v *= 1 - pace * decay * (k in ("words", "chars"))
                 v -= (pace * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    _calibrate(net, net.logits(vocabulary.inputs(net), index), owner, toxic)
+    _calibrate(net, *tuned)
     return net
 
 
-def _calibrate(net: Network, logits: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> None:
-    """Scale and shift of the highest window's logit, by Newton steps of a weighted logistic fit."""
+def _calibrate(net: Network, windows: list[list[list[str]]], toxic: np.ndarray) -> None:
+    """Scale and shift of the highest window's logit, by damped Newton steps of a logistic fit."""
+    flat = [w for t in windows for w in t]
+    logits, owner = text_logits(net, flat), np.repeat(np.arange(len(windows)), [len(t) for t in windows])
     top = np.full(len(toxic), -np.inf)
     np.maximum.at(top, owner, logits)
     x = np.stack([top, np.ones_like(top)], 1)
     beta = np.array([0.5, 0.0])
-    for _ in range(30):
+    for _ in range(50):
         p = _sigmoid(np.clip(x @ beta, -30, 30))
-        p_ = p * (1 - p) + 1e-4
-        beta += np.linalg.solve((x * p_[:, None]).T @ x + 0.05 * np.eye(2), x.T @ (toxic - p) - 0.05 * beta)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-3)[:, None]).T @ x + np.diag([1.0, 0.05]), x.T @ (toxic - p) - np.array([1.0, 0.05]) * beta)
+        beta += step / max(1.0, np.abs(step).max())
     net.scale, net.shift = np.float32(max(beta[0], 0.05)), np.float32(beta[1])
 
 
