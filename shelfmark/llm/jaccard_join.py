@@ -127,8 +127,11 @@ def _alpha(a: Column, b: Column, num: int, den: int) -> Column:
     return F.ceil((F.lit(num) * (a + b)) / F.lit(float(num + den)) - F.lit(1e-9))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``src, dst`` whose sets link."""
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The pairs ``src, dst`` whose whole sets link; only the texts of documents in pairs are shingled."""
+    members = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    texts = docs.join(members, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    sets = staged(sets_of(texts, words), "sets")
     a = sets.select(F.col("doc_id").alias("src"), F.col("tokens").alias("a"))
     b = sets.select(F.col("doc_id").alias("dst"), F.col("tokens").alias("b"))
     both = pairs.join(a, "src").join(b, "dst")
@@ -146,7 +149,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     rows = signed.select("doc_id", "n_shingles", "digest")
     filled = signed.filter("n_shingles > 0 and doc_id is not null")
 
-    classes = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("s"), F.count_distinct("doc_id").alias("k"))
+    classes = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("s"))
     reps = classes.select("s.*")
     lists = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     size_order = Window.partitionBy("token").orderBy("n", "doc_id")
@@ -160,17 +163,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     some = lists.select(F.explode(F.array_distinct(F.array("head", "before"))).alias("o"), "doc_id", "n")
     some = some.filter("o is not null and o.doc_id != doc_id").select(F.col("o.doc_id").alias("src"), F.col("doc_id").alias("dst"), F.col("o.n").alias("a"), F.col("n").alias("b"))
-    some = staged(some.filter(F.least("a", "b") * den >= F.greatest("a", "b") * num).select("src", "dst").distinct(), "first-pairs")
-    members = lists.select("doc_id").distinct()
-    sets = staged(sets_of(docs.join(members, "doc_id").dropDuplicates(["doc_id"]), words), "sets")
-    links = staged(_verified(some, sets, num, den), "links")
+    some = some.filter(F.least("a", "b") * den >= F.greatest("a", "b") * num).groupBy("src", "dst").agg(F.count("*").alias("k"))
+    some = staged(some.filter("k >= 2").select("src", "dst"), "first-pairs")  # the rest is left to the second pass
+    links = staged(_verified(some, docs, words, num, den), "links")
     component = staged(connected_components(links), "first-components")
 
     pairs = staged(_across(lists, component, num, den), "more-pairs")
-    links = links.unionByName(_verified(pairs, sets, num, den))
+    links = links.unionByName(staged(_verified(pairs, docs, words, num, den), "more-links"))
     component = connected_components(links)
 
-    to_rep = classes.select("digest", F.col("s.doc_id").alias("rep"))
+    to_rep = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     out = rows.join(to_rep.join(component, F.col("rep") == F.col("node"), "left").drop("node"), "digest", "left")
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
