@@ -12,7 +12,8 @@ document) is removed; strings are judged on the input and never cross documents.
    suffixes, cut at ``LENGTH`` bytes since deeper order is of no matter, are grouped, and in each group of equal ones all
    but the earliest in the parse are repeats.
 
-Step 3 runs in blocks of whole triggers; a trigger with more than ``FEW`` phrases is spread over the cluster by suffix.
+Step 3 runs in blocks of whole triggers; for a trigger with more than ``FEW``
+phrases, each task settles the suffixes it meets and the tasks' earliest ones are compared over the cluster.
 Phrases and suffixes are compared by 64-bit hashes on top of the trigger's.
 
 Defined results: null and empty texts have no bytes; rows with one doc_id are one document (a byte repeated only between
@@ -178,7 +179,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(per, "doc").select("doc", "text", "wanted").mapInPandas(run, "trigger long, doc long, place long, bytes binary")
 
 
-def _suffixes(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _suffixes(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, hash, and start (in the document) of every string of ``LENGTH`` bytes in each phrase, bound to its trigger and offset."""
     place = b["place"].to_numpy(np.int64)
     left, size = (place >> 8) & 255, ((place >> 8) & 255) + (place & 255)
@@ -189,22 +190,24 @@ def _suffixes(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     h = Hashed(raw).of(begin[row] + shift, begin[row] + shift + LENGTH)
     offset = (left[row] - shift).astype(np.uint64)
-    return row, _mix(h + b["trigger"].to_numpy(np.int64).astype(np.uint64)[row] * np.uint64(31) + offset), (place >> 16)[row] - left[row] + shift, offset
+    return row, _mix(h + b["trigger"].to_numpy(np.int64).astype(np.uint64)[row] * np.uint64(31) + offset), (place >> 16)[row] - left[row] + shift
 
 
-def _repeats_in(b: pd.DataFrame) -> pd.DataFrame:
-    row, key, start, _ = _suffixes(b)
+def _settled(b: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Among some phrases: the earliest place of each suffix (``key, doc, lo``), and the ranges of all others (``doc, lo, hi``)."""
+    row, key, start = _suffixes(b)
     doc = b["doc"].to_numpy(np.int64)[row]
     order = np.lexsort((start, doc, key))
     key, start, doc = key[order], start[order], doc[order]
     new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     again = (doc != doc[head]) | (start != start[head])
-    out = pd.DataFrame({"doc": doc[again], "lo": start[again]}).sort_values(["doc", "lo"], kind="stable")
-    own, lo = out["doc"].to_numpy(), out["lo"].to_numpy()
+    first = pd.DataFrame({"key": key[new].astype(np.int64), "doc": doc[new], "lo": start[new], "hi": np.int64(0)})
+    order = np.lexsort((start[again], doc[again]))
+    own, lo = doc[again][order], start[again][order]
     new = np.concatenate(([True], (own[1:] != own[:-1]) | (lo[1:] > lo[:-1] + LENGTH))) if len(own) else np.zeros(0, bool)
     ends = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(own) - 1])) if len(own) else np.zeros(0, int)
-    return pd.DataFrame({"doc": own[new], "lo": lo[new], "hi": lo[ends] + LENGTH})
+    return first, pd.DataFrame({"doc": own[new], "lo": lo[new], "hi": lo[ends] + LENGTH})
 
 
 def _repeats(contexts: DataFrame) -> DataFrame:
@@ -220,23 +223,25 @@ def _repeats(contexts: DataFrame) -> DataFrame:
             if whole is None or not whole.any():
                 rest = b
                 continue
-            yield _repeats_in(b[whole])
+            yield _settled(b[whole])[1]
             rest = b[~whole]
         if rest is not None and len(rest):
-            yield _repeats_in(rest)
+            yield _settled(rest)[1]
 
     near = few.repartition("trigger").sortWithinPartitions("trigger").mapInPandas(blocks, "doc long, lo long, hi long")
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            row, key, start, _ = _suffixes(b)
-            yield pd.DataFrame({"key": key.astype(np.int64), "doc": b["doc"].to_numpy(np.int64)[row], "lo": start})
+            first, again = _settled(b)
+            yield first.astype({"key": "Int64"})
+            yield again.assign(key=pd.array([None] * len(again), "Int64"))[["key", "doc", "lo", "hi"]]
 
-    single = contexts.join(many, "trigger", "left_semi").mapInPandas(spread, "key long, doc long, lo long")
-    single = staged(single, "suffixes")
+    settled = contexts.join(many, "trigger", "left_semi").mapInPandas(spread, "key long, doc long, lo long, hi long")
+    settled = staged(settled, "suffixes")
+    single = settled.filter("key is not null").select("key", "doc", "lo")
     first = single.groupBy("key").agg(F.min(F.struct("doc", "lo")).alias("first"))
     far = single.join(first, "key").filter("not (doc = first.doc and lo = first.lo)").select("doc", "lo", (F.col("lo") + LENGTH).alias("hi"))
-    return near.unionByName(far)
+    return near.unionByName(settled.filter("key is null").select("doc", "lo", "hi")).unionByName(far)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

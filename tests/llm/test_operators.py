@@ -1,0 +1,412 @@
+"""Each operator against a brute-force version, with nulls, empty and long texts, ties, repeated rows and extra columns."""
+
+import collections
+import hashlib
+import heapq
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shelfmark.llm import decontaminate, exact_dedup, jaccard_join, language_id, language_model, license_scan, packing, sharding, substring_dedup, toxicity
+
+WORDS = "the of and to in river stone cloud Garden window paper silver answer every little machine thunder quiet yellow harbour".split()
+
+
+def text(r, n):
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Documents with every awkward case; doc_id 7 is there twice."""
+    r = random.Random(5)
+    base = [text(r, 60) for _ in range(8)]
+    out = [(i, b) for i, b in enumerate(base)]
+    for i in range(10, 16):  # near copies: one word of many changed
+        w = base[i % 3].split()
+        w[r.randrange(len(w))] = "CHANGED"
+        out.append((i, " ".join(w)))
+    out += [(20, base[0]), (21, base[0].replace(" ", "\n ")), (22, None), (23, ""), (24, " \t\n"), (25, "Éa é"), (26, "one two"), (27, "one  TWO")]
+    out += [(30, text(r, 9000)), (31, base[1] + "\n" + base[2] + " tail"), (32, "x" * 5000), (33, "ab " * 400)]
+    out += [(7, base[7])]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    extra = [(i, t, "en", "n", "g", 1, 2.0) for i, t in rows]
+    return spark.createDataFrame(extra, "doc_id long, text string, lang string, n string, digest string, size int, token double").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def norm(t):
+    return re.sub(r"[\x20\x09-\x0D]", "", t or "")
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup(docs, rows, weak):
+    """With a digest of one digit nearly all texts collide and must be told apart by their bytes."""
+    digest = (lambda c: F.substring(exact_dedup.sha256_hex(c), 1, 1)) if weak else exact_dedup.sha256_hex
+    got = exact_dedup.exact_dedup(docs, digest, files_per_batch=1).collect()
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[norm(t)].append((-len(t or ""), i))
+    keep = {n: min(g)[1] for n, g in groups.items()}
+    want = sorted((i, keep[norm(t)], len(groups[norm(t)]), i == keep[norm(t)], hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows)
+    assert sorted(tuple(r)[:5] for r in got) == want
+
+
+def test_exact_dedup_continues_from_its_state(spark, tmp_path):
+    schema = "doc_id long, digest string, n_points long, file string, sha string"
+    path, state = str(tmp_path / "prints"), str(tmp_path / "state")
+    spark.createDataFrame([(1, "a", 3, "", None), (2, "b", 3, "", None)], schema).write.parquet(path)
+    exact_dedup.stream_groups(spark, spark.createDataFrame([], schema), path, state, 9).collect()
+    spark.createDataFrame([(0, "a", 3, "", None)], schema).write.mode("append").parquet(path)
+    got = exact_dedup.stream_groups(spark, spark.createDataFrame([], schema), path, state, 9).collect()
+    assert [tuple(r)[:3] for r in got] == [("a", 2, 0)]
+
+
+def shingles(t, k):
+    w = (t or "").encode().translate(jaccard_join._LOWER).split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("k, num, den", [(4, 85, 100), (5, 80, 100), (2, 50, 100)])
+def test_jaccard_components(docs, rows, k, num, den):
+    sets = {i: shingles(t, k) for i, t in rows}
+    comp = {i: i for i in sets}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            common = len(sets[a] & sets[b])
+            if a < b and common and den * common >= num * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                comp[max(x, y)] = min(x, y)
+    got = jaccard_join.near_duplicates(docs, k, num, den).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), find(i)) for i, s in sets.items()}
+    assert len(got) == len(rows)
+
+
+def test_jaccard_across_components(spark):
+    """Random sets close to the threshold, so that links are found in the second pass too."""
+    r = random.Random(1)
+    texts = []
+    for g in range(12):
+        base = [f"w{g}x{k}" for k in range(40)]
+        for _ in range(8):
+            w = list(base)
+            for _ in range(r.randrange(1, 4)):
+                w[r.randrange(40)] = f"z{r.random()}"
+            texts.append(" ".join(w))
+    sets = [shingles(t, 3) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            c = len(sets[a] & sets[b])
+            if 100 * c >= 70 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in jaccard_join.near_duplicates(df, 3, 70, 100).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) > 12
+
+
+def test_license_scan(spark):
+    texts = [
+        "Hello.\nLicensed under the Apache License, Version 2.0.",
+        "LICENSED under the apache license, version 2.0 (the License); \nYou may not use this file except in compliance with the License.\nother\nYou may obtain a copy of the License at",
+        "You may obtain a copy of the License at\nnothing", None, "", "All rights reserved. Released under the MIT License! More.",
+        "Licensed under the Apache License, Version 2.0 only here.",
+    ]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, licenses string")
+    got = {r.doc_id: (list(r.sentence_ids), list(r.licenses)) for r in license_scan.scan_licenses(df).collect()}
+    assert got == {0: ([1], ["Apache-2.0"]), 1: ([2, 3, 4], ["Apache-2.0"]), 2: ([4], []), 3: ([], []), 4: ([], []), 5: ([17, 5], ["MIT", "Proprietary"]), 6: ([], [])}
+
+
+def test_license_rules_are_ordered(spark):
+    df = spark.createDataFrame([(1, "a b.\nc d."), (2, "c d.\na b.")], "doc_id long, text string")
+    got = license_scan.scan_licenses(df, {1: "a b.", 2: "c d."}, [("One", [1]), ("Both", [1, 2])]).collect()
+    assert {r.doc_id: list(r.licenses) for r in got} == {1: ["Both"], 2: ["One"]}
+
+
+def test_sharding_is_lpt_on_small_input(docs, rows):
+    got = sharding.shard_documents(docs, shards=4, grain=4096).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    by_text = collections.defaultdict(set)
+    load, sizes = collections.Counter(), collections.Counter()
+    for r in got:
+        t = dict(rows)[r.doc_id] or ""
+        assert r.size == len(t.encode()) + 16 and r.text_crc32 == zlib.crc32(t.encode())
+        by_text[t].add(r.shard)
+        load[r.shard] += r.size
+        sizes[t] += r.size
+    assert all(len(s) == 1 for s in by_text.values())
+    heap = [0] * 4
+    for s in sorted(sizes.values(), reverse=True):
+        heapq.heappush(heap, heapq.heappop(heap) + s)
+    assert max(load.values()) == max(heap)
+    for s in set(load):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_decontamination(spark, docs, rows, joined):
+    r = random.Random(5)
+    base = [text(r, 60) for _ in range(8)]
+    items = [(1, " ".join(base[0].split()[5:20]).upper()), (2, "one, two"), (3, None), (4, "..."), (5, "never seen here at all in any text of these rows"), (2, "one, two")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(docs.dropDuplicates(["doc_id"]), bench, 10, max_set=1 if joined else 1000).collect()
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+    want = {}
+    for i, t in rows:
+        w, hit, found = split(t), set(), set()
+        for item, b in items:
+            b = split(b)
+            k = min(10, len(b))
+            grams = {tuple(b[j : j + k]) for j in range(len(b) - k + 1)} if k else set()
+            for j in range(len(w) - k + 1):
+                if k and tuple(w[j : j + k]) in grams:
+                    hit |= set(range(j, j + k))
+                    found.add(str(item))
+        want[i] = (len(w), len(hit), sorted(found), bool(hit))
+    assert {x.doc_id: (x.n_words, x.n_hit, list(x["items"]), x.contaminated) for x in got} == want
+
+
+def test_decontamination_removal(spark):
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "x y"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "B C")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.remove_documents(df, bench, 2).collect()) == [2, 3]
+    assert {r.doc_id: r.text for r in decontaminate.remove_spans(df, bench, 2).collect()} == {1: "a d e", 2: "x y", 3: None}
+    assert not decontaminate.contamination(df, bench.limit(0), 2).filter("contaminated").count()
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_encoder_equals_the_tokenizer(tokenizer):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer)
+    texts = ["It's A TEST, isn't it? ΑΣ. ΣΑΣ, İx É,", "a b c\x1cd", "éa É,", "12,345. x1, a., .", "'re're 've.", "", "ﬁ Straße. ẞ,", "Ünï,\nx​y", "a" * 300 + ","]
+    encoder = packing.Encoder(tokenizer, most=5)
+    for t in texts + texts:
+        assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids + [1], t
+
+
+def test_packing_round_trip(docs, rows, tokenizer):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer)
+    got = packing.pack(docs, tokenizer, window=256, open_windows=2).collect()
+    ids = [(i, np.array(plain.encode(t or "", add_special_tokens=False).ids + [1], "<u4")) for i, t in rows]
+    assert sum(r.length for r in got) == sum(len(x) for _, x in ids)
+    for i, x in dict(ids).items():
+        copies = sum(k == i for k, _ in ids)
+        own = sorted({(r.start, r.length, r.ids_crc32) for r in got if r.doc_id == i}) if copies == 1 else None
+        if own:
+            assert [s for s, _, _ in own] == [0, *np.cumsum([n for _, n, _ in own])[:-1].tolist()]
+            assert all(zlib.crc32(x[s : s + n].tobytes()) == c for s, n, c in own) and sum(n for _, n, _ in own) == len(x)
+    for s in {r.sequence_id for r in got}:
+        own = sorted((r.offset, r.length) for r in got if r.sequence_id == s)
+        total = sum(n for _, n in own)
+        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1].tolist()] and (total == 256 or total & (total - 1) == 0)
+
+
+def test_packing_merges_many_partitions(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    df = spark.createDataFrame([(i, "word " * (i % 7)) for i in range(40)], "doc_id long, text string").repartition(9)
+    got = packing.pack(df, tokenizer, window=64, open_windows=2).collect()
+    assert sum(r.length for r in got) == sum(i % 7 + 1 for i in range(40)) and {r.doc_id for r in got} == set(range(40))
+
+
+def test_language_id(spark):
+    r = random.Random(2)
+    alphabets = {"aa": "abcdefgh", "bb": "stuvwxyz", "cc": "éèêàçùôî", "dd": "aeioumnr"}
+    make = lambda a: " ".join("".join(r.choice(a) for _ in range(5)) for _ in range(40))
+    rows = [(i, make(alphabets[k]), k) for i in range(80) for k in [list(alphabets)[i % 4]]]
+    rows += [(90, None, "aa"), (91, "", None), (92, "12 34 !", "bb"), (93, make(alphabets["bb"]), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df.filter("doc_id < 40 or doc_id >= 90"))
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language_id.identify(df, model).collect()}
+    assert all(got[i][0] == k for i, _, k in rows[:80]) and got[93][0] == "bb"
+    assert [got[i] for i in (90, 91, 92)] == [("und", 0.0)] * 3
+    assert {x.lang_pred for x in language_id.identify(df, language_id.fit(df.limit(0))).collect()} == {"und"}
+
+
+def test_codewords():
+    for k in (1, 2, 4, 7, 12):
+        code = language_id.codewords(k)
+        assert len({tuple(c) for c in code}) == k and (k < 2 or all((code[i] != code[j]).any() for i in range(k) for j in range(i)))
+
+
+def test_language_model(spark, docs, rows):
+    docs = docs.dropDuplicates(["doc_id"])
+    rows = sorted(dict(rows).items())
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    got = {r.doc_id: r for r in language_model.score(docs, docs.filter(F.col("doc_id").isin(train))).collect()}
+    tokens = {i: [*language_model.tokens_of(t), b"\n"] for i, t in rows}
+    c = collections.Counter(w for i in train for w in tokens[i])
+    n, v = sum(c.values()), len(c)
+    for i, w in tokens.items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
+        assert got[i].base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
+        assert got[i].score < 0
+
+
+def test_suffix_tree_sums_to_one():
+    raw, sizes = language_model.stream_of([language_model.tokens_of(text(random.Random(i), 80)) for i in range(30)])
+    codes, n = np.unique(language_model.grams_of(raw, sizes, 6), return_counts=True)
+    levels = []
+    for d in range(6):
+        k, at = np.unique(codes & np.uint64((1 << (8 * (d + 1))) - 1), return_inverse=True)
+        m = np.bincount(at, n).astype(np.int64)
+        known = (k >> np.uint64(8 * d)) > 0 if d else np.ones(len(k), bool)
+        levels.append((k[known], m[known]))
+    tree = language_model.Tree(levels, 5.0, 1)
+    assert sum(tree.sizes) > 20
+    for context in (b"the o", b"river", b"zzzzz", b"\0\0\0\0\0", b"\n the"):
+        base = np.uint64(int.from_bytes(context, "big")) << np.uint64(8)
+        assert (10 ** tree.log10(base | np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_empty_tree_is_uniform():
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    tree = language_model.Tree([none] * 6, 5.0, 1)
+    assert tree.log10(np.array([65], np.uint64))[0] == pytest.approx(math.log10(1 / 256))
+
+
+def brute_repeats(rows):
+    seen, out = set(), {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        raw = (t or "").encode()
+        mark = bytearray(len(raw))
+        for p in range(len(raw) - 99):
+            s = raw[p : p + 100]
+            if s in seen:
+                mark[p : p + 100] = b"\1" * 100
+            seen.add(s)
+        kept = bytes(b for b, m in zip(raw, mark) if not m)
+        out[i] = (len(raw), len(raw) - len(kept), len(re.findall(b"\1+", bytes(mark))), kept)
+    return out
+
+
+@pytest.mark.parametrize("few", [5000, 1])
+def test_substring_dedup(spark, rows, monkeypatch, few):
+    """With ``FEW`` at 1 the suffixes of shared triggers are spread over the cluster."""
+    monkeypatch.setattr(substring_dedup, "FEW", few)
+    r = random.Random(9)
+    line = text(r, 30)
+    own = dict(rows)
+    own |= {100 + i: f"{text(r, 5 + i)} {line} {text(r, 20)}" for i in range(12)}
+    own[130] = "é" * 90
+    own[131] = "xé" + "é" * 90
+    own[132] = text(r, 15)[:99]
+    own[133] = text(r, 40)[:100]
+    own[134] = own[133]
+    own[135] = "q" * 99
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in substring_dedup.remove_repeats(df).collect()}
+    assert got == brute_repeats(list(own.items()))
+
+
+def test_triggers_cover_every_string():
+    for seed in range(5):
+        raw = np.random.default_rng(seed).integers(0, 3, 700).astype(np.uint8)
+        at = substring_dedup.triggers(substring_dedup.Hashed(raw).all(substring_dedup.GRAM))
+        assert at[0] <= substring_dedup.REACH and (np.diff(at) <= substring_dedup.REACH + 1).all()
+
+
+def test_toxicity_gradients():
+    """Backpropagation against finite differences."""
+    net = toxicity.Network()
+    texts = [["bad", "word", "here"], ["a", "nice", "day", "today"]]
+    words, index, _ = toxicity.windows_of(texts)
+    vocabulary, want, weight = toxicity.Vocabulary(words), np.array([1.0, 0.0], np.float32), np.ones(2, np.float32)
+    grad, _ = net.gradients(vocabulary, index, want, weight)
+    for name in ("u", "v", "att", "xf", "hb", "ib", "words", "chars"):
+        p = net.p[name]
+        at = np.unravel_index(np.abs(grad[name]).argmax(), p.shape)
+        old, step, loss = p[at], 1e-2, []
+        for d in (step, -step):
+            p[at] = old + d
+            loss.append(net.gradients(vocabulary, index, want, weight)[1])
+        p[at] = old
+        assert (loss[0] - loss[1]) / (2 * step) == pytest.approx(float(grad[name][at]), rel=0.1, abs=2e-4), name
+
+
+def test_toxicity_learns_and_finds_the_window(spark):
+    r = random.Random(4)
+    bad = ["vile", "rotten"]
+    rows = []
+    for i in range(420):
+        w = [r.choice(WORDS) for _ in range(r.randrange(20, 120))]
+        for _ in range(2 * (i % 3 == 0)):
+            w[r.randrange(len(w))] = r.choice(bad)
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+    df = spark.createDataFrame([(i, t, 1) for i, t, _ in rows] + [(900, None, 1), (901, "", 1)], "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i < 360] + [(950, 1), (901, None)], "doc_id long, toxic int")
+    net = toxicity.fit(df, labels)
+    got = {x.doc_id: x.score for x in toxicity.score(df, net).collect()}
+    held = [(got[i], y) for i, _, y in rows if i >= 360]
+    assert np.mean([(s >= 0.5) == y for s, y in held]) > 0.85
+    assert 0 <= got[900] <= 1 and got[900] == got[901]
+    assert {x.score for x in toxicity.score(df, toxicity.fit(df, labels.limit(0))).collect()} == {0.0}
+
+
+def test_windows_cover_whole_texts():
+    texts = [[str(i) for i in range(n)] for n in (0, 1, 32, 33, 56, 57, 1000)]
+    words, index, owner = toxicity.windows_of(texts)
+    for t, n in enumerate(len(x) for x in texts):
+        seen = {words[j] for j in index[owner == t].ravel() if j >= 0}
+        assert seen == {str(i) for i in range(n)} and (owner == t).sum() >= 1
+
+
+def test_empty_tables(spark, empty, tokenizer):
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert exact_dedup.exact_dedup(empty).count() == 0
+    assert jaccard_join.near_duplicates(empty).count() == 0
+    assert license_scan.scan_licenses(empty).count() == 0
+    assert toxicity.score(empty, None).count() == 0
+    assert sharding.shard_documents(empty).count() == 0
+    assert packing.pack(empty, tokenizer).count() == 0
+    assert language_id.identify(empty, None).count() == 0
+    assert decontaminate.contamination(empty, bench).count() == 0
+    assert language_model.score(empty, empty).count() == 0
+    assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_null_identifiers(spark, tokenizer):
+    df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_dedup(df).collect()} == {(None, 1), (1, 1), (2, 2)}
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.near_duplicates(df).collect()} == {(None, None), (1, 1), (2, 2)}
+    assert sharding.shard_documents(df).count() == 3
+    assert packing.pack(df, tokenizer).filter("doc_id is null").count() == 1
+    assert decontaminate.contamination(df, bench).filter("contaminated").count() == 2
+    assert language_model.score(df, df).count() == 3
+    assert {r.doc_id for r in substring_dedup.remove_repeats(df).collect()} == {None, 1, 2}
