@@ -1,8 +1,10 @@
 """Every registered query of the library against its SQL equivalent in DuckDB, on the smallest given tables."""
 
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from shelfmark.queries import ORACLE_SQL, QUERIES
@@ -21,7 +23,9 @@ def duck():
 
 def rows(df):
     def cell(v):
-        return None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else str(v)
+        if pd.isna(v):
+            return None
+        return round(float(v), 6) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
     return sorted((tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
