@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.functions.fingerprint import ring_hash, unit_length
+from shelfmark.functions.fingerprint import difference_hash, ring_hash, unit_length
 from shelfmark.operators import dedup, paging, prefs, similar, stats
 from shelfmark.plans import actions
 from shelfmark.queries import recipes as r
@@ -18,6 +18,13 @@ def _hashes(s, d):
     return r.table(s, d, "embeddings").select(F.lit(1).cast("long").alias("task_id"), F.col("vec_id").alias("file_id"), ring_hash(F.col("embedding")).alias("h"))
 
 
+def difference_hashes(s, d):
+    """Bits of 8 x 9 grids made from the vectors."""
+    pixel = lambda i: F.floor(F.get("embedding", i % 64) * F.lit(1000.0)).cast("int") + F.floor(i / 64).cast("int")
+    grid = F.transform(F.sequence(F.lit(0), F.lit(71)), pixel)
+    return r.table(s, d, "embeddings").select("vec_id", F.lpad(F.bin(difference_hash(grid)), 64, "0").alias("bits"))
+
+
 def sim_pairs(s, d):
     return similar.edges(_hashes(s, d), 16).select("src", "dst", "distance")
 
@@ -165,12 +172,14 @@ _TIER = "case when ai_confidence >= 0.8 then 'high' when ai_confidence >= 0.3 th
 _WRONG = "coalesce(user_label != ai_prediction, false)"
 
 QUERIES = {f.__name__: f for f in (
-    sim_pairs, sim_groups, threshold_sweep, sim_groups_filtered, dup_summary, unit_vectors, label_stats, training_set, stratified_split, review_page, uncertain_first,
+    difference_hashes, sim_pairs, sim_groups, threshold_sweep, sim_groups_filtered, dup_summary, unit_vectors, label_stats, training_set, stratified_split, review_page, uncertain_first,
     review_join, effective_label_stats, ai_delete_plan, ai_delete_freed, ai_delete_rest, label_upsert, prediction_upsert, model_metrics, train_score,
     model_registry, model_rollback,
 )}
 
 ORACLE_SQL = {
+    "difference_hashes": """with p as (select vec_id, [cast(floor(embedding[i % 64 + 1] * 1000.0::double) as int) + i // 64 for i in range(72)] as p from embeddings)
+        select vec_id, array_to_string([case when p[i + i // 8 + 1] > p[i + i // 8 + 2] then '1' else '0' end for i in range(64)], '') as bits from p""",
     "sim_pairs": f"with reps as ({_REPS}) {_PAIRS % 16}",
     "sim_groups": f"{_closure(16)} select group_id, file_id from grp",
     "threshold_sweep": " union all ".join(f"(select * from ({_closure(t)} select '{n}' as level, {t} as threshold, count(distinct group_id) as groups, count(*) as files from grp))" for n, t in LEVELS.items()),
