@@ -90,9 +90,10 @@ class Model:
 
 def fit(labelled: DataFrame, per_language: int = 500) -> Model | None:
     """Fits on columns ``doc_id, text, lang``; rows without a language or a text are left out."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = labelled.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
-    rows = rows.withColumn("n", rank).filter(F.col("n") <= per_language)
+    known = labelled.filter("lang is not null and text is not null").select(F.col("doc_id").alias("id"), F.col("lang").alias("own"))
+    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.xxhash64("id"), "id"))
+    chosen = F.broadcast(known.withColumn("n", rank).filter(F.col("n") <= per_language))  # per_language rows of each language
+    rows = labelled.join(chosen, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("own")))
 
     def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
