@@ -9,8 +9,10 @@ rare to frequent by counts over all documents. Two sets of sizes a and b that li
 1. Equal sets collapse to the smallest document of each (the class representative).
 2. Every representative's prefix goes to its shingles' lists. Within a list each set is compared only with the list's
    first set and with its neighbour in size order. What links is merged into components.
-3. Lists that hold sets of more than one component are joined in full, pairs within a component left out. Each set
-   chooses its ``l`` from the lengths of its own lists: the longer prefix is read where that leaves fewer pairs to verify.
+3. Lists that hold sets of more than one component are joined, pairs within a component left out. A set that must share
+   ``l`` shingles of its prefix shares one outside any ``l - 1`` of them, so its ``l - 1`` longest lists need not be read.
+   Each set chooses the ``l`` for which the lists left to read are shortest in all; pairs met that way must then share
+   ``l`` prefix shingles.
 4. All pairs are verified on the whole sets. Components of all verified links are the result.
 
 A large group of near copies is thus one component after step 2 and its pairs are never listed; no link between
@@ -185,14 +187,22 @@ def _across(lists: DataFrame, component: DataFrame, num: int, den: int) -> DataF
     per = lists.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("df"))
     open_ = staged(lists.join(per.filter("low != high").select("token", "df"), "token"), "open-lists")
 
+    own = open_.groupBy("doc_id", "n", "c").agg(F.collect_list(F.struct("df", "pos", "token")).alias("own"))  # no longer than a prefix
     base = F.col("n") - F.ceil(F.lit(num) * F.col("n") / F.lit(float(den)) - F.lit(1e-9))
-    read = [F.sum(F.when(F.col("pos") < base + k, F.col("df")).otherwise(0)).alias(f"read{k}") for k in range(1, MAX_MATCH + 1)]
-    cost = open_.groupBy("doc_id", "n").agg(*read)
-    # Reading a list entry costs 1, verifying a pair n; a pair that matches k times is met at least k times.
-    costs = F.array(*[F.col(f"read{k}") + F.col("n") * F.col(f"read{k}") / k + F.when(F.col("n") * num < k * den, F.lit(1e18)).otherwise(0) for k in range(1, MAX_MATCH + 1)])
-    chosen = cost.select("doc_id", F.array_position(costs, F.array_min(costs)).cast("int").alias("l"))
 
-    probe = open_.join(chosen, "doc_id").select("token", F.col("doc_id").alias("x"), F.col("n").alias("a"), F.col("pos").alias("i"), F.col("c").alias("cx"), "l")
+    def reads(k: int):
+        """The lists to read for ``k`` matches: all of the prefix but its ``k - 1`` longest; those of one set are empty anyway."""
+        inside = F.sort_array(F.filter("own", lambda e: e["pos"] < base + k))
+        return F.slice(inside, 1, F.greatest(F.size(inside) - (k - 1), F.lit(0)))
+
+    options = []
+    for k in range(1, MAX_MATCH + 1):
+        cost = F.aggregate(reads(k), F.lit(0).cast("long"), lambda t, e: t + e["df"])
+        cost = F.when(F.col("n") * num >= k * den, cost).when(F.lit(k == 1), cost)  # a set that small cannot share k
+        options.append(F.when(cost.isNotNull(), F.struct(cost.alias("cost"), F.lit(-k).alias("k"), reads(k).alias("read"))))
+    chosen = own.select("doc_id", "n", "c", F.array_min(F.array_compact(F.array(*options))).alias("o"))
+    probe = chosen.select(F.col("doc_id").alias("x"), F.col("n").alias("a"), F.col("c").alias("cx"), (-F.col("o.k")).alias("l"), F.explode("o.read").alias("e"))
+    probe = probe.select("x", "a", "cx", "l", F.col("e.token").alias("token"), F.col("e.pos").alias("i"))
     index = open_.select(F.col("token").alias("t"), F.col("doc_id").alias("y"), F.col("n").alias("b"), F.col("pos").alias("j"), F.col("c").alias("cy"))
     alpha = _alpha(F.col("a"), F.col("b"), num, den)
     meet = (
@@ -202,8 +212,11 @@ def _across(lists: DataFrame, component: DataFrame, num: int, den: int) -> DataF
         & (F.col("i") < F.col("a") - alpha + F.col("l"))
         & (F.col("j") < F.col("b") - alpha + F.col("l"))
     )
-    met = probe.join(index, (F.col("token") == F.col("t")) & meet)
-    return met.groupBy("x", "y").agg(F.count("*").alias("k"), F.max("l").alias("l")).filter("k >= l").select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    met = probe.join(index, (F.col("token") == F.col("t")) & meet).select("x", "y", "l").distinct()
+    tokens = own.select("doc_id", F.transform("own", lambda e: e["token"]).alias("tokens"))
+    met = met.join(tokens.select(F.col("doc_id").alias("x"), F.col("tokens").alias("tx")), "x")
+    met = met.join(tokens.select(F.col("doc_id").alias("y"), F.col("tokens").alias("ty")), "y")
+    return met.filter(F.size(F.array_intersect("tx", "ty")) >= F.col("l")).select(F.col("x").alias("src"), F.col("y").alias("dst"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
