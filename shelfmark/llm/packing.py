@@ -38,7 +38,7 @@ class Encoder:
     and each distinct piece is encoded once.
     """
 
-    def __init__(self, path: str, closing_id: int = 1, most: int = 600_000) -> None:
+    def __init__(self, path: str, closing_id: int = 1, most: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
