@@ -3,7 +3,7 @@
 Each stage takes what its predecessor kept. All but the last return the columns of ``documents``.
 
 Defined results: null and empty texts are kept by the toxicity, near-duplicate and benchmark stages; exact dedup keeps
-one of them; packing gives each its closing id. Repeated rows are merged by exact dedup. An empty table gives no pieces.
+one of them; packing gives each its closing id. Repeated rows share their fate. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that with the most code points, then the smallest doc_id."""
     gone = exact_dedup.exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = staged(gone, "copies")  # its size is known then: Spark broadcasts it if it is small
     kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
     return kept.select(docs.columns)
 

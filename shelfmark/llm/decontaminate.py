@@ -132,6 +132,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_set: i
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The documents with no window of the benchmark, all columns kept."""
     hit = contamination(docs, benchmark, n).filter("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
+    hit = staged(hit, "hit-ids")  # its size is known then: Spark broadcasts it if it is small, else it shuffles both
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
 
 

@@ -222,4 +222,5 @@ def _across(lists: DataFrame, component: DataFrame, num: int, den: int) -> DataF
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents with one, the smallest doc_id, of each component; all columns kept."""
     gone = near_duplicates(docs, words, num, den).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = staged(gone, "gone-ids")  # its size is known then: Spark broadcasts it if it is small
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
