@@ -33,7 +33,7 @@ from shelfmark.scratch import staged
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
-FEW = 5000
+FEW = 200
 _LAST = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -232,9 +232,10 @@ def _repeats(contexts: DataFrame) -> DataFrame:
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            first, again = _settled(b)
-            yield first.astype({"key": "Int64"})
-            yield again.assign(key=pd.array([None] * len(again), "Int64"))[["key", "doc", "lo", "hi"]]
+            for i in range(0, len(b), 4000):
+                first, again = _settled(b.iloc[i : i + 4000])
+                yield first.astype({"key": "Int64"})
+                yield again.assign(key=pd.array([None] * len(again), "Int64"))[["key", "doc", "lo", "hi"]]
 
     settled = contexts.join(many, "trigger", "left_semi").mapInPandas(spread, "key long, doc long, lo long, hi long")
     settled = staged(settled, "suffixes")
