@@ -1,15 +1,17 @@
 """Language-model scoring with a probabilistic suffix tree over bytes.
 
 A text is lower-cased (A-Z) and read as its words joined by single blanks and closed by one line feed. Symbols are bytes;
-contexts are the up to ``DEPTH`` bytes before a symbol. A context stays in the tree if it makes up at least ``rare`` of
-all training symbols and its next-symbol distribution diverges from that of its next shorter suffix: twice the count
-times the Kullback-Leibler divergence must reach ``least_gain``. Distributions are smoothed by mixing with the suffix's
-distribution, weighted by the number of distinct followers, down to the uniform one. Scoring takes, at each symbol, the
-longest suffix that is a state.
-
-What goes to every executor is the tree: at most ``1 / rare`` contexts and symbol entries per depth, whatever the input.
-Word counts, which are not bounded, are never broadcast: they are joined, once per distinct word of a block of
-documents, and reach the block's task together with its documents.
+contexts are the up to ``DEPTH`` bytes before a symbol. A context stays in the tree if its next-symbol distribution
+diverges from that of its next shorter suffix: twice the count times the Kullback-Leibler divergence must reach
+``least_gain``; no gram is left out for being rare. Distributions are smoothed by mixing with the suffix's distribution,
+weighted by the number of distinct followers, down to the uniform one. Scoring takes, at each symbol, the longest suffix
+that is a state.
+
+The tree grows with the input and is never in one place. Grams whose contexts end in the same two bytes share all
+suffixes longer than one byte, so the tree falls into independent parts by these bytes. Each part is built in one task
+from its grams and the counts of the one- and two-byte grams (at most 65,536), and meets the distinct grams of each block
+of documents there; only their scores travel back. Word counts are joined in the same way, once per distinct word of a
+block, and both reach the block's task together with its documents.
 
 Defined results: null and empty texts are the line feed alone; without training rows the tree is uniform; repeated rows
 are scored alike; a null identifier is held out of no fold and trains; an empty table gives no rows; further columns are
@@ -214,29 +216,63 @@ def _slices(texts: pd.Series, most: int) -> Iterator[list]:
         yield own
 
 
-def grow_tree(docs: DataFrame, rare: float = 2e-7, least_gain: float = 20.0) -> Tree:
-    grams = staged(gram_counts(docs), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least, levels = max(1, int(total * rare)), []
-    for depth in range(DEPTH + 1):
-        mask = (1 << (8 * (depth + 1))) - 1
-        level = grams.groupBy(F.col("code").bitwiseAND(F.lit(mask)).alias("code")).agg(F.sum("n").alias("n")) if depth < DEPTH else grams
-        got = level.filter(F.col("n") >= (least if depth else 1)).toPandas()  # at most 1 / rare rows
-        got = got.sort_values("code", kind="stable")
-        codes = got["code"].to_numpy(np.int64).astype(np.uint64)
-        if depth:
-            known = (codes >> np.uint64(8 * depth)) > 0  # else the text had begun: such contexts are shorter ones
-            codes, got = codes[known], got[known]
-        levels.append((codes, got["n"].to_numpy(np.int64)))
-    return Tree(levels, least_gain, least)
-
-
-def score(docs: DataFrame, training: DataFrame, rare: float = 2e-7, least_gain: float = 20.0) -> DataFrame:
+def _bucket(code, buckets: int):
+    """Of a column or an array of codes: a number below ``buckets`` that depends on the last two bytes of the context."""
+    if isinstance(code, np.ndarray):
+        last = (code.astype(np.int64) >> 8) & 65535
+        return (((last * 40503) & 65535) * buckets) >> 16
+    last = F.shiftright(code, 8).bitwiseAND(F.lit(65535)) * F.lit(40503)
+    return F.shiftright(last.bitwiseAND(F.lit(65535)) * F.lit(buckets), 16)
+
+
+def _levels(codes: np.ndarray, n: np.ndarray, first: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The grams of every length with their counts; ``first`` are the shortest ones, counted elsewhere."""
+    out = list(first)
+    for depth in range(len(first), DEPTH + 1):
+        level, at = np.unique(codes & np.uint64((1 << (8 * (depth + 1))) - 1), return_inverse=True)
+        known = (level >> np.uint64(8 * depth)) > 0 if depth else np.ones(len(level), bool)  # else the text had begun: such contexts are shorter ones
+        out.append((level[known], np.bincount(at, n, len(level)).astype(np.int64)[known]))
+    return out
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Sorted codes of six bytes, their bytes in planes, which compress well."""
+    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : DEPTH + 1].T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.zeros((len(raw) // (DEPTH + 1), 8), np.uint8)
+    planes[:, : DEPTH + 1] = np.frombuffer(raw, np.uint8).reshape(DEPTH + 1, -1).T
+    return planes.view("<u8").ravel()
+
+
+def gram_scores(grams: DataFrame, used: DataFrame, buckets: int, least_gain: float) -> DataFrame:
+    """``part, sub, bucket, scores``: for each row of ``used`` (``part, sub, bucket, codes``) the log probabilities of its codes."""
+    pairs = grams.groupBy(F.col("code").bitwiseAND(F.lit(65535)).alias("code")).agg(F.sum("n").alias("n")).toPandas()  # at most 65,536 rows
+    codes, n = pairs["code"].to_numpy(np.int64).astype(np.uint64), pairs["n"].to_numpy(np.int64)
+    single, at = np.unique(codes & np.uint64(255), return_inverse=True)
+    order = np.argsort(codes)
+    order = order[codes[order] > 255]
+    first = [(single, np.bincount(at, n, len(single)).astype(np.int64)), (codes[order], n[order])]
+
+    def run(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(wanted):
+            tree = Tree(_levels(own["code"].to_numpy(np.int64).astype(np.uint64), own["n"].to_numpy(np.int64), first), least_gain, 1)
+            out = [tree.score(_unpacked(c)).astype("<f4").tobytes() for c in wanted["codes"]]
+        return wanted[["part", "sub", "bucket"]].assign(scores=out)
+
+    keyed = grams.select("code", "n", _bucket(F.col("code"), buckets).alias("bucket"))
+    return keyed.groupBy("bucket").cogroup(used.groupBy("bucket")).applyInPandas(run, "part int, sub long, bucket long, scores binary")
+
+
+def score(docs: DataFrame, training: DataFrame, least_gain: float = 20.0) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every document of ``docs``."""
     spark = docs.sparkSession
     counts = staged(word_counts(training), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tree = spark.sparkContext.broadcast(grow_tree(training, rare, least_gain))
+    grams = staged(gram_counts(training), "grams")
+    buckets = 8 + grams.count() // 250_000
     size = 1 + int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b") if spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b").isdigit() else 128 << 20) // (32 << 20)
     block = F.struct(F.spark_partition_id().alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("sub"))
     blocks = docs.select("doc_id", "text", block.alias("b")).select("doc_id", "text", "b.part", "b.sub")
@@ -249,17 +285,52 @@ def score(docs: DataFrame, training: DataFrame, rare: float = 2e-7, least_gain:
         for (part, sub), words in seen.items():
             yield pd.DataFrame({"word": [*words, END], "part": part, "sub": sub})
 
+    def by_bucket(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each bucket met and where its codes stand."""
+        own = _bucket(codes, buckets)
+        order = np.argsort(own, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(order) else []:
+            yield int(own[at[0]]), at
+
+    def distinct_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple, list] = {}
+        for b in batches:
+            for key, texts in b.groupby(["part", "sub"])["text"]:
+                parts = seen.setdefault(key, [])
+                for some in _slices(texts, 1_500_000):
+                    parts.append(np.unique(grams_of(*stream_of([tokens_of(t) for t in some]), DEPTH + 1)))
+                    if len(parts) == 12:
+                        parts[:] = [np.unique(np.concatenate(parts))]
+        for (part, sub), parts in seen.items():
+            codes = np.unique(np.concatenate(parts))
+            rows = [(part, sub, bucket, _packed(codes[at])) for bucket, at in by_bucket(codes)]
+            yield pd.DataFrame(rows, columns=["part", "sub", "bucket", "codes"])
+
     used = blocks.select("text", "part", "sub").mapInPandas(distinct_words, "word binary, part int, sub long")
     used = used.join(counts, "word", "left").select("part", "sub", "word", F.coalesce("n", F.lit(0)).alias("n"))
+    wanted = blocks.select("text", "part", "sub").mapInPandas(distinct_grams, "part int, sub long, bucket long, codes binary")
+    scores = gram_scores(grams, wanted, buckets, least_gain)
+    # Scores of a bucket travel as a word whose count is below zero.
+    used = used.unionByName(scores.select("part", "sub", F.col("scores").alias("word"), (-1 - F.col("bucket")).alias("n")))
 
     def run(own: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        n = dict(zip(words["word"], words["n"], strict=True))
-        out = []
+        packed = words["n"] < 0
+        found = {-1 - k: np.frombuffer(v, "<f4") for k, v in zip(words["n"][packed], words["word"][packed], strict=True)}
+        n = dict(zip(words["word"][~packed], words["n"][~packed], strict=True))
+        slices = []
         for some in _slices(own["text"], 1_500_000):
+            raw, sizes = stream_of([tokens_of(t) for t in some])
+            codes, at = np.unique(grams_of(raw, sizes, DEPTH + 1), return_inverse=True)
+            slices.append((some, sizes, codes, at.astype(np.int32)))
+        known = np.unique(np.concatenate([s[2] for s in slices])) if slices else np.zeros(0, np.uint64)
+        values = np.zeros(len(known))
+        for bucket, at in by_bucket(known):
+            values[at] = found[bucket]  # one that is missing or of another length raises
+        out = []
+        for some, sizes, codes, at in slices:
             parts = [tokens_of(t) for t in some]
-            raw, sizes = stream_of(parts)
             ends = np.cumsum(sizes)
-            sums = np.add.reduceat(tree.value.score(grams_of(raw, sizes, DEPTH + 1)), ends - sizes)
+            sums = np.add.reduceat(values[np.searchsorted(known, codes)][at], ends - sizes)
             for p, s in zip(parts, sums, strict=True):
                 c = np.array([n[w] for w in p] + [n[END]])  # a word that is missing raises: the input changed between reads
                 out.append((len(c), int((c > 0).sum()), float(np.log10((c + 1) / (total + distinct + 1)).sum()), float(s)))

@@ -294,6 +294,30 @@ def test_suffix_tree_sums_to_one():
         assert (10 ** tree.log10(base | np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_language_model_keeps_rare_grams(spark):
+    """Twelve million symbols of other text must not take single grams out of the tree."""
+    r = random.Random(3)
+    some = [(i, text(r, 60)) for i in range(6)]
+    docs = spark.createDataFrame([*some, (9, "never seen: Zq9x")], "doc_id long, text string")
+    filler = spark.range(100, 200, numPartitions=4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("river stone "), 10_000).alias("text"))
+    got = {x.doc_id: x.score for x in language_model.score(docs, filler.unionByName(docs.filter("doc_id < 6"))).collect()}
+    texts = [language_model.tokens_of(t) for _, t in some]
+    grams = lambda w: language_model.grams_of(*language_model.stream_of(w), 6)
+    codes = [*map(int, grams(texts))]
+    counts = collections.Counter(codes)
+    for code in grams([language_model.tokens_of("river stone " * 10_000)]):
+        counts[int(code)] += 100
+    keys, n = np.array(list(counts), np.uint64), np.array(list(counts.values()))
+    levels = []
+    for d in range(6):
+        k, at = np.unique(keys & np.uint64((1 << (8 * (d + 1))) - 1), return_inverse=True)
+        known = (k >> np.uint64(8 * d)) > 0 if d else np.ones(len(k), bool)
+        levels.append((k[known], np.bincount(at, n).astype(np.int64)[known]))
+    tree = language_model.Tree(levels, 20.0, 1)
+    for i, t in docs.collect():
+        assert got[i] == pytest.approx(tree.score(grams([language_model.tokens_of(t)])).sum(), rel=1e-5)
+
+
 def test_empty_tree_is_uniform():
     none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     tree = language_model.Tree([none] * 6, 5.0, 1)
