@@ -7,6 +7,9 @@ set is compared word by word with the item's window; only equal ones count.
 The windows' hashes are kept in the plan as a set up to ``max_set`` of them. A larger benchmark is joined by hash
 instead, by whatever join Spark chooses from the measured size: slower, the same result.
 
+Hits belong to a row's identifier and text (by SHA-256), never to an identifier alone: rows without an identifier, or with
+that of another text, are told apart.
+
 Defined results: null and empty texts have no words; repeated documents or items are each treated alike; with an
 empty benchmark nothing is hit; a null item_id counts under the empty name; further columns are ignored.
 """
@@ -40,6 +43,11 @@ def _window_hash(words: Column, start: Column, length: Column) -> Column:
     return F.xxhash64(F.slice(words, start + 1, length))
 
 
+def text_key(text: Column) -> Column:
+    """With the doc_id it tells a row from all but its repetitions."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def _starts(words: Column, length: int) -> Column:
     """0-based starts of the windows of ``length`` words."""
     n = F.size(words) - length
@@ -57,7 +65,7 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
 
 
 def contamination_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_set: int = 200_000) -> DataFrame:
-    """``doc_id, n_words, hits`` per document; ``hits`` are the equal windows as (start, length, item)."""
+    """``doc_id, key, n_words, hits`` per document; ``hits`` are the equal windows as (start, length, item), ``key`` its ``text_key`` if there are any."""
     windows = staged(benchmark_windows(benchmark, n), "benchmark-windows")
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # 1 to n
     hashes = windows.select("hash").distinct().limit(max_set + 1).collect()
@@ -75,9 +83,10 @@ def contamination_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_s
 
     scan = docs.select("doc_id", "text", _let(_words(_folded(F.col("text"))), maybe).alias("m"))
     grams = _let(_words(_exact(F.col("text"))), lambda w: F.transform("m.at", lambda m: _with_gram(w, m)))
-    scan = scan.select("doc_id", "m.n_words", F.when(F.size("m.at") > 0, grams).alias("grams"))
+    found = F.size("m.at") > 0
+    scan = scan.select("doc_id", F.when(found, text_key(F.col("text"))).alias("key"), "m.n_words", F.when(found, grams).alias("grams"))
     scan = staged(scan, "window-hits")
-    return _per_document(scan, scan.select("doc_id", F.explode("grams").alias("g")).select("doc_id", "g.*"), windows)
+    return _per_document(scan, scan.select("doc_id", "key", F.explode("grams").alias("g")).select("doc_id", "key", "g.*"), windows)
 
 
 def _hits_by_join(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
@@ -92,14 +101,19 @@ def _hits_by_join(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> Da
     def every(words: Column) -> Column:
         return F.struct(F.size(words).alias("n_words"), F.concat(*(of_length(words, k) for k in lengths)).alias("at"))
 
-    scan = docs.select("doc_id", _let(_words(_folded(F.col("text"))), every).alias("m"))
-    some = scan.select("doc_id", F.explode("m.at").alias("at")).select("doc_id", "at.*")
+    docs = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    scan = docs.select("doc_id", "key", _let(_words(_folded(F.col("text"))), every).alias("m"))
+    some = scan.select("doc_id", "key", F.explode("m.at").alias("at")).select("doc_id", "key", "at.*")
     some = some.join(windows.select("length", "hash").distinct(), ["length", "hash"], "left_semi")
-    some = some.groupBy("doc_id").agg(F.collect_set(F.struct("start", "length")).alias("at"))
-    texts = docs.select("doc_id", "text").join(some, "doc_id")
+    some = some.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "length")).alias("at"))
+    texts = docs.join(some, _same_row())
     grams = _let(_words(_exact(F.col("text"))), lambda w: F.transform("at", lambda m: _with_gram(w, m)))
-    some = texts.select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.*")
-    return _per_document(scan.select("doc_id", "m.n_words"), some, windows)
+    some = texts.select("doc_id", "key", F.explode(grams).alias("g")).select("doc_id", "key", "g.*")
+    return _per_document(scan.select("doc_id", "key", "m.n_words"), some, windows)
+
+
+def _same_row() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
 
 
 def _let(value: Column, body) -> Column:
@@ -113,11 +127,10 @@ def _with_gram(words: Column, m: Column) -> Column:
 
 def _per_document(counts: DataFrame, grams: DataFrame, windows: DataFrame) -> DataFrame:
     hits = grams.join(windows.select("length", "gram", "item").distinct(), ["length", "gram"])
-    per = hits.groupBy("doc_id").agg(F.collect_set(F.struct("start", "length", "item")).alias("hits"))
+    per = hits.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "length", "item")).alias("hits"))
     none = F.array().cast("array<struct<start:int,length:int,item:string>>")
-    per = per.withColumnRenamed("doc_id", "id")
-    joined = counts.join(per, F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    return joined.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("hits", none).alias("hits"))
+    joined = counts.join(per, _same_row(), "left")
+    return joined.select("doc_id", "key", F.col("n_words").cast("long").alias("n_words"), F.coalesce("hits", none).alias("hits"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_set: int = 200_000) -> DataFrame:
@@ -129,18 +142,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_set: i
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_set: int = 200_000) -> DataFrame:
     """The documents with no window of the benchmark, all columns kept."""
-    hit = contamination(docs, benchmark, n).filter("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
+    hit = contamination_hits(docs, benchmark, n, max_set).filter("size(hits) > 0").select(F.col("doc_id").alias("_hit"), F.col("key").alias("_key")).distinct()
     hit = staged(hit, "hit-ids")  # its size is known then: Spark broadcasts it if it is small, else it shuffles both
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")) & (text_key(F.col("text")) == F.col("_key")), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """All documents; those with hits are rebuilt from their words that are not hit, joined by single spaces."""
-    hits = contamination_hits(docs, benchmark, n).filter("size(hits) > 0").dropDuplicates(["doc_id"])
+    hits = contamination_hits(docs, benchmark, n).filter("size(hits) > 0").dropDuplicates(["doc_id", "key"])
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
-    marks = hits.select(F.col("doc_id").alias("_id"), covered.alias("_gone"))
+    marks = hits.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), covered.alias("_gone"))
     left = F.filter(_words(F.col("text")), lambda w, i: ~F.array_contains(F.col("_gone"), i))
-    out = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    out = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")), "left")
     return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, " "))).select(docs.columns)

@@ -201,6 +201,17 @@ def test_decontamination_removal(spark):
     assert not decontaminate.contamination(df, bench.limit(0), 2).filter("contaminated").count()
 
 
+@pytest.mark.parametrize("max_set", [1000, 1])
+def test_decontamination_tells_rows_of_one_identifier_apart(spark, max_set):
+    texts = [(None, "a b c d e"), (None, "clean p q"), (None, None), (4, "b c"), (4, "other words")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "B C"), (2, "never met here")], "item_id long, text string")
+    got = decontaminate.contamination(df, bench, 2, max_set).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in got) == [("4", 2, 0), ("4", 2, 2), ("None", 0, 0), ("None", 3, 0), ("None", 5, 2)]
+    left = decontaminate.remove_documents(df, bench, 2, max_set).collect()
+    assert sorted(str(r.text) for r in left) == ["None", "clean p q", "other words"]
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers

@@ -68,3 +68,10 @@ def test_run(spark, folder):
 def test_queries_run_on_these_tables(spark, folder):
     for name in ("op4_toxicity", "op7_language_id", "op9_lm_scoring"):
         assert queries.QUERIES[name](spark, folder[0]).count() == spark.read.parquet(f"{folder[0]}/documents.parquet").count()
+
+
+def test_copies_without_an_identifier_go_alone(spark):
+    texts = [(1, "one text"), (None, "one  text"), (None, "another"), (2, "a third"), (2, "one text")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    left = corpus_pipeline.drop_copies(spark, df, "").collect()
+    assert sorted(r.text for r in left) == ["a third", "another", "one  text"]
