@@ -1,7 +1,7 @@
 """Removal of repeated substrings through prefix-free phrases (after Boucher et al., 2019).
 
-Every byte covered by a string of ``LENGTH`` bytes that also starts earlier (in a smaller doc_id, or earlier in the same
-document) is removed; strings are judged on the input and never cross documents.
+Every byte covered by a string of ``LENGTH`` bytes that also starts earlier (in an earlier row by doc_id, or earlier in
+the same row) is removed; strings are judged on the input and never cross documents.
 
 1. Triggers: a rolling hash of ``GRAM`` bytes triggers where it is the least of some string of ``LENGTH`` bytes, so every
    such string holds a trigger and equal strings hold the same ones. The phrase of a trigger is all that strings around
@@ -16,8 +16,11 @@ Step 3 runs in blocks of whole triggers; for a trigger with more than ``FEW``
 phrases, each task settles the suffixes it meets and the tasks' earliest ones are compared over the cluster.
 Phrases and suffixes are compared by 64-bit hashes on top of the trigger's.
 
-Defined results: null and empty texts have no bytes; rows with one doc_id are one document (a byte repeated only between
-them stays); a null doc_id comes after all others; an empty table gives no rows; further columns are ignored.
+Each row is a document of its own. Where all identifiers differ they are its number; else the rows are numbered in their
+order and staged with their texts, at the price of one sort of the texts. The result is the same.
+
+Defined results: null and empty texts have no bytes; rows with one doc_id are ordered by the SHA-256 of their texts; a
+null doc_id comes after all others; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,6 @@ from shelfmark.scratch import staged
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
 FEW = 200
-_LAST = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -262,25 +264,36 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return again.unionByName(_repeats(contexts))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``doc, doc_id, text`` with a ``doc`` of its own for each row, in the order of doc_id, nulls last."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1")
+    if shared.isEmpty():
+        return docs.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.sha2("text", 256))
+    return staged(ordered.select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "numbered")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) per document."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
-    spans = staged(repeated_spans(docs), "spans")
+    docs = numbered(docs)
+    spans = staged(repeated_spans(docs.select("doc", "text")), "spans")
     per = spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, text, spans in zip(b["doc"], b["text"], b["spans"], strict=True):
+            for own, none, text, spans in zip(b["own"], b["none"], b["text"], b["spans"], strict=True):
                 raw = text.encode("utf-8", "replace") if isinstance(text, str) else b""
                 if spans is None or not len(spans):
-                    out.append((doc, len(raw), 0, 0, raw))
+                    out.append((own, none, len(raw), 0, 0, raw))
                     continue
                 lo, hi = union(np.array([s["lo"] for s in spans]), np.array([s["hi"] for s in spans]))
                 keep = np.concatenate(([0], hi)), np.concatenate((lo, [len(raw)]))
                 kept = b"".join(raw[a:z] for a, z in zip(*keep, strict=True))
-                out.append((doc, len(raw), len(raw) - len(kept), len(lo), kept))
-            yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+                out.append((own, none, len(raw), len(raw) - len(kept), len(lo), kept))
+            yield pd.DataFrame(out, columns=["own", "none", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = docs.join(per, "doc", "left").select("doc", "text", "spans").mapInPandas(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.select(F.nullif("doc", F.lit(_LAST)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    own = F.coalesce("doc_id", F.lit(0)).alias("own"), F.col("doc_id").isNull().alias("none")  # nulls would turn identifiers into floats
+    out = docs.join(per, "doc", "left").select(*own, "text", "spans").mapInPandas(cut, "own long, none boolean, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.select(F.when(~F.col("none"), F.col("own")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")

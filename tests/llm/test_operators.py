@@ -369,6 +369,19 @@ def test_substring_dedup(spark, rows, monkeypatch, few):
     assert got == brute_repeats(list(own.items()))
 
 
+def test_substring_dedup_of_rows_that_share_an_identifier(spark):
+    """Null identifiers, one text null, lengths unequal; two texts and two equal texts under one identifier."""
+    r = random.Random(4)
+    line = text(r, 40)
+    own = [(3, f"{text(r, 9)} {line}"), (8, f"{line} {text(r, 30)}"), (8, text(r, 50)), (2**62 + 1, text(r, 30)), (None, None), (None, text(r, 60)), (None, f"{text(r, 3)} {line} {text(r, 200)} {line}")]
+    own += [(5, own[5][1]), (None, own[6][1]), (9, own[2][1]), (9, own[2][1])]
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    order = sorted(own, key=lambda x: (x[0] is None, x[0] or 0, hashlib.sha256(x[1].encode()).hexdigest() if x[1] is not None else ""))
+    want = brute_repeats([(i, t) for i, (_, t) in enumerate(order)])
+    got = [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in substring_dedup.remove_repeats(df).collect()]
+    assert sorted(got, key=str) == sorted(((order[i][0], *w) for i, w in want.items()), key=str)
+
+
 def test_triggers_cover_every_string():
     for seed in range(5):
         raw = np.random.default_rng(seed).integers(0, 3, 700).astype(np.uint8)
