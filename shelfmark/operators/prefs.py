@@ -36,18 +36,20 @@ def training_set(features: DataFrame, labels: DataFrame) -> DataFrame:
     return features.filter("embedding is not null").join(known, "file_id").select("file_id", F.col("embedding").alias("features"), "label")
 
 
-def split(rows: DataFrame, seed: int = 42, exact_up_to: int = 10_000_000) -> DataFrame:
+def split(rows: DataFrame, seed: int = 42) -> DataFrame:
     """Adds ``is_validation``: per class max(1, n div 5) rows in the order of a seeded hash.
 
-    Above ``exact_up_to`` rows a hash threshold of one fifth is taken instead, which needs no ordered class.
+    Rows are ranked inside 65,536 ranges of the hash; running sums of the ranges' counts, a small table, give the rest.
     """
-    draw = F.xxhash64("file_id", F.lit(seed))
-    if rows.count() > exact_up_to:
-        return rows.withColumn("is_validation", F.pmod(draw, F.lit(5)) == 0)
-    n = rows.groupBy("label").agg(F.count("*").alias("_n"))
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(draw, "file_id"))
-    out = rows.withColumn("_nth", nth).join(F.broadcast(n), "label")
-    return out.withColumn("is_validation", F.col("_nth") <= F.greatest(F.lit(1), F.expr("_n div 5"))).drop("_nth", "_n")
+    rows = rows.withColumn("_draw", F.xxhash64("file_id", F.lit(seed))).withColumn("_range", F.shiftright("_draw", 48))
+    counts = rows.groupBy("label", "_range").agg(F.count("*").alias("_c"))
+    of_class = Window.partitionBy("label")
+    before = F.sum("_c").over(of_class.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("label", "_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_c").over(of_class).alias("_n"))
+    nth = F.row_number().over(Window.partitionBy("label", "_range").orderBy("_draw", "file_id"))
+    out = rows.withColumn("_nth", nth).join(counts, ["label", "_range"])
+    last = F.greatest(F.lit(1), F.expr("_n div 5"))
+    return out.withColumn("is_validation", F.col("_before") + F.col("_nth") <= last).drop("_draw", "_range", "_nth", "_before", "_n")
 
 
 def ready(rows: DataFrame, least: int = 200) -> None:

@@ -128,6 +128,16 @@ def test_split_sizes_and_gate(spark):
         prefs.ready(rows)
 
 
+def test_split_ranks_no_class_in_one_window(spark):
+    rows = spark.range(3000).select(F.col("id").alias("file_id"), (F.col("id") < 7).cast("int").alias("label"))
+    split = prefs.split(rows)
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_range" in x.split("],")[-2] for x in plan.splitlines() if "row_number()" in x) and "row_number()" in plan
+    drawn = rows.withColumn("draw", F.xxhash64("file_id", F.lit(42))).collect()
+    want = {r.file_id for k in (0, 1) for own in [sorted((r for r in drawn if r.label == k), key=lambda r: r.draw)] for r in own[: max(1, len(own) // 5)]}
+    assert {r.file_id for r in split.filter("is_validation").collect()} == want
+
+
 def test_train_and_score(spark):
     rows = spark.createDataFrame([(i, [float(i % 2), float(i % 3)], i % 2) for i in range(60)], "file_id long, features array<double>, label int")
     model = prefs.train(rows)
