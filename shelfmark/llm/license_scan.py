@@ -83,9 +83,9 @@ def scan_licenses(docs: DataFrame, table: dict[int, str] | None = None, rules: l
     """``doc_id, sentence_ids, licenses`` per document: the recognised sentences in order, the licences sorted."""
     known = _known(table or SENTENCES)
     rules = rules or RULES
-    longest = max(map(len, known)) * 4
-    short = F.filter(sentences(F.col("text")), lambda s: (F.length(s) <= longest) & (F.length(s) >= min(map(len, known))))
-    hits = F.filter(F.transform(short, _normalised), lambda s: s.isin(list(known)))
+    least = min(map(len, known))
+    enough = F.filter(sentences(F.col("text")), lambda s: F.length(s) >= least)  # normalising never adds characters
+    hits = F.filter(F.transform(enough, _normalised), lambda s: s.isin(list(known)))
     number = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     out = docs.select("doc_id", F.transform(hits, lambda s: number[s]).alias("sentence_ids"))
     joined = F.concat(F.lit(","), F.array_join(F.col("sentence_ids").cast("array<string>"), ","), F.lit(","))

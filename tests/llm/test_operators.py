@@ -143,6 +143,11 @@ def test_license_scan(spark):
     assert got == {0: ([1], ["Apache-2.0"]), 1: ([2, 3, 4], ["Apache-2.0"]), 2: ([4], []), 3: ([], []), 4: ([], []), 5: ([17, 5], ["MIT", "Proprietary"]), 6: ([], [])}
 
 
+def test_license_sentence_with_much_padding(spark):
+    df = spark.createDataFrame([(1, "All rights" + " *" * 2000 + " reserved.")], "doc_id long, text string")
+    assert [list(r.licenses) for r in license_scan.scan_licenses(df).collect()] == [["Proprietary"]]
+
+
 def test_license_rules_are_ordered(spark):
     df = spark.createDataFrame([(1, "a b.\nc d."), (2, "c d.\na b.")], "doc_id long, text string")
     got = license_scan.scan_licenses(df, {1: "a b.", 2: "c d."}, [("One", [1]), ("Both", [1, 2])]).collect()
