@@ -100,6 +100,7 @@ _RULE_SQL = ", ".join(
 )
 _KNOWN_SQL = "map {" + ", ".join(f"'{k}': {v}" for k, v in _known(SENTENCES).items()) + "}"
 _AZ = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_W2 = "regexp_extract_all(" + _AZ % "coalesce(text, '')" + r", '[^\x20\x09-\x0D]+')"
 _W8 = "regexp_extract_all(" + _AZ % "coalesce(text, '')" + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
@@ -109,6 +110,17 @@ ORACLE_SQL = {
         select doc_id, first_value(doc_id) over (partition by h order by n desc, doc_id) as keep_id,
                count(*) over (partition by h) as group_size,
                doc_id = first_value(doc_id) over (partition by h order by n desc, doc_id) as kept, h as text_sha256 from t""",
+    "op2_jaccard_join": rf"""
+        with recursive d as (select doc_id, {_W2} as w from documents),
+        s as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g
+              from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0)),
+        n as (select doc_id, count(*) as n from s group by 1),
+        c as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+        l as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+        r as (select x, y from l union select r.x, l.y from r join l on r.y = l.x),
+        m as (select x as doc_id, min(y) as y from r group by 1)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) as component_id
+        from d left join n using (doc_id) left join m using (doc_id)""",
     "op3_license_scan": rf"""
         with s as (select doc_id, list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)),
                      lambda x: trim(regexp_replace({_AZ % "x"}, '[^a-z0-9]+', ' ', 'g'))) as l from documents),

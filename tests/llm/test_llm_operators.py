@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, exact_dedup, jaccard_join, language_id, language_model, license_scan, packing, sharding, substring_dedup, toxicity
+from shelfmark.llm import decontaminate, exact_dedup, jaccard_join, language_id, language_model, license_scan, packing, rolling, sharding, substring_dedup, toxicity
 
 WORDS = "the of and to in river stone cloud Garden window paper silver answer every little machine thunder quiet yellow harbour".split()
 
@@ -76,7 +76,7 @@ def test_exact_dedup_continues_from_its_state(spark, tmp_path):
 
 
 def shingles(t, k):
-    w = (t or "").encode().translate(jaccard_join._LOWER).split()
+    w = (t or "").encode().lower().split()
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
 
 
@@ -131,6 +131,54 @@ def test_jaccard_across_components(spark):
     assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) > 12
 
 
+def test_jaccard_tells_rows_of_one_identifier_apart(spark):
+    """Shared and null identifiers, repeated rows, equal sets from different texts; no unique text is lost."""
+    r = random.Random(6)
+    a, b, c = (text(r, 60) for _ in range(3))
+    near = a.replace(" ", "\n", 1) + " tail"
+    own = [(5, a), (5, b), (None, near), (None, c), (None, None), (3, "one"), (3, ""), (9, b + " more"), (7, c), (7, c), (8, a.upper())]
+    df = spark.createDataFrame([(i, t, 0) for i, t in own], "doc_id long, text string, n int").repartition(3)
+    got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in jaccard_join.near_duplicates(df).collect())
+    want = {a: 5, b: 5, near: 5, c: 7, None: None, "one": 3, "": 3, b + " more": 5, a.upper(): 5}
+    assert got == sorted((str(i), len(shingles(t, 5)), str(want[t])) for i, t in own)
+    kept = sorted((str(x.doc_id), str(x.text)) for x in jaccard_join.keep_one(df).collect())
+    first = min([a, b], key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert kept == sorted((str(i), str(t)) for i, t in own if t in (a, b, None, "one", "") or (i, t) == (7, c)) and first in (a, b)
+
+
+def test_jaccard_large_group_without_links(spark):
+    """Copies of one text, each changed so much that no two link, and some that link through the original."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for i in range(120):
+        w = list(base)
+        for k in r.sample(range(200), 1 + i % 14):
+            w[k] = f"z{i}x{k}"
+        texts.append(" ".join(w))
+    sets = [shingles(t, 4) for t in texts]
+    want = {i: i for i in range(len(texts))}
+    for _ in texts:
+        for a in want:
+            for b in want:
+                c = len(sets[a] & sets[b])
+                if want[b] < want[a] and 100 * c >= 85 * len(sets[a] | sets[b]):
+                    want[a] = want[b]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in jaccard_join.near_duplicates(df, 4, 85, 100).collect()} == want and 20 < len(set(want.values())) < 119
+
+
+def test_word_hashes_of_long_texts():
+    """Texts longer than a piece are cut at blanks and give the same hashes."""
+    long = "ab cde\tf " * 60_000
+    (h, n), = rolling.word_hashes([long])
+    (g, m), = rolling.word_hashes(["ab cde f"])
+    assert n.tolist() == [180_000] and m.tolist() == [3] and (h.reshape(-1, 3) == g).all()
+    (h, n), = rolling.word_hashes(["x" * 400_000])
+    assert n.tolist() == [1]
+    assert [x.tolist() for _, x in rolling.word_hashes(["a b", None, "", " c"])] == [[2, 0, 0, 1]]
+
+
 def test_license_scan(spark):
     texts = [
         "Hello.\nLicensed under the Apache License, Version 2.0.",
@@ -457,7 +505,7 @@ def test_null_identifiers(spark, tokenizer):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_dedup(df).collect()} == {(None, 1), (1, 1), (2, 2)}
-    assert {(r.doc_id, r.component_id) for r in jaccard_join.near_duplicates(df).collect()} == {(None, None), (1, 1), (2, 2)}
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.near_duplicates(df).collect()} == {(None, 1), (1, 1), (2, 2)}
     assert sharding.shard_documents(df).count() == 3
     assert packing.pack(df, tokenizer).filter("doc_id is null").count() == 1
     assert decontaminate.contamination(df, bench).filter("contaminated").count() == 2
