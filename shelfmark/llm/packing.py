@@ -11,12 +11,14 @@ no rows; a null identifier is kept as null; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ from shelfmark.scratch import staged
 
 #: Partitions whose leftovers one task merges.
 FAN_IN = 64
-_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, place long, ids binary"
+_FIELDS = dict.fromkeys(["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "place"], pa.int64()) | {"ids": pa.binary()}
+_SCHEMA = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in _FIELDS)
 #: White space other than blank, tab, line feed and carriage return; texts that hold any are encoded whole.
 _ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
 _ODD_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -34,57 +37,120 @@ _ODD_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u200
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space, so no token spans it: the ids of a text are those of its pieces between blanks,
-    and each distinct piece is encoded once.
+    The vocabulary drops white space, so no token spans it: the ids of a text are those of its words between blanks. The
+    distinct words of some texts are found at once, and those not met lately are encoded, together where they are letters.
+    Words are remembered in two halves of ``most`` entries (some 30 MB each); when one is full, the other, with the words not
+    met since, is forgotten. Longer texts than ``piece`` are cut at blanks.
     """
 
-    def __init__(self, path: str, closing_id: int = 1, most: int = 1_200_000) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.pieces: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+    def __init__(self, path: str, closing_id: int = 1, most: int = 150_000, piece: int = 1_000_000) -> None:
+        (self.tokenizer, self.last), self.most, self.piece = _tokenizer(path), most, piece
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.closing = closing_id.to_bytes(4, "little")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    @staticmethod
-    def _stem(piece: str) -> tuple[str, str]:
-        """The piece in lower case and the full stop or comma after its last letter: their ids follow each other."""
-        if "\u03a3" not in piece and unicodedata.is_normalized("NFC", piece):
-            piece = piece.lower()
-            if piece[-1] in ".," and piece[:-1].isalpha():
-                return piece[:-1], piece[-1]
-        return piece, ""
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.pieces) + len(pieces) > self.most:
-            self.pieces, self.stems = {}, {}
-        split = [self._stem(p) for p in pieces]
-        new = list({s: None for pair in split for s in pair if s not in self.stems and s})
-        for i in range(0, len(new), 20_000):
-            self.stems.update(zip(new[i : i + 20_000], self._whole(new[i : i + 20_000]), strict=True))
-        self.stems[""] = b""
-        self.pieces.update((p, self.stems[a] + self.stems[b]) for p, (a, b) in zip(pieces, split, strict=True))
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters only, each of which the tokenizer takes as one: encoded as one line and cut at its words."""
+        line = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(line.ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._whole(words)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * z] for a, z in itertools.pairwise([0, *ends.tolist()])]
+
+    def _learn(self, words: list[str], known: dict[str, bytes]) -> None:
+        for own, encode in (([w for w in words if w.isalpha()], self._letters), ([w for w in words if not w.isalpha()], self._whole)):
+            for i in range(0, len(own), 10_000):
+                known.update(zip(own[i : i + 10_000], encode(own[i : i + 10_000]), strict=True))
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """A full stop or comma after a word's last letter is a token of its own."""
+        if len(self.known) > self.most:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        stems = [w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w for w in words]
+        new = {s for s in [*stems, ".", ","] if s not in known}
+        met = new & before.keys()
+        known.update((s, before[s]) for s in met)
+        self._learn(list(new - met), known)
+        return [known[s] if len(s) == len(w) else known[s] + known[w[-1]] for s, w in zip(stems, words, strict=True)]
+
+    def _split(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts whose only white space is blank, tab, line feed and carriage return, in lower case already."""
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        ends, coded = words.offsets.to_numpy(), pc.dictionary_encode(words.flatten())
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        blank = distinct.index("") if "" in distinct else -1
+        found = self._ids([w for w in distinct if w])
+        if blank >= 0:
+            found.insert(blank, b"")
+        flat = np.frombuffer(b"".join(found), "<u4")
+        size = np.array(list(map(len, found)), np.int64) // 4
+        start, n = (np.cumsum(size) - size)[at], size[at]
+        stop = np.cumsum(n)
+        ids = flat[np.repeat(start - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+        return np.split(ids, np.concatenate(([0], stop))[ends[1:-1] - ends[0]])
+
+    def _cut(self, text: str) -> list[str]:
+        """Pieces of about ``piece`` characters, cut before blanks."""
+        out, at = [], 0
+        while len(text) - at > self.piece:
+            cut = text.find(" ", at + self.piece)
+            if cut < 0:
+                break
+            out.append(text[at:cut])
+            at = cut
+        return [*out, text[at:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for text in texts:
+        out: list[list[bytes]] = [[] for _ in texts]
+        some, owner, size = [], [], 0
+
+        def flush() -> None:
+            for i, ids in zip(owner, self._split(some) if some else [], strict=True):
+                out[i].append(ids.tobytes())
+            some.clear()
+            owner.clear()
+
+        for i, text in enumerate(texts):
             text = text or ""
-            odd = any(c in text for c in _ODD_ASCII) or not text.isascii() and any(c in text for c in _ODD_WIDE)
-            split.append([text] if odd else text.split())
-        new = list({p: None for own in split for p in own if p not in self.pieces and p})
-        if new:
-            if len(self.pieces) + len(new) > self.most:  # known ones go too, so all are learned again
-                new = list({p: None for own in split for p in own if p})
-            self._learn(new)
-        self.pieces[""] = b""
-        return [b"".join([*map(self.pieces.__getitem__, own), self.closing]) for own in split]
-
-
-#: One encoder for each vocabulary and worker process, so that later tasks find known pieces.
+            plain = text.isascii()
+            odd = any(c in text for c in _ODD_ASCII) or not plain and any(c in text for c in _ODD_WIDE)
+            if odd or not plain and ("\u03a3" in text or not unicodedata.is_normalized("NFC", text)):
+                out[i] = self._whole([text])
+                continue
+            for part in self._cut(text.lower()):
+                some.append(part)
+                owner.append(i)
+                size += len(part)
+                if size > 2 * self.piece:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join([*own, self.closing]) for own in out]
+
+
+_TOKENIZERS: dict[str, tuple] = {}
+
+
+def _tokenizer(path: str) -> tuple:
+    """The tokenizer, and which of its tokens end a word: one for each vocabulary and worker process."""
+    if path not in _TOKENIZERS:
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(path)
+        last = np.zeros(found.get_vocab_size(), bool)
+        last[[i for token, i in found.get_vocab().items() if token.endswith("</w>")]] = True
+        _TOKENIZERS[path] = found, last
+    return _TOKENIZERS[path]
+
+
+#: One encoder for each vocabulary and worker process, so that later tasks find known words.
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
@@ -115,9 +181,10 @@ class Packer:
 
     def add(self, doc: int | None, start: int, total: int, ids: bytes) -> None:
         size = 4 * self.window
-        while len(ids) >= size:
-            self._emit([(doc, start, total, ids[:size])])
-            ids, start = ids[size:], start + self.window
+        whole = len(ids) // size * size
+        for at in range(0, whole, size):
+            self._emit([(doc, start + at // 4, total, ids[at : at + size])])
+        ids, start = ids[whole:], start + whole // 4
         while ids:
             n = len(ids) // 4
             fitting = [w for w in self.open if self.window - w[0] >= n]
@@ -164,13 +231,10 @@ class Packer:
                 want -= n
             self._emit(pieces)
 
-    def take(self) -> pd.DataFrame:
-        names = [c.split()[0] for c in _SCHEMA.split(", ")]
-        out = pd.DataFrame(self.rows, columns=names)
-        for c in ("doc_id", "sequence_id"):
-            out[c] = out[c].astype("Int64")
+    def take(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows, strict=True)) or [()] * len(_FIELDS)
         self.rows = []
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FIELDS.values(), strict=True)], list(_FIELDS))
 
 
 def _first_id(round_: int, part: int) -> int:
@@ -180,38 +244,34 @@ def _first_id(round_: int, part: int) -> int:
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, open_windows: int = 16, closing_id: int = 1) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode = TaskContext.get().partitionId(), encoder(tokenizer, closing_id).encode
         packer = Packer(window, open_windows, _first_id(0, part), part)
         for b in batches:
-            ids_of = b["doc_id"].astype("Int64").tolist()
-            texts = b["text"].tolist()
-            for i in range(0, len(texts), 500):
-                for doc, ids in zip(ids_of[i : i + 500], encode([t if isinstance(t, str) else None for t in texts[i : i + 500]]), strict=True):
-                    packer.add(None if doc is pd.NA else doc, 0, len(ids) // 4, ids)
-            yield packer.take()
+            for i in range(0, b.num_rows, 1000):
+                some = b.slice(i, 1000)
+                for doc, ids in zip(some.column("doc_id").to_pylist(), encode(some.column("text").to_pylist()), strict=True):
+                    packer.add(doc, 0, len(ids) // 4, ids)
+                yield packer.take()
         packer.leave()
         yield packer.take()
 
-    done = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(first, _SCHEMA), "packed")
+    done = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(first, _SCHEMA), "packed")
     parts = [done.filter("sequence_id is not null")]
     left, round_ = done.filter("sequence_id is null"), 0
     most = left.agg(F.max("part")).first()[0]
     while most is not None:
         round_, last = round_ + 1, most < FAN_IN
 
-        def merge(key: tuple, rows: pd.DataFrame, *, round_: int = round_, last: bool = last) -> pd.DataFrame:
-            part = int(key[0])
+        def merge(key: tuple, rows: pa.Table, *, round_: int = round_, last: bool = last) -> pa.Table:
+            part = key[0].as_py()
             packer = Packer(window, open_windows, _first_id(round_, part), part)
-            for r in rows.sort_values(["part", "place"], kind="stable").itertuples():
-                packer.add(None if pd.isna(r.doc_id) else int(r.doc_id), int(r.start), int(r.doc_tokens), bytes(r.ids))
-            if last:
-                packer.finish()
-            else:
-                packer.leave()
-            return packer.take()
-
-        merged = left.withColumn("group", F.expr(f"part div {FAN_IN}")).groupBy("group").applyInPandas(merge, _SCHEMA)
+            for r in rows.sort_by([("part", "ascending"), ("place", "ascending")]).select(["doc_id", "start", "doc_tokens", "ids"]).to_pylist():
+                packer.add(r["doc_id"], r["start"], r["doc_tokens"], r["ids"])
+            packer.finish() if last else packer.leave()
+            return pa.Table.from_batches([packer.take()])
+
+        merged = left.withColumn("group", F.expr(f"part div {FAN_IN}")).groupBy("group").applyInArrow(merge, _SCHEMA)
         merged = staged(merged, "packed-rest")
         parts.append(merged.filter("sequence_id is not null"))
         left = merged.filter("sequence_id is null")

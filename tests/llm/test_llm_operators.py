@@ -277,9 +277,14 @@ def test_encoder_equals_the_tokenizer(tokenizer):
 
     plain = Tokenizer.from_file(tokenizer)
     texts = ["It's A TEST, isn't it? ΑΣ. ΣΑΣ, İx É,", "a b c\x1cd", "éa É,", "12,345. x1, a., .", "'re're 've.", "", "ﬁ Straße. ẞ,", "Ünï,\nx​y", "a" * 300 + ","]
-    encoder = packing.Encoder(tokenizer, most=5)
-    for t in texts + texts:
-        assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids + [1], t
+    texts += ["one two. " * 30, "ab\tcd\n\n ef,\rgh.", " ", "\n", ". , .. ., a.. b,, (c). d!, 'S. x.'s", "e\u0301. ni\u0303n\u0303o,", "a" * 70, "don't can't. I'll, we've."]
+    want = [plain.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    for most, piece in ((5, 20), (150_000, 1_000_000)):
+        encoder = packing.Encoder(tokenizer, most=most, piece=piece)
+        for _ in range(3):
+            assert [np.frombuffer(encoder.encode([t])[0], "<u4").tolist() for t in texts] == want
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    assert encoder.encode([None, ""]) == [(1).to_bytes(4, "little")] * 2 and encoder.encode([]) == []
 
 
 def test_packing_round_trip(docs, rows, tokenizer):
@@ -290,11 +295,14 @@ def test_packing_round_trip(docs, rows, tokenizer):
     ids = [(i, np.array(plain.encode(t or "", add_special_tokens=False).ids + [1], "<u4")) for i, t in rows]
     assert sum(r.length for r in got) == sum(len(x) for _, x in ids)
     for i, x in dict(ids).items():
-        copies = sum(k == i for k, _ in ids)
-        own = sorted({(r.start, r.length, r.ids_crc32) for r in got if r.doc_id == i}) if copies == 1 else None
-        if own:
-            assert [s for s, _, _ in own] == [0, *np.cumsum([n for _, n, _ in own])[:-1].tolist()]
-            assert all(zlib.crc32(x[s : s + n].tobytes()) == c for s, n, c in own) and sum(n for _, n, _ in own) == len(x)
+        copies = sum(k == i for k, _ in ids)  # repeated rows are packed one by one
+        own = [(r.start, r.length, r.ids_crc32) for r in got if r.doc_id == i]
+        assert all(r.doc_tokens == len(x) for r in got if r.doc_id == i)
+        assert all(zlib.crc32(x[s : s + n].tobytes()) == c for s, n, c in own) and sum(n for _, n, _ in own) == copies * len(x)
+        covered = np.zeros(len(x), int)
+        for s, n, _ in own:
+            covered[s : s + n] += 1
+        assert (covered == copies).all()
     for s in {r.sequence_id for r in got}:
         own = sorted((r.offset, r.length) for r in got if r.sequence_id == s)
         total = sum(n for _, n in own)
