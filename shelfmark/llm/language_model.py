@@ -7,11 +7,15 @@ diverges from that of its next shorter suffix: twice the count times the Kullbac
 weighted by the number of distinct followers, down to the uniform one. Scoring takes, at each symbol, the longest suffix
 that is a state.
 
-The tree grows with the input and is never in one place. Grams whose contexts end in the same two bytes share all
-suffixes longer than one byte, so the tree falls into independent parts by these bytes. Each part is built in one task
-from its grams and the counts of the one- and two-byte grams (at most 65,536), and meets the distinct grams of each block
-of documents there; only their scores travel back. Word counts are joined in the same way, once per distinct word of a
-block, and both reach the block's task together with its documents.
+1. The texts are cut into chunks, each staged as one compressed row with its distinct words (as 64-bit hashes) and grams,
+   and how often the training documents among them have each. All that follows works on these rows, so that a lost
+   executor's work is done again from the same chunks.
+2. Words fall into buckets by their hash, grams by the last two bytes of their context. Grams of one bucket share all
+   suffixes longer than one byte, so the tree falls into independent parts. The counts of a bucket are merged, first over
+   groups of chunks, then in all; the tree grows with the input and is never in one place.
+3. Each bucket's counts, or its part of the tree (with the counts of the one- and two-byte grams, at most 65,536), meet
+   the distinct words or grams of the chunks; large buckets are met by several tasks. Only counts and scores travel back
+   to the chunks, where they are summed for each document.
 
 Defined results: null and empty texts are the line feed alone; without training rows the tree is uniform; repeated rows
 are scored alike; a null identifier is held out of no fold and trains; an empty table gives no rows; further columns are
@@ -20,47 +24,84 @@ ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.rolling import folded, word_hashes
 from shelfmark.scratch import staged
 
 DEPTH = 5
 #: Weight of the shorter suffix's distribution, for each distinct follower.
 PRIOR = 3.0
 END = b"\n"
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: The closing token's place among the hashes of words.
+_END_HASH = np.uint64(0x5DEECE66D1234567)
+#: Bytes of text in a chunk, and at a time in work on one.
+CHUNK, PART = 16_000_000, 2_000_000
+#: Distinct words or grams of chunks that one task meets with a bucket.
+MEET = 500_000
+TEXTS, WORDS, GRAMS = 0, 1, 2
+_WORD_BITS = 10
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words between white space of ``[\\x20\\x09-\\x0D]``."""
-    return (text if isinstance(text, str) else "").encode("utf-8", "replace").translate(_LOWER).split()
+def stream_of(text: str | None) -> bytes:
+    """Words between white space of ``[\\x20\\x09-\\x0D]``, lower-cased and joined by single blanks, and the closing line feed."""
+    raw = folded(text).strip(b" ")
+    return (b" ".join(raw.split()) if b"  " in raw else raw) + END
 
 
-def stream_of(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as one byte array, each behind ``DEPTH`` zeros, and the number of symbols of each."""
-    texts = [b" ".join(w) + END for w in words]
+def grams_of(texts: list[bytes], length: int = DEPTH + 1) -> np.ndarray:
+    """The code of the last ``length`` bytes up to each byte of each text, that byte in the lowest; before a text all is 0."""
     raw = np.frombuffer(b"".join(bytes(DEPTH) + t for t in texts), np.uint8)
-    return raw, np.array([len(t) for t in texts])
-
-
-def grams_of(raw: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
-    """The code of the last ``length`` bytes up to each symbol, the symbol itself in the lowest byte."""
+    sizes = np.array([len(t) for t in texts], np.int64)
     code = np.zeros(len(raw), np.uint64)
     for k in range(length):
         code[k:] |= raw[: len(raw) - k].astype(np.uint64) << np.uint64(8 * k)
-    ends = np.cumsum(sizes + DEPTH)
     symbol = np.ones(len(raw), bool)
-    for k in range(DEPTH):
-        symbol[ends - sizes - 1 - k] = False
+    at = np.cumsum(sizes + DEPTH) - sizes
+    for k in range(1, DEPTH + 1):
+        symbol[at - k] = False
     return code[symbol]
 
 
+def _parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """In runs of about ``PART`` bytes: the gram codes of the texts, which texts, and how many codes each has there."""
+    own, who, size = [], [], 0
+    for i, t in enumerate(texts):
+        if own and size + len(t) > PART:
+            yield grams_of(own), np.array(who), np.array([len(x) for x in own])
+            own, who, size = [], [], 0
+        if len(t) > 2 * PART:
+            for a in range(0, len(t), PART):  # cut with the bytes before as context
+                lead = t[max(0, a - DEPTH) : a]
+                codes = grams_of([lead + t[a : a + PART]])[len(lead) :]
+                yield codes, np.array([i]), np.array([len(codes)])
+        else:
+            own.append(t)
+            who.append(i)
+            size += len(t)
+    if own:
+        yield grams_of(own), np.array(who), np.array([len(x) for x in own])
+
+
+def turned(codes: np.ndarray) -> np.ndarray:
+    """Codes with the last two bytes of the context on top, so that sorted ones lie bucket by bucket."""
+    last = (codes >> np.uint64(8)) & np.uint64(65535)
+    return (last << np.uint64(32)) | ((codes >> np.uint64(24)) << np.uint64(8)) | (codes & np.uint64(255))
+
+
+def unturned(keys: np.ndarray) -> np.ndarray:
+    far = (keys >> np.uint64(8)) & np.uint64(0xFFFFFF)
+    return (far << np.uint64(24)) | ((keys >> np.uint64(32)) << np.uint64(8)) | (keys & np.uint64(255))
+
+
 class Table:
     """A hash table from 64-bit codes to 32-bit numbers, probed in whole arrays."""
 
@@ -99,7 +140,7 @@ class Table:
 
 
 class Tree:
-    """Built from the counts of all grams of each length (symbol in the lowest byte), rare ones left out."""
+    """Built from the counts of all grams of each length (symbol in the lowest byte)."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], least_gain: float, least_count: int) -> None:
         self.root = np.full(256, np.log10(1 / 256), np.float32)
@@ -161,70 +202,6 @@ class Tree:
         return out
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``word, n`` over all documents, the closing token included."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: Counter = Counter()
-        for b in batches:
-            for text in b["text"]:
-                own.update(tokens_of(text))
-            own[END] += len(b)
-            if len(own) > 1_000_000:
-                yield pd.DataFrame({"word": list(own), "n": list(own.values())})
-                own = Counter()
-        if own:
-            yield pd.DataFrame({"word": list(own), "n": list(own.values())})
-
-    return docs.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """``code, n``: counts of all grams of ``DEPTH`` + 1 bytes."""
-
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return codes, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: list = []
-        for b in batches:
-            for some in _slices(b["text"], 4_000_000):
-                raw, sizes = stream_of([tokens_of(t) for t in some])
-                parts.append(np.unique(grams_of(raw, sizes, DEPTH + 1), return_counts=True))
-                if len(parts) == 12:
-                    parts = [merged(parts)]
-                    if len(parts[0][0]) > 4_000_000:
-                        yield pd.DataFrame({"code": parts[0][0].astype(np.int64), "n": parts[0][1]})
-                        parts = []
-        if parts:
-            codes, n = merged(parts)
-            yield pd.DataFrame({"code": codes.astype(np.int64), "n": n})
-
-    return docs.select("text").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _slices(texts: pd.Series, most: int) -> Iterator[list]:
-    own, size = [], 0
-    for t in texts:
-        own.append(t)
-        size += len(t) if isinstance(t, str) else 0
-        if size >= most:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
-
-
-def _bucket(code, buckets: int):
-    """Of a column or an array of codes: a number below ``buckets`` that depends on the last two bytes of the context."""
-    if isinstance(code, np.ndarray):
-        last = (code.astype(np.int64) >> 8) & 65535
-        return (((last * 40503) & 65535) * buckets) >> 16
-    last = F.shiftright(code, 8).bitwiseAND(F.lit(65535)) * F.lit(40503)
-    return F.shiftright(last.bitwiseAND(F.lit(65535)) * F.lit(buckets), 16)
-
-
 def _levels(codes: np.ndarray, n: np.ndarray, first: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """The grams of every length with their counts; ``first`` are the shortest ones, counted elsewhere."""
     out = list(first)
@@ -235,109 +212,207 @@ def _levels(codes: np.ndarray, n: np.ndarray, first: list[tuple[np.ndarray, np.n
     return out
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    """Sorted codes of six bytes, their bytes in planes, which compress well."""
-    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : DEPTH + 1].T.tobytes()
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    planes = np.zeros((len(raw) // (DEPTH + 1), 8), np.uint8)
-    planes[:, : DEPTH + 1] = np.frombuffer(raw, np.uint8).reshape(DEPTH + 1, -1).T
-    return planes.view("<u8").ravel()
-
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+    return key[new], np.add.reduceat(n[order].astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+
+
+def _words_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the streams, and how many each has, the closing token left out."""
+    found = list(word_hashes([t[:-1] for t in texts]))
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *(h for h, _ in found)]), np.concatenate([none.astype(np.int64), *(n for _, n in found)])
+
+
+def _counted(texts: list[bytes], weight: int) -> tuple[tuple, tuple]:
+    """Distinct words and turned grams with their counts times ``weight``."""
+    words, _ = _words_in(texts)
+    key, n = np.unique(words, return_counts=True)
+    if texts:
+        key, n = merged([key, np.array([_END_HASH])], [n, np.array([len(texts)])])
+    grams = [np.unique(turned(c), return_counts=True) for c, _, _ in _parts(texts)]
+    gram, m = merged([k for k, _ in grams], [c for _, c in grams])
+    return (key, n * weight), (gram, m * weight)
+
+
+_ROWS = {"chunk": pa.int64(), "kind": pa.int32(), "bucket": pa.int64(), "ids": pa.list_(pa.int64()), "keys": pa.binary(), "counts": pa.binary()}
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """``chunk, kind, bucket, ids, keys, counts`` from ``doc_id, text, trains``.
+
+    One row of ``TEXTS`` for each chunk: its doc_ids, compressed streams and their sizes. Rows of ``WORDS`` (hashes) and
+    ``GRAMS`` (the lower halves of turned codes): the sorted keys of a bucket, and their counts in training texts.
+    """
+
+    def rows(chunk: int, ids: list, texts: list[bytes], trains: list[bool]) -> pa.RecordBatch:
+        out = [(chunk, TEXTS, 0, ids, zstandard.ZstdCompressor(level=1).compress(b"".join(texts)), np.array([len(t) for t in texts], "<i8").tobytes())]
+        parts = [_counted([t for t, own in zip(texts, trains, strict=True) if own == flag], flag) for flag in (1, 0)]
+        for kind, shift, width in ((WORDS, 64 - _WORD_BITS, "<u8"), (GRAMS, 32, "<u4")):
+            own = [p[kind - 1] for p in parts]
+            key, n = merged([k for k, _ in own], [c for _, c in own])
+            bucket = key >> np.uint64(shift)
+            starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+                out.append((chunk, kind, int(bucket[a]), None, key[a:z].astype(width).tobytes(), n[a:z].astype("<u4").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ROWS.values(), strict=True)], list(_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        ids, texts, trains, held = [], [], [], 0
+        for b in batches:
+            for i in range(0, b.num_rows, 200):
+                some = b.slice(i, 200)
+                ids += some.column("doc_id").to_pylist()
+                trains += [int(bool(t)) for t in some.column("trains").to_pylist()]
+                new = [stream_of(t) for t in some.column("text").to_pylist()]
+                texts += new
+                held += sum(map(len, new))
+                if held > CHUNK:
+                    yield rows(chunk, ids, texts, trains)
+                    ids, texts, trains, held, chunk = [], [], [], 0, chunk + 1
+        if texts:
+            yield rows(chunk, ids, texts, trains)
+
+    schema = "chunk long, kind int, bucket long, ids array<long>, keys binary, counts binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "trains").mapInArrow(run, schema)
+
+
+def _keys(rows: pa.Table) -> list[np.ndarray]:
+    """Of each row of ``chunks``, as 64-bit numbers."""
+    out = []
+    for kind, bucket, raw in zip(rows["kind"].to_pylist(), rows["bucket"].to_pylist(), rows["keys"].to_pylist(), strict=True):
+        out.append(np.frombuffer(raw, "<u8") if kind == WORDS else np.frombuffer(raw, "<u4").astype(np.uint64) | np.uint64(bucket << 32))
+    return out
 
-def gram_scores(grams: DataFrame, used: DataFrame, buckets: int, least_gain: float) -> DataFrame:
-    """``part, sub, bucket, scores``: for each row of ``used`` (``part, sub, bucket, codes``) the log probabilities of its codes."""
-    pairs = grams.groupBy(F.col("code").bitwiseAND(F.lit(65535)).alias("code")).agg(F.sum("n").alias("n")).toPandas()  # at most 65,536 rows
-    codes, n = pairs["code"].to_numpy(np.int64).astype(np.uint64), pairs["n"].to_numpy(np.int64)
-    single, at = np.unique(codes & np.uint64(255), return_inverse=True)
-    order = np.argsort(codes)
-    order = order[codes[order] > 255]
-    first = [(single, np.bincount(at, n, len(single)).astype(np.int64)), (codes[order], n[order])]
 
-    def run(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+def _blobs(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
+
+
+def parted(rows: DataFrame) -> DataFrame:
+    """Adds ``part`` and ``salt, salts``: small buckets share a part, a large one is met by several tasks, chunk by chunk."""
+    sizes = rows.groupBy("kind", "bucket").agg(F.sum(F.octet_length("counts") / 4).alias("n")).collect()  # at most 65,536 and 1,024 rows
+    plan, held, part, last = [], 0, 0, None
+    for kind, bucket, n in sorted(map(tuple, sizes)):
+        if kind != last or held + n > MEET:
+            part, held = part + 1, 0
+        held, last = held + n, kind
+        plan.append((kind, bucket, part, max(1, round(n / MEET))))
+    plan = rows.sparkSession.createDataFrame(plan, "kind int, bucket long, part int, salts int")
+    salts = plan.groupBy("part").agg(F.max("salts").alias("salts"))
+    plan = plan.drop("salts").join(salts, "part")
+    return rows.join(F.broadcast(plan), ["kind", "bucket"]).withColumn("salt", F.pmod(F.xxhash64("chunk"), F.col("salts")).cast("int"))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """``kind, part, salts, keys, counts, n, distinct, pairs`` over all chunks; what only untrained texts have is left out."""
+
+    def first(rows: pa.Table) -> pa.Table:
+        return merge(rows, _keys(rows), _blobs(rows["counts"], "<u4"))
+
+    def second(rows: pa.Table) -> pa.Table:
+        return merge(rows, _blobs(rows["keys"], "<u8"), _blobs(rows["counts"], "<i8"))
+
+    def merge(rows: pa.Table, keys: list, counts: list) -> pa.Table:
+        key, n = merged(keys, counts)
+        key, n = key[n > 0], n[n > 0]
+        pairs = []
+        if (kind := rows["kind"][0].as_py()) == GRAMS:
+            code, m = merged([unturned(key) & np.uint64(65535)], [n])
+            pairs = list(zip(code.tolist(), m.tolist(), strict=True))
+        one = [[kind], [rows["part"][0].as_py()], [rows["salts"][0].as_py()], [key.astype("<u8").tobytes()], [n.astype("<i8").tobytes()], [int(n.sum())], [len(n)], [[{"code": c, "n": m} for c, m in pairs]]]
+        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(one, kinds.values(), strict=True)], list(kinds))
+
+    pair = pa.list_(pa.struct([("code", pa.int64()), ("n", pa.int64())]))
+    kinds = {"kind": pa.int32(), "part": pa.int32(), "salts": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "n": pa.int64(), "distinct": pa.int64(), "pairs": pair}
+    schema = "kind int, part int, salts int, keys binary, counts binary, n long, distinct long, pairs array<struct<code: bigint, n: bigint>>"
+    rows = rows.select("kind", "bucket", "part", "salt", "salts", "keys", "counts")
+    return rows.groupBy("part", "salt").applyInArrow(first, schema).groupBy("part").applyInArrow(second, schema)
+
+
+def values(rows: DataFrame, total: DataFrame, pairs: list, least_gain: float) -> DataFrame:
+    """``chunk, kind, bucket, found`` for each row of words or grams: the total counts or the log probabilities of its keys."""
+    code, n = np.array([c for c, _ in pairs], np.uint64), np.array([m for _, m in pairs], np.int64)
+    single, at = np.unique(code & np.uint64(255), return_inverse=True)
+    order = np.argsort(code)
+    order = order[code[order] > 255]
+    first = [(single, np.bincount(at, n, len(single)).astype(np.int64)), (code[order], n[order])]
+
+    def run(wanted: pa.Table, total: pa.Table) -> pa.Table:
+        keys = _keys(wanted)
         out = []
-        if len(wanted):
-            tree = Tree(_levels(own["code"].to_numpy(np.int64).astype(np.uint64), own["n"].to_numpy(np.int64), first), least_gain, 1)
-            out = [tree.score(_unpacked(c)).astype("<f4").tobytes() for c in wanted["codes"]]
-        return wanted[["part", "sub", "bucket"]].assign(scores=out)
-
-    keyed = grams.select("code", "n", _bucket(F.col("code"), buckets).alias("bucket"))
-    return keyed.groupBy("bucket").cogroup(used.groupBy("bucket")).applyInPandas(run, "part int, sub long, bucket long, scores binary")
-
-
-def score(docs: DataFrame, training: DataFrame, least_gain: float = 20.0) -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every document of ``docs``."""
-    spark = docs.sparkSession
-    counts = staged(word_counts(training), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    grams = staged(gram_counts(training), "grams")
-    buckets = 8 + grams.count() // 250_000
-    size = 1 + int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b") if spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b").isdigit() else 128 << 20) // (32 << 20)
-    block = F.struct(F.spark_partition_id().alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("sub"))
-    blocks = docs.select("doc_id", "text", block.alias("b")).select("doc_id", "text", "b.part", "b.sub")
-
-    def distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple, set] = {}
-        for b in batches:
-            for text, *key in zip(b["text"], b["part"], b["sub"], strict=True):
-                seen.setdefault(tuple(key), set()).update(tokens_of(text))
-        for (part, sub), words in seen.items():
-            yield pd.DataFrame({"word": [*words, END], "part": part, "sub": sub})
-
-    def by_bucket(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each bucket met and where its codes stand."""
-        own = _bucket(codes, buckets)
-        order = np.argsort(own, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(order) else []:
-            yield int(own[at[0]]), at
-
-    def distinct_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple, list] = {}
-        for b in batches:
-            for key, texts in b.groupby(["part", "sub"])["text"]:
-                parts = seen.setdefault(key, [])
-                for some in _slices(texts, 1_500_000):
-                    parts.append(np.unique(grams_of(*stream_of([tokens_of(t) for t in some]), DEPTH + 1)))
-                    if len(parts) == 12:
-                        parts[:] = [np.unique(np.concatenate(parts))]
-        for (part, sub), parts in seen.items():
-            codes = np.unique(np.concatenate(parts))
-            rows = [(part, sub, bucket, _packed(codes[at])) for bucket, at in by_bucket(codes)]
-            yield pd.DataFrame(rows, columns=["part", "sub", "bucket", "codes"])
-
-    used = blocks.select("text", "part", "sub").mapInPandas(distinct_words, "word binary, part int, sub long")
-    used = used.join(counts, "word", "left").select("part", "sub", "word", F.coalesce("n", F.lit(0)).alias("n"))
-    wanted = blocks.select("text", "part", "sub").mapInPandas(distinct_grams, "part int, sub long, bucket long, codes binary")
-    scores = gram_scores(grams, wanted, buckets, least_gain)
-    # Scores of a bucket travel as a word whose count is below zero.
-    used = used.unionByName(scores.select("part", "sub", F.col("scores").alias("word"), (-1 - F.col("bucket")).alias("n")))
-
-    def run(own: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        packed = words["n"] < 0
-        found = {-1 - k: np.frombuffer(v, "<f4") for k, v in zip(words["n"][packed], words["word"][packed], strict=True)}
-        n = dict(zip(words["word"][~packed], words["n"][~packed], strict=True))
-        slices = []
-        for some in _slices(own["text"], 1_500_000):
-            raw, sizes = stream_of([tokens_of(t) for t in some])
-            codes, at = np.unique(grams_of(raw, sizes, DEPTH + 1), return_inverse=True)
-            slices.append((some, sizes, codes, at.astype(np.int32)))
-        known = np.unique(np.concatenate([s[2] for s in slices])) if slices else np.zeros(0, np.uint64)
-        values = np.zeros(len(known))
-        for bucket, at in by_bucket(known):
-            values[at] = found[bucket]  # one that is missing or of another length raises
-        out = []
-        for some, sizes, codes, at in slices:
-            parts = [tokens_of(t) for t in some]
-            ends = np.cumsum(sizes)
-            sums = np.add.reduceat(values[np.searchsorted(known, codes)][at], ends - sizes)
-            for p, s in zip(parts, sums, strict=True):
-                c = np.array([n[w] for w in p] + [n[END]])  # a word that is missing raises: the input changed between reads
-                out.append((len(c), int((c > 0).sum()), float(np.log10((c + 1) / (total + distinct + 1)).sum()), float(s)))
-        found = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
-        return pd.concat([own[["doc_id"]].reset_index(drop=True), found], axis=1)
-
+        if keys:
+            known, n = merged(_blobs(total["keys"], "<u8"), _blobs(total["counts"], "<i8"))
+            if wanted["kind"][0].as_py() == WORDS:
+                known, n = np.append(known, np.uint64(2**64 - 1)), np.append(n, 0)
+                for k in keys:
+                    at = np.searchsorted(known, k)
+                    out.append(np.where(known[at] == k, n[at], 0).astype("<i8").tobytes())
+            else:
+                codes = unturned(known)
+                order = np.argsort(codes)
+                tree = Tree(_levels(codes[order], n[order], first), least_gain, 1)
+                i = 0
+                while i < len(keys):  # many short rows at a time
+                    j, size = i, 0
+                    while j < len(keys) and (j == i or size + len(keys[j]) < MEET):
+                        size, j = size + len(keys[j]), j + 1
+                    scores = tree.score(unturned(np.concatenate(keys[i:j]))).astype("<f4")
+                    out += [s.tobytes() for s in np.split(scores, np.cumsum([len(k) for k in keys[i:j]])[:-1])]
+                    i = j
+        return wanted.select(["chunk", "kind", "bucket"]).append_column("found", pa.array(out, pa.binary()))
+
+    spread = total.select("part", "keys", "counts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rows = rows.select("chunk", "kind", "bucket", "part", "salt", "keys")
+    return rows.groupBy("part", "salt").cogroup(spread.groupBy("part", "salt")).applyInArrow(run, "chunk long, kind int, bucket long, found binary")
+
+
+def score(docs: DataFrame, trains: Column, least_gain: float = 20.0) -> DataFrame:
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every document; those for which ``trains`` holds are learned from."""
+    found = staged(chunks(docs.select("doc_id", "text", trains.alias("trains"))), "chunks")
+    rows = parted(found.filter(F.col("kind") != TEXTS))
+    total = staged(totals(rows), "totals")
+    words = total.filter(F.col("kind") == WORDS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0)))
+    n_all, distinct = words.first()
+    pairs = total.select(F.explode("pairs").alias("p")).groupBy("p.code").agg(F.sum("p.n").alias("n")).collect()  # at most 65,536 rows
+    looked_up = values(rows, total, [tuple(p) for p in pairs], least_gain)
+
+    def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        lines = defaultdict(list)
+        for kind, bucket, raw in zip(found["kind"].to_pylist(), found["bucket"].to_pylist(), found["found"].to_pylist(), strict=True):
+            lines[kind].append((bucket, raw))
+        line = lambda kind, dtype: np.frombuffer(b"".join(raw for _, raw in sorted(lines[kind])), dtype)  # noqa: E731  in the order of sorted keys
+        ids, tokens, known, base, scores = [], [], [], [], []
+        for doc_ids, blob, sizes in zip(own["ids"].to_pylist(), own["keys"].to_pylist(), own["counts"].to_pylist(), strict=True):
+            raw, ends = zstandard.ZstdDecompressor().decompress(blob), np.cumsum(np.frombuffer(sizes, "<i8"))
+            texts = [raw[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            hashes, counts = _words_in(texts)
+            keys, c = np.unique(np.append(hashes, _END_HASH)), line(WORDS, "<i8")
+            at = np.insert(np.searchsorted(keys, hashes), np.cumsum(counts), np.searchsorted(keys, _END_HASH))
+            starts = np.cumsum(counts + 1) - counts - 1
+            tokens.append(counts + 1)
+            known.append(np.add.reduceat((c > 0)[at].astype(np.int64), starts))
+            base.append(np.add.reduceat((np.log10(c + 1) - np.log10(n_all + distinct + 1))[at], starts))
+            grams = np.zeros(0, np.uint64)
+            for codes, _, _ in _parts(texts):
+                grams = np.union1d(grams, turned(codes))
+            p, own_score = line(GRAMS, "<f4").astype(np.float64), np.zeros(len(texts))
+            for codes, who, size in _parts(texts):
+                own_score[who] += np.add.reduceat(p[np.searchsorted(grams, turned(codes))], np.cumsum(size) - size)
+            scores.append(own_score)
+            ids += doc_ids
+        columns = [pa.array(ids, pa.int64()), *(pa.array(np.concatenate(x) if x else []) for x in (tokens, known, base, scores))]
+        return pa.Table.from_arrays([c.cast(t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    keys = ["part", "sub"]
-    scored = blocks.groupBy(*keys).cogroup(used.groupBy(*keys)).applyInPandas(run, schema)
-    return scored.withColumn("train_tokens", F.lit(int(total)).cast("long"))
+    texts = found.filter(F.col("kind") == TEXTS).select("chunk", "ids", "keys", "counts")
+    scored = texts.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(run, schema)
+    return scored.withColumn("train_tokens", F.lit(int(n_all)).cast("long"))

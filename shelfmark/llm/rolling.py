@@ -55,8 +55,10 @@ class Hashed:
         return mix((self.sums[length:] - self.sums[:n]) * self.down[:n])
 
 
-def folded(text: str | None) -> bytes:
-    """UTF-8 of the text after ``LOWER``; null is empty."""
+def folded(text: str | bytes | None) -> bytes:
+    """UTF-8 of the text after ``LOWER``; null is empty, bytes are folded already."""
+    if isinstance(text, bytes):
+        return text
     return text.encode("utf-8", "replace").translate(LOWER) if isinstance(text, str) else b""
 
 

@@ -336,23 +336,74 @@ def test_codewords():
         assert len({tuple(c) for c in code}) == k and (k < 2 or all((code[i] != code[j]).any() for i in range(k) for j in range(i)))
 
 
-def test_language_model(spark, docs, rows):
-    docs = docs.dropDuplicates(["doc_id"])
-    rows = sorted(dict(rows).items())
-    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
-    got = {r.doc_id: r for r in language_model.score(docs, docs.filter(F.col("doc_id").isin(train))).collect()}
-    tokens = {i: [*language_model.tokens_of(t), b"\n"] for i, t in rows}
-    c = collections.Counter(w for i in train for w in tokens[i])
+def suffix_tree_scores(train, texts, least_gain, prior=3.0, depth=5):
+    """A plain suffix tree with dictionaries: log10 of each text's probability."""
+    stream = lambda t: b"\0" * depth + b" ".join((t or "").encode().lower().split()) + b"\n"
+    follow = collections.defaultdict(collections.Counter)
+    for t in map(stream, train):
+        for i in range(depth, len(t)):
+            for d in range(depth + 1):
+                if t[i - d : i].count(0) == 0:
+                    follow[t[i - d : i]][t[i]] += 1
+    states = {}
+
+    def p(context, symbol):
+        if not context:
+            n, k = sum(follow[b""].values()), len(follow[b""])
+            return (follow[b""][symbol] + k / 256) / (n + k) if n else 1 / 256
+        short = p(context[1:], symbol)
+        if context not in states:
+            f = follow.get(context, {})
+            n, k = sum(f.values()), len(f)
+            share = {s: (c + prior * k * p(context[1:], s)) / (n + prior * k) for s, c in f.items()}
+            states[context] = 2 * sum(c * math.log(share[s] / p(context[1:], s)) for s, c in f.items()) >= least_gain if f else False
+        if not states[context]:
+            return short
+        f = follow[context]
+        n, k = sum(f.values()), len(f)
+        return (f.get(symbol, 0) + prior * k * short) / (n + prior * k)
+
+    out = []
+    for t in map(stream, texts):
+        out.append(sum(math.log10(p(t[i - depth : i].rpartition(b"\0")[2], t[i])) for i in range(depth, len(t))))
+    return out, sum(states.values())
+
+
+def test_language_model(spark, docs, rows, monkeypatch):
+    """Against counts and a plain suffix tree; chunks and buckets so small that all ways of merging are taken."""
+    monkeypatch.setattr(language_model, "MEET", 300)
+    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    got = collections.defaultdict(list)
+    for r in language_model.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, least_gain=8.0).collect():
+        got[r.doc_id].append(r)
+    tokens = [(i, [*(t or "").encode().lower().split(), b"\n"]) for i, t in rows]
+    c = collections.Counter(w for i, t in train for w in [*(t or "").encode().lower().split(), b"\n"])
     n, v = sum(c.values()), len(c)
-    for i, w in tokens.items():
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert got[i].base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
-        assert got[i].score < 0
+    want, kept = suffix_tree_scores([t for _, t in train], [t for _, t in rows], 8.0)
+    assert sum(map(len, got.values())) == len(rows) and kept > 50
+    for (i, w), score in zip(tokens, want, strict=True):
+        for r in got[i]:
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
+            assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
+            assert r.score == pytest.approx(score, rel=1e-4)
+
+
+def test_streams_are_cut_with_their_context(monkeypatch):
+    texts = [language_model.stream_of(text(random.Random(i), 400)) for i in range(3)] + [b"\n", language_model.stream_of("  A \t b ")]
+    assert texts[4] == b"a b\n"
+    whole = [language_model.grams_of([t]) for t in texts]
+    monkeypatch.setattr(language_model, "PART", 50)
+    found = [[] for _ in texts]
+    for codes, who, size in language_model._parts(texts):
+        for i, own in zip(who, np.split(codes, np.cumsum(size)[:-1]), strict=True):
+            found[i].append(own)
+    assert all((np.concatenate(f) == w).all() for f, w in zip(found, whole, strict=True))
+    codes = np.concatenate(whole)
+    assert (language_model.unturned(language_model.turned(codes)) == codes).all()
 
 
 def test_suffix_tree_sums_to_one():
-    raw, sizes = language_model.stream_of([language_model.tokens_of(text(random.Random(i), 80)) for i in range(30)])
-    codes, n = np.unique(language_model.grams_of(raw, sizes, 6), return_counts=True)
+    codes, n = np.unique(language_model.grams_of([language_model.stream_of(text(random.Random(i), 80)) for i in range(30)]), return_counts=True)
     levels = []
     for d in range(6):
         k, at = np.unique(codes & np.uint64((1 << (8 * (d + 1))) - 1), return_inverse=True)
@@ -372,12 +423,11 @@ def test_language_model_keeps_rare_grams(spark):
     some = [(i, text(r, 60)) for i in range(6)]
     docs = spark.createDataFrame([*some, (9, "never seen: Zq9x")], "doc_id long, text string")
     filler = spark.range(100, 200, numPartitions=4).select(F.col("id").alias("doc_id"), F.repeat(F.lit("river stone "), 10_000).alias("text"))
-    got = {x.doc_id: x.score for x in language_model.score(docs, filler.unionByName(docs.filter("doc_id < 6"))).collect()}
-    texts = [language_model.tokens_of(t) for _, t in some]
-    grams = lambda w: language_model.grams_of(*language_model.stream_of(w), 6)
-    codes = [*map(int, grams(texts))]
-    counts = collections.Counter(codes)
-    for code in grams([language_model.tokens_of("river stone " * 10_000)]):
+    every = docs.withColumn("trains", F.col("doc_id") < 6).unionByName(filler.withColumn("trains", F.lit(True)))
+    got = {x.doc_id: x.score for x in language_model.score(every, F.col("trains")).collect()}
+    grams = lambda texts: language_model.grams_of([language_model.stream_of(t) for t in texts])
+    counts = collections.Counter(map(int, grams([t for _, t in some])))
+    for code in grams(["river stone " * 10_000]):
         counts[int(code)] += 100
     keys, n = np.array(list(counts), np.uint64), np.array(list(counts.values()))
     levels = []
@@ -387,7 +437,7 @@ def test_language_model_keeps_rare_grams(spark):
         levels.append((k[known], np.bincount(at, n).astype(np.int64)[known]))
     tree = language_model.Tree(levels, 20.0, 1)
     for i, t in docs.collect():
-        assert got[i] == pytest.approx(tree.score(grams([language_model.tokens_of(t)])).sum(), rel=1e-5)
+        assert got[i] == pytest.approx(tree.score(grams([t])).sum(), rel=1e-5)
 
 
 def test_empty_tree_is_uniform():
@@ -505,7 +555,7 @@ def test_empty_tables(spark, empty, tokenizer):
     assert packing.pack(empty, tokenizer).count() == 0
     assert language_id.identify(empty, None).count() == 0
     assert decontaminate.contamination(empty, bench).count() == 0
-    assert language_model.score(empty, empty).count() == 0
+    assert language_model.score(empty, F.lit(True)).count() == 0
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
@@ -517,5 +567,5 @@ def test_null_identifiers(spark, tokenizer):
     assert sharding.shard_documents(df).count() == 3
     assert packing.pack(df, tokenizer).filter("doc_id is null").count() == 1
     assert decontaminate.contamination(df, bench).filter("contaminated").count() == 2
-    assert language_model.score(df, df).count() == 3
+    assert language_model.score(df, F.lit(True)).count() == 3
     assert {r.doc_id for r in substring_dedup.remove_repeats(df).collect()} == {None, 1, 2}
