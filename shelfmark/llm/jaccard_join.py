@@ -11,7 +11,7 @@ first ``a - alpha + l`` of one and the first ``b - alpha + l`` of the other shar
 2. Each survivor is verified against one other set, the head it shares most of its 64 least shingles with; a list's head
    is its set whose shingles are the most common. What links is merged into components: near copies of one original.
 3. Shingles whose lists lie within one component cannot link components, so they come first in each survivor's order, all
-   others follow by the length of their lists. Each set estimates the cost of its candidates from the lengths of its
+   others follow by the length of their lists. Each set estimates the cost of its candidates from the entries of its
    lists for 1, 2, 4, 8 and 16 matches and lengthens its prefix to the cheapest. It reads the first
    ``a - alpha + 1`` lists; pairs of different components met there must share that many shingles within their prefixes.
 4. All pairs are verified on the whole sets. Components of all verified links are the result.
@@ -192,6 +192,26 @@ def _near_heads(sets: DataFrame, num: int, den: int) -> DataFrame:
     return best.select(F.col("b.head").alias("src"), F.col("node").alias("dst"))
 
 
+def _chosen(own: DataFrame, num: int, den: int) -> DataFrame:
+    """``node, l``: for each set the number of matches that makes its candidates cheapest.
+
+    The list entries that a set would read for ``l`` matches are counted as they are for sets of its own size: entries of
+    lists it reads, of other components than its own, at places that such a set's prefix for ``l`` matches reaches. Each
+    must be read, and every ``l`` of them may be one candidate to verify.
+    """
+    short = F.col("n") - _alpha(F.col("n"), F.col("n"), num, den)
+    rows = own.select("node", "n", "c", short.alias("short"), "closed", F.posexplode("own").alias("i", "token"))
+    rows = rows.select("node", "n", "c", "token", (F.col("i") + F.col("closed") - F.col("short")).alias("beyond"))
+    own_lists = rows.groupBy("token", "c").agg(*(F.count_if(F.col("beyond") < k).alias(f"o{k}") for k in MATCHES))
+    lists = own_lists.groupBy("token").agg(*(F.sum(f"o{k}").alias(f"d{k}") for k in MATCHES))
+    read = rows.filter("beyond < 1").join(own_lists, ["token", "c"]).join(lists, "token")
+    read = read.groupBy("node").agg(F.max("n").alias("n"), *(F.sum(F.col(f"d{k}") - F.col(f"o{k}")).alias(f"d{k}") for k in MATCHES))
+    costs = [F.struct((F.col(f"d{k}") * (1 + VERIFY / k)).alias("cost"), F.lit(k).alias("l")) for k in MATCHES]
+    fits = [F.when((F.lit(k) == 1) | (F.col("n") * num >= k * den), c) for k, c in zip(MATCHES, costs, strict=True)]  # smaller sets cannot share k
+    read = read.select("node", F.array_min(F.array_compact(F.array(*fits)))["l"].alias("l"))
+    return own.select("node").join(read, "node", "left").select("node", F.coalesce("l", F.lit(1)).alias("l"))
+
+
 def _across(sets: DataFrame, component: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs of different components by adaptive prefixes, each set reading for those not above it in size."""
     sets = sets.join(component.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
@@ -208,11 +228,8 @@ def _across(sets: DataFrame, component: DataFrame, num: int, den: int) -> DataFr
         return F.slice("own", 1, F.greatest(F.col("base") + k - F.col("closed"), F.lit(0)))
 
     own = own.withColumn("own", first(MATCHES[-1])).filter(F.size("own") > 0)
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, e: t + e["df"])
-    costs = [F.struct((total(first(1)) + VERIFY * total(first(k)) / F.lit(k)).alias("cost"), F.lit(k).alias("l")) for k in MATCHES]
-    fits = [F.when((F.lit(k) == 1) | (F.col("n") * num >= k * den), c) for k, c in zip(MATCHES, costs, strict=True)]  # smaller sets cannot share k
-    own = own.withColumn("l", F.array_min(F.array_compact(F.array(*fits)))["l"])
-    own = staged(own.select("node", "n", "c", "l", "closed", "base", F.transform("own", lambda e: e["token"]).alias("own")), "prefixes")
+    own = staged(own.select("node", "n", "c", "closed", "base", F.transform("own", lambda e: e["token"]).alias("own")), "prefixes")
+    own = own.join(_chosen(own, num, den), "node")
 
     probe = own.select(F.col("node").alias("x"), F.col("n").alias("a"), F.col("c").alias("cx"), "l", "closed", F.posexplode(F.slice("own", 1, F.greatest(F.col("base") + 1 - F.col("closed"), F.lit(0)))).alias("i", "t"))
     probe = probe.withColumn("i", F.col("i") + F.col("closed")).drop("closed")
