@@ -19,13 +19,24 @@ def shifted(ts: Column, hours: int) -> Column:
     return ts + F.make_dt_interval(hours=F.lit(hours))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _timestamp(text: Column, pattern: str, in_range: bool) -> Column:
-    parts = [F.try_to_number(F.nullif(F.regexp_extract(text, pattern, i), F.lit("")), F.lit("9999")).cast("int") for i in range(1, 7)]
-    ts = F.try_make_timestamp_ntz(*parts)
-    ok = parts[5] <= 59
-    if in_range:
-        ok = ok & parts[0].between(2000, 2100)
-    return F.when(ok, ts)
+    """The six fields come from one match, turned into a list and read from there."""
+    match = F.regexp_extract(text, pattern, 0)
+    fields = F.split(F.regexp_replace(match, pattern, "$1 $2 $3 $4 $5 $6"), " ")
+
+    def made(found: Column) -> Column:
+        parts = [F.get(found, i).try_cast("int") for i in range(6)]
+        ok = parts[5] <= 59
+        if in_range:
+            ok = ok & parts[0].between(2000, 2100)
+        return F.when(ok, F.try_make_timestamp_ntz(*parts))
+
+    return _let(fields, made)
 
 
 def exif_time(*tags: Column, offset_hours: int = OFFSET_HOURS) -> Column:
@@ -41,8 +52,7 @@ def name_time(name: Column, offset_hours: int = OFFSET_HOURS, compact: bool = Fa
 
 def resolve(files: DataFrame, now: Column, offset_hours: int = OFFSET_HOURS) -> DataFrame:
     """Adds ``best_time`` and ``time_source`` from ``exif_time, file_name, file_modified, file_created``."""
-    named = name_time(F.col("file_name"), offset_hours)
-    files = files.withColumn("_named", named)
+    files = files.withColumn("_named", _let(name_time(F.col("file_name"), offset_hours), lambda t: t))
     modified, created = shifted(F.col("file_modified"), -offset_hours), shifted(F.col("file_created"), -offset_hours)
     source = (
         F.when(F.col("exif_time").isNotNull(), "exif")

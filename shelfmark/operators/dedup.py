@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.fingerprint import full_hash, quick_hash
@@ -27,19 +27,30 @@ def funnel(files: DataFrame, content: DataFrame) -> dict[str, DataFrame]:
     return {"size": by_size, "quick": by_quick.drop("content"), "full": _shared(full, ["task_id", "sha256"])}
 
 
-def keeper_rank(group: list[str]) -> Column:
-    """1 for the file to keep: largest, with EXIF, shortest path, smallest id."""
-    order = [F.coalesce("file_size", F.lit(0)).desc(), F.coalesce("has_exif", F.lit(False)).desc(), F.length("file_path").asc(), F.col("file_id").asc()]
-    return F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+def keeper_order() -> Column:
+    """The least of it is the file to keep: largest, with EXIF, shortest path, smallest id."""
+    return F.struct(
+        (-F.coalesce("file_size", F.lit(0))).alias("size"), (~F.coalesce("has_exif", F.lit(False))).alias("bare"), F.length("file_path").alias("path"), "file_id"
+    )
 
 
 def exact_members(files: DataFrame, content: DataFrame) -> DataFrame:
-    """``task_id, group_id, file_id, file_size, is_recommended``; a group is named by its smallest file_id."""
+    """``task_id, group_id, file_id, file_size, is_recommended``; a group is named by its smallest file_id.
+
+    Name and keeper are minima, combined before the shuffle and joined back, so a large group is never gathered in one task.
+    """
     same = funnel(files, content)["full"].select("file_id", "sha256")
     rows = files.join(same, "file_id")
-    first = rows.groupBy("task_id", "sha256").agg(F.min("file_id").alias("group_id"))
+    first = rows.groupBy("task_id", "sha256").agg(F.min("file_id").alias("group_id"), F.min(keeper_order())["file_id"].alias("_keep"))
     rows = rows.join(first, ["task_id", "sha256"])
-    return rows.withColumn("is_recommended", keeper_rank(["task_id", "group_id"]) == 1)
+    return rows.withColumn("is_recommended", F.col("file_id") == F.col("_keep")).drop("_keep")
+
+
+def recommended(members: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds ``is_recommended`` to members of any groups, by the same order as for exact ones."""
+    rows = members.join(files.select("file_id", "file_size", "has_exif", "file_path"), "file_id")
+    keep = rows.groupBy("task_id", "group_id").agg(F.min(keeper_order())["file_id"].alias("_keep"))
+    return rows.join(keep, ["task_id", "group_id"]).withColumn("is_recommended", F.col("file_id") == F.col("_keep")).drop("_keep")
 
 
 def groups(members: DataFrame, group_type: str, similarity: float | None) -> DataFrame:
@@ -50,6 +61,12 @@ def groups(members: DataFrame, group_type: str, similarity: float | None) -> Dat
     return out.withColumns({"group_type": F.lit(group_type), "similarity": F.lit(similarity).cast("double")})
 
 
+def group_table(exact: DataFrame, similar: DataFrame) -> DataFrame:
+    """Exact groups (similarity 1) and similar ones (similarity null) in one table, the latter named ``-1 - group_id``."""
+    named = groups(similar, "similar", None).withColumn("group_id", -1 - F.col("group_id"))
+    return groups(exact, "exact", 1.0).unionByName(named)
+
+
 def funnel_counts(files: DataFrame, content: DataFrame) -> DataFrame:
     """How many files are left after each stage."""
     stages = funnel(files, content)

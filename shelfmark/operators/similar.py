@@ -1,17 +1,22 @@
 """Hamming similarity self-join by bands and its connected components.
 
 Two 64-bit hashes at a distance of at most t agree, within floor(t / bands) bits, on one of ``bands`` bands. Every hash
-stores each of its bands; it probes them with every flip mask of that weight. Equal hashes collapse to one row first, so
-bursts of equal images never meet as pairs. All candidates are verified.
+stores each of its bands with some of these bits flipped and probes with the others flipped. How many bands there are,
+and how many bits each side flips, is chosen for the number of hashes: the rows made and the pairs met by chance at that
+number are estimated and the cheapest choice is taken. Equal hashes collapse to one row first, so bursts of equal images
+never meet as pairs, and the task is part of the key. All candidates are verified.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.fingerprint import hex_to_bits
 from shelfmark.operators.components import connected_components
 from shelfmark.scratch import staged
 
@@ -22,33 +27,62 @@ def threshold(level: str) -> int:
     return LEVELS.get(level, 8)
 
 
-def bands_for(t: int) -> list[tuple[int, int, int]]:
-    """(shift, width, flips) of each band: enough bands that few flips are left, wide enough to be selective."""
-    n = 5 if t <= 4 else 3 if t <= 8 else 4 if t <= 15 else 5 if t <= 19 else 6
+def bands_for(t: int, size: int) -> list[tuple[int, int, int, int]]:
+    """(shift, width, flips stored, flips probed) of each band, for ``size`` hashes."""
+
+    def cost(n: int, stored: int) -> float:
+        width, probed = 64 // n, t // n - stored
+        a, b = (sum(math.comb(width, k) for k in range(f + 1)) for f in (stored, probed))
+        return n * (a + b + size * a * b / 2.0**width)
+
+    choices = [(n, s) for n in range(1, min(t + 1, 64) + 1) for s in range(t // n // 2 + 1)]
+    n, stored = min(choices, key=lambda c: cost(*c))
     widths = [64 // n + (i < 64 % n) for i in range(n)]
     shifts = list(itertools.accumulate([0, *widths[:-1]]))
-    return [(s, w, t // n) for s, w in zip(shifts, widths, strict=True)]
+    return [(s, w, stored, t // n - stored) for s, w in zip(shifts, widths, strict=True)]
 
 
 def _masks(width: int, flips: int) -> list[int]:
     return [sum(1 << b for b in c) for k in range(flips + 1) for c in itertools.combinations(range(width), k)]
 
 
-def hamming_pairs(hashes: DataFrame, t: int) -> DataFrame:
-    """``a, b, distance`` for distinct hash values ``h`` with a < b at a distance of at most t."""
-    values = hashes.filter("h is not null").select("h").distinct()
-    store = probe = None
-    for k, (shift, width, flips) in enumerate(bands_for(t)):
-        part = F.shiftrightunsigned("h", shift).bitwiseAND(F.lit((1 << width) - 1)).cast("long")
-        own = values.select(F.lit(k).alias("k"), part.alias("part"), F.col("h").alias("a"))
-        masks = F.array(*[F.lit(m) for m in _masks(width, flips)]).cast("array<bigint>")
-        other = values.select(F.lit(k).alias("k"), F.explode(masks).alias("m"), F.col("h").alias("b"))
-        other = other.select("k", F.shiftrightunsigned("b", shift).bitwiseAND(F.lit((1 << width) - 1)).cast("long").bitwiseXOR(F.col("m")).alias("part"), "b")
-        store = own if store is None else store.unionByName(own)
-        probe = other if probe is None else probe.unionByName(other)
+def hamming_pairs(hashes: DataFrame, t: int, *carried: str) -> DataFrame:
+    """``task_id, a, b, distance`` for distinct hash values ``h`` of one ``task_id`` (all, if there is no such column) with a < b at a distance of at most t.
+
+    Of ``carried`` columns, which must depend on the task and the value, there is one for each side: ``a_name, b_name``.
+    """
+    if "task_id" not in hashes.columns:
+        hashes = hashes.withColumn("task_id", F.lit(0))
+    values = hashes.filter("h is not null").select("task_id", "h", *carried).distinct()
+    side = {"a": None, "b": None}
+    for k, (shift, width, *flips) in enumerate(bands_for(t, values.count())):
+        part = F.shiftrightunsigned("h", shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)).cast("long")
+        for name, most in zip(side, flips, strict=True):
+            masks = [m - (1 << 64) * (m >= 1 << 63) for m in _masks(width, most)]
+            own = [F.col("h").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in carried)]
+            rows = values.select("task_id", F.lit(k).alias("k"), part.alias("part"), *own)
+            if most:
+                rows = rows.withColumn("m", F.explode(F.array(*map(F.lit, masks)).cast("array<bigint>"))).withColumn("part", F.col("part").bitwiseXOR(F.col("m"))).drop("m")
+            side[name] = rows if side[name] is None else side[name].unionByName(rows)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    found = store.join(probe, (store["k"] == probe["k"]) & (store["part"] == probe["part"]) & (F.col("a") < F.col("b")) & (near <= t))
-    return found.select("a", "b", near.cast("int").alias("distance")).distinct()
+    found = side["a"].join(side["b"], ["task_id", "k", "part"]).filter((F.col("a") < F.col("b")) & (near <= t))
+    both = [f"{name}_{c}" for c in carried for name in side]
+    return found.select("task_id", "a", "b", *both, near.cast("int").alias("distance")).distinct()
+
+
+def simhashes(texts: DataFrame) -> DataFrame:
+    """``task_id, file_id, h`` from ``task_id, file_id, text``: 64 bits, each 1 where more tokens' hashes have it than not.
+
+    Tokens are the lower-cased words between blanks, tabs and line ends, their hashes the first half of their MD5. A file
+    without tokens has no bit set. The bits are summed per file, combined before the shuffle.
+    """
+    tokens = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \n\t\r]+")
+    rows = texts.select("task_id", "file_id", F.explode(tokens).alias("t"))
+    rows = rows.withColumn("v", F.when(F.col("t") != "", hex_to_bits(F.substring(F.md5("t"), 1, 16))))
+    ones = [F.sum(F.shiftrightunsigned("v", 63 - i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
+    sums = rows.groupBy("task_id", "file_id").agg(F.count("v").alias("n"), *ones)
+    bits = [F.shiftleft((2 * F.col(f"b{i}") > F.col("n")).cast("long"), 63 - i) for i in range(64)]
+    return sums.select("task_id", "file_id", functools.reduce(lambda a, b: a.bitwiseOR(b), (F.coalesce(b, F.lit(0)) for b in bits)).alias("h"))
 
 
 def hash_classes(hashes: DataFrame) -> DataFrame:
@@ -58,11 +92,8 @@ def hash_classes(hashes: DataFrame) -> DataFrame:
 
 def edges(hashes: DataFrame, t: int) -> DataFrame:
     """``task_id, src, dst, distance`` between class representatives of one task; equal hashes are one class."""
-    classes, pairs = hash_classes(hashes), hamming_pairs(hashes, t)
-    a = classes.select("task_id", F.col("h").alias("a"), F.col("rep").alias("ra"))
-    b = classes.select(F.col("task_id").alias("other"), F.col("h").alias("b"), F.col("rep").alias("rb"))
-    both = pairs.join(a, "a").join(b, "b").filter("task_id = other")
-    return both.select("task_id", F.least("ra", "rb").alias("src"), F.greatest("ra", "rb").alias("dst"), "distance")
+    pairs = hamming_pairs(hash_classes(hashes), t, "rep")
+    return pairs.select("task_id", F.least("a_rep", "b_rep").alias("src"), F.greatest("a_rep", "b_rep").alias("dst"), "distance")
 
 
 def groups_at(hashes: DataFrame, links: DataFrame, t: int) -> DataFrame:

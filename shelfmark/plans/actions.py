@@ -29,7 +29,11 @@ def without(table: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def delete_by_extension(files: DataFrame, wanted: str) -> DataFrame:
-    return files.filter(has_extension(F.col("extension"), wanted))
+    """Files of one extension; raises if there are none, as there is nothing to plan."""
+    plan = files.filter(has_extension(F.col("extension"), wanted))
+    if plan.isEmpty():
+        raise ValueError(f"no file has the extension {wanted}")
+    return plan
 
 
 def write_positions(matches: DataFrame, files: DataFrame, fill_only: bool = True) -> DataFrame:
@@ -70,11 +74,18 @@ def write_times(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def organise(files: DataFrame, rename: bool = False, offset_hours: int = 8) -> DataFrame:
-    """Moves to ``yyyy/MM/name``; later files (by file_id) with a taken target get ``-1``, ``-2``, ... before the extension."""
+    """Moves to ``yyyy/MM/name``; later files (by file_id) with a taken target get ``-1``, ``-2``, ... before the extension.
+
+    Files of one target are numbered inside ranges of 65,536 ids; running sums of the ranges' counts give the rest.
+    """
     target = target_path(F.col("best_time"), F.col("file_name"), offset_hours, rename)
-    rows = files.filter("best_time is not null").withColumn("target", target)
-    nth = F.row_number().over(Window.partitionBy("target").orderBy("file_id")) - 1
-    return rows.withColumn("_n", nth).withColumn("target", _suffixed(F.col("target"), F.col("_n"))).drop("_n")
+    rows = files.filter("best_time is not null").withColumn("target", target).withColumn("_range", F.shiftright("file_id", 16))
+    counts = rows.groupBy("target", "_range").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy("target").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("target", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("target", "_range").orderBy("file_id")) - 1
+    rows = rows.withColumn("_n", nth).join(counts, ["target", "_range"]).withColumn("_n", F.col("_n") + F.col("_before"))
+    return rows.withColumn("target", _suffixed(F.col("target"), F.col("_n"))).drop("_n", "_before", "_range")
 
 
 def _suffixed(target: Column, n: Column) -> Column:

@@ -16,12 +16,12 @@ def _members(s, d):
     return dedup.exact_members(r.document_files(s, d), r.document_content(s, d))
 
 
-_MEMBERS = f"""
+MEMBERS = f"""
     select *, row_number() over (partition by h order by file_size desc, has_exif desc, length(file_path), file_id) = 1 as is_recommended
     from (select *, min(file_id) over (partition by h) as group_id, count(*) over (partition by h) as n
           from (select *, sha256(content) as h from ({r.DOCUMENT_FILES}))) where n >= 2"""
 _GROUPS = f"""select group_id, count(*) as file_count, max(case when is_recommended then file_id end) as recommended_keep_id,
-    'exact' as group_type, 1.0::double as similarity from ({_MEMBERS}) group by group_id"""
+    'exact' as group_type, 1.0::double as similarity from ({MEMBERS}) group by group_id"""
 
 
 def dup_exact_groups(s, d):
@@ -44,6 +44,10 @@ def dup_group_page(s, d):
     return paging.page(dedup.groups(_members(s, d), "exact", 1.0), "file_count", "group_id", descending=True, size=20).select("group_id", "file_count")
 
 
+def dup_group_total(s, d):
+    return paging.total(dedup.groups(_members(s, d), "exact", 1.0))
+
+
 def dup_delete_plan(s, d):
     files = r.document_files(s, d)
     return actions.delete_duplicates(dedup.accept(_members(s, d)), files).select("file_id", "file_path", "file_size", formats.size_text(F.col("file_size")).alias("size_text"))
@@ -128,7 +132,7 @@ def organise_plan(s, d):
     return actions.organise(files).select("file_id", "target")
 
 
-_PLAN = f"select file_id, file_path, file_size from ({_MEMBERS}) where not is_recommended"
+_PLAN = f"select file_id, file_path, file_size from ({MEMBERS}) where not is_recommended"
 _SIZE = """case when file_size is null or file_size = 0 then '-' when file_size < 1024 then file_size || ' B'
     when file_size < 1048576 then format('{:.1f} KB', file_size / 1024.0) else format('{:.1f} MB', file_size / 1048576.0) end"""
 _DIRS = """
@@ -137,14 +141,15 @@ _DIRS = """
     busy as (select distinct array_to_string(l[1:i], '/') as path from (select l, unnest(range(1, len(l) + 1)) as i from p where page_id % 3 = 0))"""
 
 QUERIES = {f.__name__: f for f in (
-    dup_exact_groups, dup_exact_members, dup_funnel_counts, dup_reclaimable, dup_group_page, dup_delete_plan, dup_group_details, quick_hash_groups, scan_by_type,
+    dup_exact_groups, dup_exact_members, dup_funnel_counts, dup_reclaimable, dup_group_page, dup_group_total, dup_delete_plan, dup_group_details, quick_hash_groups, scan_by_type,
     scan_by_extension, scan_classified, task_rollup, file_page, file_page_desc, delete_by_extension_plan, delete_by_extension_freed, empty_dirs,
     change_detection, pending_features, audit_page, audit_rows, organise_plan,
 )}
 
 ORACLE_SQL = {
+    "dup_group_total": f"select count(*) as total from ({_GROUPS})",
     "dup_exact_groups": _GROUPS,
-    "dup_exact_members": f"select group_id, file_id, file_size, is_recommended, case when is_recommended then 'keep' else 'delete' end as user_action from ({_MEMBERS})",
+    "dup_exact_members": f"select group_id, file_id, file_size, is_recommended, case when is_recommended then 'keep' else 'delete' end as user_action from ({MEMBERS})",
     "dup_funnel_counts": f"""
         with f as ({r.DOCUMENT_FILES}), a as (select *, count(*) over (partition by file_size) as n1 from f where file_size is not null),
         b as (select *, count(*) over (partition by file_size, md5(substr(hex(encode(content)), 1, 16384) || case when strlen(content) > 16384 then substr(hex(encode(content)), 2 * strlen(content) - 16383) else '' end)) as n2
@@ -153,10 +158,10 @@ ORACLE_SQL = {
         select 1 as stage, 'size' as name, count(*) as files from a where n1 >= 2
         union all select 2, 'quick', count(*) from b where n2 >= 2 union all select 3, 'full', count(*) from c where n3 >= 2""",
     "dup_reclaimable": f"""select count(*) as groups, cast(coalesce(sum(n), 0) as bigint) as files, cast(coalesce(sum(b), 0) as bigint) as bytes, round(coalesce(sum(b), 0) / 1048576.0, 2) as mb
-        from (select count(*) as n, sum(file_size) - max(file_size) as b from ({_MEMBERS}) group by group_id)""",
+        from (select count(*) as n, sum(file_size) - max(file_size) as b from ({MEMBERS}) group by group_id)""",
     "dup_group_page": f"select group_id, file_count from ({_GROUPS}) order by file_count desc, group_id limit 20",
     "dup_delete_plan": f"select file_id, file_path, file_size, {_SIZE} as size_text from ({_PLAN})",
-    "dup_group_details": f"select group_id, file_id, file_path, is_recommended from ({_MEMBERS})",
+    "dup_group_details": f"select group_id, file_id, file_path, is_recommended from ({MEMBERS})",
     "quick_hash_groups": f"""select min(file_id) as first_id, count(*) as n from ({r.DOCUMENT_FILES}) where content is not null
         group by file_size, substr(hex(encode(content)), 1, 16384) || case when strlen(content) > 16384 then substr(hex(encode(content)), 2 * strlen(content) - 16383) else '' end having count(*) >= 2""",
     "scan_by_type": f"""select t.file_type, count(f.file_id) as n from (values ('image'), ('video'), ('raw'), ('other')) t(file_type)

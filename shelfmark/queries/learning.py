@@ -8,6 +8,7 @@ from shelfmark.functions.fingerprint import difference_hash, ring_hash, unit_len
 from shelfmark.operators import dedup, paging, prefs, similar, stats
 from shelfmark.plans import actions
 from shelfmark.queries import recipes as r
+from shelfmark.queries.catalog import MEMBERS
 from shelfmark.scratch import staged
 
 #: The fixture's hashes are far apart, so wider thresholds than the defaults are used on it.
@@ -52,6 +53,53 @@ def dup_summary(s, d):
     return dedup.summary(_exact_of_vectors(s, d), groups)
 
 
+def _vector_files(s, d):
+    return r.table(s, d, "embeddings").selectExpr("vec_id as file_id", "vec_id * 37 % 11 as file_size", "vec_id % 3 = 0 as has_exif", "'/v/' || vec_id as file_path")
+
+
+def dup_group_table(s, d):
+    """Exact groups of documents and similar groups of vectors, as one run shows them."""
+    exact = dedup.exact_members(r.document_files(s, d), r.document_content(s, d))
+    similar_ = dedup.recommended(similar.similar_groups(_hashes(s, d), 16), _vector_files(s, d))
+    return dedup.group_table(exact, similar_).drop("task_id")
+
+
+def _text_hashes(s, d):
+    return similar.simhashes(r.table(s, d, "documents").select(F.lit(1).cast("long").alias("task_id"), F.col("doc_id").alias("file_id"), "text"))
+
+
+def near_text_groups(s, d):
+    """Similar groups of documents at the loosest default threshold."""
+    return similar.similar_groups(_text_hashes(s, d), similar.threshold("loose")).select("group_id", "file_id")
+
+
+def unit_vector_parts(s, d):
+    v = r.table(s, d, "embeddings").select("vec_id", F.posexplode(unit_length(F.col("embedding"))).alias("i", "x"))
+    return v.select("vec_id", "i", (F.round("x", 4) + 0.0).alias("x"))
+
+
+def scored_predictions(s, d):
+    """Prediction and confidence from fixed raw scores."""
+    rows = r.table(s, d, "labels").selectExpr("doc_id as file_id", "((doc_id * 37) % 101) / 100.0D as p")
+    return rows.select("file_id", prefs.prediction(F.col("p")).alias("ai_prediction"), F.round(prefs.confidence(F.col("p")), 6).alias("ai_confidence"))
+
+
+def class_weights(s, d):
+    return prefs.weighted(_training(s, d)).select("file_id", F.round("weight", 6).alias("weight"))
+
+
+def resampled_classes(s, d):
+    """Rows of both classes after the smaller one is repeated: how many, and the fewest and most copies of one row, kept within bounds."""
+    copies = prefs.resampled(_training(s, d)).groupBy("label", "file_id").agg(F.count("*").alias("n"))
+    return copies.groupBy("label").agg(F.count("*").alias("files"), F.min("n").alias("least"), (F.max("n") - F.min("n") <= 1).alias("even"))
+
+
+def review_corrected(s, d):
+    """Corrected rows up to a confidence."""
+    rows = prefs.effective(r.preference_rows(s, d))
+    return prefs.filtered(rows, high=0.7, state="corrected").select("file_id", "user_label", "ai_prediction")
+
+
 def unit_vectors(s, d):
     v = r.table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x * 3).alias("v"))
     return v.select("vec_id", F.round(F.aggregate(unit_length(F.col("v")), F.lit(0.0), lambda a, x: a + x * x), 6).alias("squares"))
@@ -130,7 +178,9 @@ def model_metrics(s, d):
 
 def train_score(s, d):
     """Scores of all vectors by a model fitted on the training part of the labelled ones."""
-    rows = prefs.split(_training(s, d)).filter("not is_validation")
+    labelled = _training(s, d)
+    prefs.ready(labelled, 50)  # the smallest tables hold fewer than the usual 200
+    rows = prefs.split(labelled).filter("not is_validation")
     model = prefs.train(rows)
     return prefs.batch_score(model, r.table(s, d, "embeddings").selectExpr("vec_id as file_id", "embedding"), 1)
 
@@ -164,6 +214,11 @@ def _closure(t: int) -> str:
         grp as (select * from files qualify count(*) over (partition by group_id) >= 2)"""
 
 
+_SIMHASH = """tokens as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\n\\t\\r]+'), lambda t: t != '')) as t from documents),
+        sums as (select doc_id, i, sum(2 * cast(substr(h, i + 1, 1) as int) - 1) as n
+                 from (select doc_id, to_base(cast('0x' || substr(md5(t), 1, 8) as bigint), 2, 32) || to_base(cast('0x' || substr(md5(t), 9, 8) as bigint), 2, 32) as h from tokens) x, range(64) r(i) group by 1, 2),
+        codes as materialized (select doc_id, coalesce(code, repeat('0', 64)) as code from documents left join
+                 (select doc_id, string_agg(case when n > 0 then '1' else '0' end, '' order by i) as code from sums group by 1) c using (doc_id))"""
 _P = f"({r.PREFERENCE_ROWS})"
 _L = "(select doc_id as file_id, quality as label from labels join embeddings on doc_id = vec_id)"
 _REG = "(select day(ts) as version, count(*) as training_samples from events group by 1)"
@@ -172,7 +227,8 @@ _TIER = "case when ai_confidence >= 0.8 then 'high' when ai_confidence >= 0.3 th
 _WRONG = "coalesce(user_label != ai_prediction, false)"
 
 QUERIES = {f.__name__: f for f in (
-    difference_hashes, sim_pairs, sim_groups, threshold_sweep, sim_groups_filtered, dup_summary, unit_vectors, label_stats, training_set, stratified_split, review_page, uncertain_first,
+    difference_hashes, sim_pairs, sim_groups, threshold_sweep, sim_groups_filtered, dup_summary, unit_vectors, dup_group_table, near_text_groups, unit_vector_parts, scored_predictions,
+    class_weights, resampled_classes, review_corrected, label_stats, training_set, stratified_split, review_page, uncertain_first,
     review_join, effective_label_stats, ai_delete_plan, ai_delete_freed, ai_delete_rest, label_upsert, prediction_upsert, model_metrics, train_score,
     model_registry, model_rollback,
 )}
@@ -185,6 +241,24 @@ ORACLE_SQL = {
     "threshold_sweep": " union all ".join(f"(select * from ({_closure(t)} select '{n}' as level, {t} as threshold, count(distinct group_id) as groups, count(*) as files from grp))" for n, t in LEVELS.items()),
     "sim_groups_filtered": f"{_closure(16)} select group_id, file_id from grp qualify not bool_and(file_id % 2 = 0) over (partition by group_id)",
     "dup_summary": f"{_closure(16)} select count(distinct group_id) as groups, count(*) as files, 'similar' as kind from grp union all select 1, count(*), 'exact' from embeddings where vec_id % 2 = 0",
+    "dup_group_table": f"""{_closure(16)}, m as ({MEMBERS}) select group_id, count(*) as file_count, max(case when is_recommended then file_id end) as recommended_keep_id,
+        'exact' as group_type, 1.0::double as similarity from m group by 1 union all
+        select -1 - group_id, count(*), arg_min(file_id, {{'a': -(file_id * 37 % 11), 'b': file_id % 3 != 0, 'c': length('/v/' || file_id), 'd': file_id}}), 'similar', null from grp group by 1""",
+    "near_text_groups": f"""with recursive {_SIMHASH},
+        reps as materialized (select min(doc_id) as id, code from codes group by code),
+        e as materialized (select a.id as src, b.id as dst from reps a join reps b on a.id < b.id and hamming(a.code, b.code) <= 4),
+        sym as (select src as a, dst as b from e union all select dst, src from e union all select id, id from reps),
+        walk(a, b) as (select a, b from sym union select w.a, s.b from walk w join sym s on w.b = s.a),
+        comp as (select a as id, min(b) as group_id from walk group by a)
+        select group_id, doc_id as file_id from codes join reps using (code) join comp using (id) qualify count(*) over (partition by group_id) >= 2""",
+    "unit_vector_parts": """select vec_id, cast(i as int) as i, round(x / sqrt(list_sum(list_transform(embedding, lambda v: v::double * v::double))), 4) + 0.0 as x
+        from (select vec_id, embedding, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as i from embeddings)""",
+    "scored_predictions": """select file_id, case when p > 0.5 then 'keep' else 'delete' end as ai_prediction, round(abs(p - 0.5::double) * 2, 6) as ai_confidence
+        from (select doc_id as file_id, ((doc_id * 37) % 101) / 100.0::double as p from labels)""",
+    "class_weights": f"""select file_id, round((select count(*) from {_L}) / ((select count(distinct label) from {_L}) * count(*) over (partition by label))::double, 6) as weight from {_L}""",
+    "resampled_classes": f"""select cast(label as int) as label, n as files, m // n as least, true as even
+        from (select *, max(n) over () as m from (select label, count(*) as n from {_L} group by 1))""",
+    "review_corrected": f"select file_id, user_label, ai_prediction from {_P} where user_label != ai_prediction and ai_confidence <= 0.7",
     "unit_vectors": "select vec_id, 1.0::double as squares from embeddings",
     "label_stats": f"""select count(*) as total, count(*) filter (where label = 1) as keep, count(*) filter (where label = 0) as delete,
         count(*) >= 200 and count(*) filter (where label = 1) > 0 and count(*) filter (where label = 0) > 0 as ready from {_L}""",

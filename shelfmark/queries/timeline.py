@@ -29,8 +29,7 @@ def exif_stats(s, d):
 
 
 def time_offset_preview(s, d):
-    chosen = _resolved(s, d).filter("task_id = 2")
-    return times.offset_times(chosen, _OFFSET, r.now()).select("file_id", times.display(F.col("best_time")).alias("best_time"), "time_anomaly")
+    return times.offset_times(_resolved(s, d), _OFFSET, r.now()).select("file_id", times.display(F.col("best_time")).alias("best_time"), "time_anomaly")
 
 
 def manual_override(s, d):
@@ -42,7 +41,7 @@ def manual_override(s, d):
 
 def time_write_plan(s, d):
     files = _resolved(s, d)
-    plan = actions.write_times(files, times.offset_times(files.filter("file_id % 4 = 0"), _OFFSET, r.now()))
+    plan = actions.write_times(files, times.offset_times(files, _OFFSET, r.now()))
     return plan.select("file_id", times.display(F.col("old_time")).alias("old_time"), times.display(F.col("new_time")).alias("new_time"), "target")
 
 
@@ -79,6 +78,21 @@ def gpx_apply(s, d):
     return out.select("file_id", "has_gps", formats.coordinate_text(F.round("gps_lat", 4), F.round("gps_lng", 4)).alias("position"))
 
 
+def gpx_clear(s, d):
+    """What the catalog shows for files whose positions were applied and then cleared."""
+    files = r.event_files(s, d).selectExpr("file_id", "1.5D gps_lat", "2.5D gps_lng", "true has_gps")
+    out = actions.clear_positions(files)
+    return out.select("file_id", "has_gps", formats.coordinate_text(F.col("gps_lat"), F.col("gps_lng")).alias("position"))
+
+
+def gpx_dms(s, d):
+    """Both coordinates of all points as degrees, minutes and seconds, some on the other hemispheres."""
+    sign = F.when(F.col("point_seq") % 2 == 0, 1.0).otherwise(-1.0)
+    points = r.track_points(s, d).select("point_seq", (sign * F.col("lat")).alias("lat"), (sign * F.col("lng")).alias("lng"))
+    both = points.select("point_seq", formats.to_dms(F.col("lat"), "N", "S").alias("lat"), formats.to_dms(F.col("lng"), "E", "W").alias("lng"))
+    return both.select("point_seq", *(F.col(f"{c}.{p}").alias(f"{c}_{p}") for c in ("lat", "lng") for p in ("d", "m", "s10000", "ref")))
+
+
 def track_downsample(s, d):
     points = tracks.merge_tracks(r.track_points(s, d))
     return tracks.downsample(points, 500).select("i", "idx", "point_seq")
@@ -111,7 +125,7 @@ _MATCH = f"""
 
 QUERIES = {f.__name__: f for f in (
     best_time, time_anomalies, exif_stats, time_offset_preview, manual_override, time_write_plan, time_outliers,
-    track_merge, gpx_match, gpx_stats, gpx_write_plan, gpx_apply, track_downsample, track_bounds, track_projection,
+    track_merge, gpx_match, gpx_stats, gpx_write_plan, gpx_apply, gpx_clear, gpx_dms, track_downsample, track_bounds, track_projection,
 )}
 
 ORACLE_SQL = {
@@ -120,13 +134,13 @@ ORACLE_SQL = {
     "exif_stats": f"""select task_id, count(*) as total, count(*) filter (where has_exif) as with_exif, count(*) filter (where not has_exif) as no_exif,
         count(time_anomaly) as anomalies from (select *, {r.anomaly_sql()} as time_anomaly from {_T}) group by 1""",
     "time_offset_preview": f"""select file_id, {_SHOW % 'b'} as best_time, {r.anomaly_sql('b', 'e')} as time_anomaly
-        from (select *, best_time + interval {_OFFSET} seconds as b, exif_time + interval {_OFFSET} seconds as e from {_T} where task_id = 2)""",
+        from (select *, best_time + interval {_OFFSET} seconds as b, exif_time + interval {_OFFSET} seconds as e from {_T})""",
     "manual_override": f"""select file_id, h as has_exif, s as time_source, {_SHOW % 'b'} as best_time, {r.anomaly_sql('b', 'e', 'h')} as time_anomaly
         from (select file_id, modified, file_id % 10 = 3 or has_exif as h, case when file_id % 10 = 3 then 'manual' else time_source end as s,
               case when file_id % 10 = 3 then timestamp '2023-05-06 07:08:09' else best_time end as b,
               case when file_id % 10 = 3 then timestamp '2023-05-06 07:08:09' else exif_time end as e from {_T})""",
     "time_write_plan": f"""select file_id, {_SHOW % 'best_time'} as old_time, {_SHOW % f'(best_time + interval {_OFFSET} seconds)'} as new_time,
-        case when file_name like '%.jpg' then 'jpeg' else 'db_only' end as target from {_T} where file_id % 4 = 0""",
+        case when file_name like '%.jpg' then 'jpeg' else 'db_only' end as target from {_T}""",
     "time_outliers": f"""with t as (select task_id, epoch_us(best_time)::double as s from {_T}),
         q as (select task_id, quantile_cont(s, 0.25) as q1, quantile_cont(s, 0.75) as q3 from t group by 1)
         select task_id, count(*) as files, count(*) filter (where s < q1 - 1.5 * (q3 - q1) or s > q3 + 1.5 * (q3 - q1)) as outliers from t join q using (task_id) group by 1""",
@@ -141,6 +155,12 @@ ORACLE_SQL = {
         cast(floor(abs(matched_lat)) as bigint) as d, cast(floor((abs(matched_lat) - floor(abs(matched_lat))) * 60) as bigint) as m,
         case when matched_lat >= 0 then 'N' else 'S' end as ref
         from ({_MATCH}) join (select file_id, file_name from ({r.EVENT_FILES})) using (file_id) where task_id = 1 and match_quality != 'no_match'""",
+    "gpx_clear": f"select file_id, false as has_gps, '-' as position from ({r.EVENT_FILES})",
+    "gpx_dms": "select point_seq, " + ", ".join(
+        f"""cast(floor(abs({c})) as bigint) as {c}_d, cast(floor((abs({c}) - floor(abs({c}))) * 60) as bigint) as {c}_m,
+        cast(round_even(((abs({c}) - floor(abs({c}))) * 60 - floor((abs({c}) - floor(abs({c}))) * 60)) * 60 * 10000, 0) as bigint) as {c}_s10000,
+        case when {c} >= 0 then '{a}' else '{b}' end as {c}_ref""" for c, a, b in (("lat", "N", "S"), ("lng", "E", "W")))
+        + f" from (select point_seq, x * lat as lat, x * lng as lng from (select *, case when point_seq % 2 = 0 then 1.0::double else -1.0::double end as x from ({r.TRACK_POINTS})))",
     "gpx_apply": f"""select f.file_id, m.file_id is not null as has_gps, case when matched_lat is null then '-' else format('{{:.6f}}, {{:.6f}}', round(matched_lat, 4), round(matched_lng, 4)) end as position
         from ({r.EVENT_FILES}) f left join (select * from ({_MATCH}) where task_id = 1 and match_quality != 'no_match') m on f.file_id = m.file_id""",
     "track_downsample": f"""with p as (select *, row_number() over (order by ts) - 1 as idx, count(*) over () as n from ({_MERGED}))

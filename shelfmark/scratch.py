@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,14 @@ _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests, local mode)."""
+    """A new path below ``spark.checkpoint.dir``; a temporary folder where that is unset, in local mode only.
+
+    Other executors do not see a temporary folder, so on a cluster the setting is required.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
