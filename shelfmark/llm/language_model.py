@@ -44,7 +44,7 @@ END = b"\n"
 #: The closing token's place among the hashes of words.
 _END_HASH = np.uint64(0x5DEECE66D1234567)
 #: Bytes of text in a chunk, and at a time in work on one.
-CHUNK, PART = 16_000_000, 2_000_000
+CHUNK, PART = 16_000_000, 1_000_000
 #: Distinct words or grams of chunks that one task meets with a bucket.
 MEET = 500_000
 TEXTS, WORDS, GRAMS = 0, 1, 2
@@ -103,12 +103,12 @@ def unturned(keys: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """A hash table from 64-bit codes to 32-bit numbers, probed in whole arrays."""
+    """A hash table from 64-bit codes to numbers, probed in whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
         size = 1 << self.bits
-        self.keys, self.values = np.full(size, np.uint64(2**64 - 1)), np.zeros(size, np.float32)
+        self.keys, self.values = np.full(size, np.uint64(2**64 - 1)), np.zeros(size, values.dtype)
         left, at = np.arange(len(keys)), self._slot(keys)
         while len(left):
             free = self.keys[at] == np.uint64(2**64 - 1)
@@ -126,7 +126,7 @@ class Table:
         """Values, NaN where a key is missing."""
         at = self._slot(keys)
         got = self.keys[at]
-        out = np.where(got == keys, self.values[at], np.float32(np.nan))
+        out = np.where(got == keys, self.values[at], self.values.dtype.type(np.nan))
         left = np.flatnonzero((got != keys) & (got != np.uint64(2**64 - 1)))
         at = at[left]
         while len(left):
@@ -223,6 +223,12 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[new], np.add.reduceat(n[order].astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
 
 
+def _distinct(*parts: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return x[np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1]))]
+
+
 def _words_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the streams, and how many each has, the closing token left out."""
     found = list(word_hashes([t[:-1] for t in texts]))
@@ -394,18 +400,15 @@ def score(docs: DataFrame, trains: Column, least_gain: float = 20.0) -> DataFram
             raw, ends = zstandard.ZstdDecompressor().decompress(blob), np.cumsum(np.frombuffer(sizes, "<i8"))
             texts = [raw[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
             hashes, counts = _words_in(texts)
-            keys, c = np.unique(np.append(hashes, _END_HASH)), line(WORDS, "<i8")
-            at = np.insert(np.searchsorted(keys, hashes), np.cumsum(counts), np.searchsorted(keys, _END_HASH))
+            c = Table(_distinct(hashes, np.array([_END_HASH])), line(WORDS, "<i8").astype(np.float64)).find(np.insert(hashes, np.cumsum(counts), _END_HASH))
             starts = np.cumsum(counts + 1) - counts - 1
             tokens.append(counts + 1)
-            known.append(np.add.reduceat((c > 0)[at].astype(np.int64), starts))
-            base.append(np.add.reduceat((np.log10(c + 1) - np.log10(n_all + distinct + 1))[at], starts))
-            grams = np.zeros(0, np.uint64)
-            for codes, _, _ in _parts(texts):
-                grams = np.union1d(grams, turned(codes))
-            p, own_score = line(GRAMS, "<f4").astype(np.float64), np.zeros(len(texts))
+            known.append(np.add.reduceat((c > 0).astype(np.int64), starts))
+            base.append(np.add.reduceat(np.log10(c + 1) - np.log10(n_all + distinct + 1), starts))
+            grams = _distinct(*(_distinct(turned(codes)) for codes, _, _ in _parts(texts)))
+            p, own_score = Table(grams, line(GRAMS, "<f4")), np.zeros(len(texts))
             for codes, who, size in _parts(texts):
-                own_score[who] += np.add.reduceat(p[np.searchsorted(grams, turned(codes))], np.cumsum(size) - size)
+                own_score[who] += np.add.reduceat(p.find(turned(codes)).astype(np.float64), np.cumsum(size) - size)
             scores.append(own_score)
             ids += doc_ids
         columns = [pa.array(ids, pa.int64()), *(pa.array(np.concatenate(x) if x else []) for x in (tokens, known, base, scores))]
