@@ -79,9 +79,10 @@ def simhashes(texts: DataFrame) -> DataFrame:
     tokens = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \n\t\r]+")
     rows = texts.select("task_id", "file_id", F.explode(tokens).alias("t"))
     rows = rows.withColumn("v", F.when(F.col("t") != "", hex_to_bits(F.substring(F.md5("t"), 1, 16))))
-    ones = [F.sum(F.shiftrightunsigned("v", 63 - i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
+    ones = [F.sum(F.shiftrightunsigned("v", i).bitwiseAND(F.lit(1 + (1 << 32)))).alias(f"b{i}") for i in range(32)]  # bits i and i + 32
     sums = rows.groupBy("task_id", "file_id").agg(F.count("v").alias("n"), *ones)
-    bits = [F.shiftleft((2 * F.col(f"b{i}") > F.col("n")).cast("long"), 63 - i) for i in range(64)]
+    halves = [(i, F.col(f"b{i}").bitwiseAND(F.lit((1 << 32) - 1))) for i in range(32)] + [(i + 32, F.shiftrightunsigned(f"b{i}", 32)) for i in range(32)]
+    bits = [F.shiftleft((2 * count > F.col("n")).cast("long"), i) for i, count in halves]
     return sums.select("task_id", "file_id", functools.reduce(lambda a, b: a.bitwiseOR(b), (F.coalesce(b, F.lit(0)) for b in bits)).alias("h"))
 
 
