@@ -2,9 +2,10 @@
 
 A word enters as its hashed word vector and the mean vector of its hashed character trigrams. The network reads windows
 of ``WINDOW`` words that overlap by a quarter, covering the whole text; a text's score is the calibrated score of its
-most toxic window. It is fitted on at most ``per_class`` labelled rows of each class (those with the smallest identifier
-hash) and at most ``TRAIN_WINDOWS`` windows of each, spread over the whole text; that is the bound of the training
-sample. In fitting, each text is represented by its highest windows, as only some windows of a toxic text are toxic.
+most toxic window. It is fitted on all windows of at most ``per_class`` labelled rows of each class (those with the
+smallest identifier hash); that is the bound of the training sample. In fitting, each text is represented by its highest
+windows, as only some windows of a toxic text are toxic. Scores are calibrated on a fifth of them, kept
+apart from fitting.
 
 Defined results: null and empty texts are scored as one empty window; without labels of both classes every score is 0;
 repeated rows get equal scores; labels without a document or with null are ignored; an empty table gives no rows;
@@ -17,11 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, STRIDE, TRAIN_WINDOWS = 32, 24, 48
+WINDOW, STRIDE = 32, 24
 BUCKETS, EMBED, HIDDEN = 4096, 16, 16
+#: Scores from here on are to be read as toxic; calibration puts the best cut here.
+CUT = 0.7
 _BLANKS = {i: " " for i in range(128) if not chr(i).isalpha()}
 
 
@@ -56,15 +59,18 @@ def windows_of(texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarra
     """Distinct words, an index matrix of all windows (-1 beyond a text's end), and each window's text."""
     seen: dict[str, int] = {}
     flat = np.array([seen.setdefault(w, len(seen)) for t in texts for w in t], np.int32)
-    sizes = np.array([len(t) for t in texts])
-    begins = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(texts) else np.zeros(0, int)
+    return list(seen), *_windows(flat, np.array([len(t) for t in texts]))
+
+
+def _windows(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begins = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, int)
     counts = np.maximum(1, -(-(sizes - WINDOW) // STRIDE) + 1)
-    owner = np.repeat(np.arange(len(texts)), counts)
+    owner = np.repeat(np.arange(len(sizes)), counts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = nth[:, None] * STRIDE + np.arange(WINDOW)
     inside = at < sizes[owner][:, None]
     index = np.where(inside, at + begins[owner][:, None], 0)
-    return list(seen), np.where(inside, flat[index] if len(flat) else 0, -1), owner
+    return np.where(inside, flat[index] if len(flat) else 0, -1).astype(np.int32), owner
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -177,21 +183,29 @@ def text_logits(net: Network, texts: list[list[str]]) -> np.ndarray:
     return out
 
 
-def train(windows: list[list[list[str]]], toxic: np.ndarray, steps: int = 600, batch: int = 96, rate: float = 0.01, drop: float = 0.15, decay: float = 0.02, seed: int = 3) -> Network:
-    """Multiple-instance training: windows of texts with a label each. One text in five only serves to calibrate."""
-    net, r = Network(), np.random.default_rng(seed)
+def train(words: list[str], index: np.ndarray, owner: np.ndarray, toxic: np.ndarray, seed: int = 3) -> Network:
+    """Fits on all windows (rows of ``index``, of the texts ``owner`` with labels ``toxic``); one text in five only calibrates."""
     apart = np.arange(len(toxic)) % 5 == 4
-    if len(set(toxic[apart])) < 2:
-        apart[:] = False
-    tuned = ([w for w, a in zip(windows, apart, strict=True) if a], toxic[apart]) if apart.any() else (windows, toxic)
-    windows, toxic = [w for w, a in zip(windows, apart, strict=True) if not a], toxic[~apart]
-    flat = [w for t in windows for w in t]
-    owner = np.repeat(np.arange(len(windows)), [len(t) for t in windows])
-    words, index, own = windows_of(flat)
-    index = index[np.concatenate(([True], own[1:] != own[:-1]))]  # one row per window: none is longer than WINDOW
+    if len(set(toxic[apart])) < 2 or len(set(toxic[~apart])) < 2:
+        use = tuned = np.ones(len(owner), bool)
+    else:
+        use, tuned = ~apart[owner], apart[owner]
+    net = _fitted(words, index[use], owner[use], toxic, seed=seed)
+    top = np.full(len(toxic), -np.inf)
+    np.maximum.at(top, owner[tuned], net.logits(Vocabulary(words).inputs(net), index[tuned]))
+    _calibrate(net, top[np.isfinite(top)], toxic[np.isfinite(top)])
+    return net
+
+
+def _fitted(words: list[str], index: np.ndarray, owner: np.ndarray, toxic: np.ndarray, steps: int = 600, batch: int = 96, rate: float = 0.01, drop: float = 0.15, decay: float = 0.02, seed: int = 3) -> Network:
+    """Multiple-instance training: at first some windows of each text have its label, then its highest ones."""
+    net, r = Network(), np.random.default_rng(seed)
+    texts, owner = np.unique(owner, return_inverse=True)
+    toxic = toxic[texts]
     vocabulary = Vocabulary(words)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     weight_of = np.where(toxic > 0, len(toxic) / (2 * max(1, toxic.sum())), len(toxic) / (2 * max(1, (1 - toxic).sum()))).astype(np.float32)
+    starts = np.searchsorted(owner, np.arange(len(texts)))
     step, rounds = 0, 12
     for n in range(rounds):
         if n < rounds // 2:
@@ -200,7 +214,6 @@ def train(windows: list[list[list[str]]], toxic: np.ndarray, steps: int = 600, b
         else:
             order = np.lexsort((-net.logits(vocabulary.inputs(net), index), owner))
             most = 2
-        starts = np.searchsorted(owner, np.arange(len(windows)))
         rank = np.empty(len(owner), int)
         rank[order] = np.arange(len(owner)) - starts[owner[order]]
         chosen = np.flatnonzero(rank < most)
@@ -224,23 +237,27 @@ def train(windows: list[list[list[str]]], toxic: np.ndarray, steps: int = 600, b
                 b += 0.001 * (g[k] ** 2 - b)
                 v *= 1 - pace * decay * (k in ("words", "chars"))
                 v -= (pace * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    _calibrate(net, *tuned)
     return net
 
 
-def _calibrate(net: Network, windows: list[list[list[str]]], toxic: np.ndarray) -> None:
-    """Scale and shift of the highest window's logit, by damped Newton steps of a logistic fit."""
-    flat = [w for t in windows for w in t]
-    logits, owner = text_logits(net, flat), np.repeat(np.arange(len(windows)), [len(t) for t in windows])
-    top = np.full(len(toxic), -np.inf)
-    np.maximum.at(top, owner, logits)
+def _calibrate(net: Network, top: np.ndarray, toxic: np.ndarray) -> None:
+    """Scale of the highest window's logit by damped Newton steps of a logistic fit; the shift puts the cut at ``CUT``.
+
+    The cut lies in the middle of the gap between two logits at which precision and recall have the highest harmonic mean.
+    """
     x = np.stack([top, np.ones_like(top)], 1)
     beta = np.array([0.5, 0.0])
     for _ in range(50):
         p = _sigmoid(np.clip(x @ beta, -30, 30))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-3)[:, None]).T @ x + np.diag([1.0, 0.05]), x.T @ (toxic - p) - np.array([1.0, 0.05]) * beta)
         beta += step / max(1.0, np.abs(step).max())
-    net.scale, net.shift = np.float32(max(beta[0], 0.05)), np.float32(beta[1])
+    order = np.argsort(-top, kind="stable")
+    logits, hits = top[order], np.cumsum(toxic[order])
+    ends = np.append(logits[1:] < logits[:-1], True)  # equal logits fall on one side
+    best = int(np.argmax(np.where(ends, 2 * hits / (np.arange(1, len(hits) + 1) + hits[-1]), -1)))
+    cut = (logits[best] + logits[min(best + 1, len(logits) - 1)]) / 2
+    net.scale = np.float32(max(beta[0], 0.05))
+    net.shift = np.float32(np.log(CUT / (1 - CUT)) - net.scale * cut)
 
 
 def sample(labels: DataFrame, per_class: int) -> DataFrame:
@@ -254,23 +271,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Network |
     """Fits on the documents of a sample of ``labels(doc_id, toxic)``, toxic being 0 or 1."""
     chosen = F.broadcast(sample(labels, per_class))  # at most 2 * per_class rows
     rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for text in b["text"]:
-                w = words_of(text if isinstance(text, str) else "")
-                starts = np.arange(max(1, -(-(len(w) - WINDOW) // STRIDE) + 1)) * STRIDE
-                if len(starts) > TRAIN_WINDOWS:
-                    starts = starts[np.linspace(0, len(starts) - 1, TRAIN_WINDOWS).astype(int)]
-                out.append([" ".join(w[s : s + WINDOW]) for s in starts])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"].astype("int32"), "windows": out})
-
-    got = rows.select("doc_id", "toxic", "text").mapInPandas(cut, "doc_id long, toxic int, windows array<string>").toPandas()
-    got = got.sort_values(["toxic", "doc_id"], kind="stable")
-    if got["toxic"].nunique() < 2:
+    got = rows.select("toxic", "doc_id", "text").collect()
+    got = sorted((r[0], r[1], r[2] if r[2] is not None else "") for r in got)
+    toxic = np.array([r[0] for r in got])
+    if len(set(toxic)) < 2:
         return None
-    return train([[w.split() for w in ws] for ws in got["windows"]], got["toxic"].to_numpy())
+    seen: dict[str, int] = {}
+    parts = [np.array([seen.setdefault(w, len(seen)) for w in words_of(r[2])], np.int32) for r in got]
+    index, owner = _windows(np.concatenate(parts), np.array([len(p) for p in parts]))
+    return train(list(seen), index, owner, toxic)
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
