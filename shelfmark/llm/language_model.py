@@ -238,11 +238,16 @@ def _words_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _counted(texts: list[bytes], weight: int) -> tuple[tuple, tuple]:
     """Distinct words and turned grams with their counts times ``weight``."""
-    words, _ = _words_in(texts)
-    key, n = np.unique(words, return_counts=True)
+    key, n = np.unique(_words_in(texts)[0], return_counts=True)
     if texts:
         key, n = merged([key, np.array([_END_HASH])], [n, np.array([len(texts)])])
-    grams = [np.unique(turned(c), return_counts=True) for c, _, _ in _parts(texts)]
+    grams, held = [], 0
+    for codes, _, _ in _parts(texts):
+        grams.append(np.unique(turned(codes), return_counts=True))
+        held += len(grams[-1][0])
+        if held > PART:  # most are met again: merging now keeps memory small
+            grams = [merged([k for k, _ in grams], [c for _, c in grams])]
+            held = 0
     gram, m = merged([k for k, _ in grams], [c for _, c in grams])
     return (key, n * weight), (gram, m * weight)
 
