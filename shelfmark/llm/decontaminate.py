@@ -154,6 +154,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFram
     hits = contamination_hits(docs, benchmark, n).filter("size(hits) > 0").dropDuplicates(["doc_id", "key"])
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
     marks = hits.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), covered.alias("_gone"))
-    left = F.filter(_words(F.col("text")), lambda w, i: ~F.array_contains(F.col("_gone"), i))
+    words = _words(F.col("text"))
+    left = _let(words, lambda w: F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), F.col("_gone")), lambda i: F.get(w, i)))  # by hashing, not a search for each word
     out = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")), "left")
     return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, " "))).select(docs.columns)

@@ -90,9 +90,13 @@ class Model:
 
 def fit(labelled: DataFrame, per_language: int = 500) -> Model | None:
     """Fits on columns ``doc_id, text, lang``; rows without a language or a text are left out."""
-    known = labelled.filter("lang is not null and text is not null").select(F.col("doc_id").alias("id"), F.col("lang").alias("own"))
-    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.xxhash64("id"), "id"))
-    chosen = F.broadcast(known.withColumn("n", rank).filter(F.col("n") <= per_language))  # per_language rows of each language
+    labelled = labelled.select("doc_id", "text", "lang")
+    known = labelled.filter("lang is not null and text is not null").select(F.col("doc_id").alias("id"), F.col("lang").alias("own"), F.xxhash64("doc_id").alias("draw"))
+    counts = known.groupBy("own").agg(F.count("*").alias("all"))
+    share = (F.shiftrightunsigned(F.col("draw"), 11) / F.lit(float(1 << 53))) * F.col("all") <= 4 * per_language  # some four times as many rows as are taken, at any size
+    few = known.join(F.broadcast(counts), "own").filter(share | (F.col("all") <= 4 * per_language))
+    rank = F.row_number().over(Window.partitionBy("own").orderBy(F.shiftrightunsigned("draw", 11), "id"))
+    chosen = F.broadcast(few.withColumn("n", rank).filter(F.col("n") <= per_language).select("id", "own"))  # per_language rows of each language
     rows = labelled.join(chosen, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("own")))
 
     def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -4,6 +4,8 @@ Equal texts form a group that stays together. Groups, sorted by size, go to the
 To keep what the heap sees bounded at any input size, only groups of at least 1/``grain`` of a mean shard are
 scheduled on their own (there are at most ``shards * grain`` of them); all smaller groups are first gathered into
 ``shards * grain`` hash bundles, which are scheduled like groups. On small inputs a bundle is nearly always one group.
+The loads of two shards never differ by more than the largest group or bundle; a bundle's size is that of a mean one but
+for the chance of hashing, about 1/``grain`` of a shard.
 
 Defined results: a null text counts as no bytes and shares the group of empty texts; repeated rows stay together and
 get slots of their own; an empty table gives no rows; a null identifier sorts first; further columns are ignored.
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.scratch import staged
 
-#: Parts of a shard within which slots are numbered by one task each.
-SLOT_PARTS = 64
+#: Rows of a shard that one task numbers, and the fewest parts of a shard that are numbered apart.
+SLOT_ROWS, SLOT_PARTS = 1_000_000, 64
 
 
 def lpt(units: list[tuple[str, int]], shards: int) -> dict[str, int]:
@@ -46,7 +48,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, grain
         "shard-rows",
     )
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    parts = max(SLOT_PARTS, n // (shards * SLOT_ROWS))
     large = groups.filter(F.col("bytes") >= max(1, -(-total // (shards * grain)))).select(
         "key", "bytes", F.concat(F.lit("g"), F.col("key").cast("string")).alias("unit")
     )
@@ -55,9 +58,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16, grain
     placed = rows.join(F.broadcast(large.select("key", "unit")), "key", "left").withColumn("unit", F.coalesce("unit", bundle))
     sizes = placed.groupBy("unit").agg(F.sum("size").alias("bytes")).collect()  # at most 2 * shards * grain rows
     plan = spark.createDataFrame(list(lpt([tuple(r) for r in sizes], shards).items()), "unit string, shard int")
-    placed = placed.join(F.broadcast(plan), "unit").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_PARTS)))
+    placed = placed.join(F.broadcast(plan), "unit").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
 
-    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))  # shards * SLOT_PARTS rows
+    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))  # shards * parts rows
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")

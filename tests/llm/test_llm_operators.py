@@ -222,6 +222,48 @@ def test_sharding_is_lpt_on_small_input(docs, rows):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
+def test_sharding_of_bundles_is_balanced(spark):
+    """With small groups in bundles, loads differ by no more than the largest unit; equal texts stay together."""
+    r = random.Random(12)
+    own = [(i, "w" * r.randrange(400)) for i in range(3000)] + [(4000 + i, "same text") for i in range(300)]
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    got = sharding.shard_documents(df, shards=5, grain=8).collect()
+    load, groups = collections.Counter(), collections.defaultdict(set)
+    for x in got:
+        load[x.shard] += x.size
+        groups[dict(own)[x.doc_id]].add(x.shard)
+    mean = sum(load.values()) / 5
+    assert len(got) == len(own) and all(len(g) == 1 for g in groups.values())
+    assert max(load.values()) - min(load.values()) <= mean / 8 * 3
+    for s in load:
+        assert sorted(x.slot for x in got if x.shard == s) == list(range(sum(x.shard == s for x in got)))
+
+
+def test_toxicity_sees_every_window_in_fitting(spark):
+    """Toxic words stand in the fiftieth window and later of the training texts only."""
+    r = random.Random(14)
+    rows = []
+    for i in range(160):
+        w = [r.choice(WORDS) for _ in range(1500)]
+        if i % 2:
+            for k in r.sample(range(1230, 1490), 6):
+                w[k] = r.choice(["vile", "rotten"])
+        rows.append((i, " ".join(w), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    net = toxicity.fit(df, df.filter("doc_id < 120").select("doc_id", "toxic"))
+    got = {x.doc_id: x.score for x in toxicity.score(df, net).collect()}
+    assert np.mean([(got[i] >= 0.7) == bool(y) for i, _, y in rows[120:]]) > 0.85
+
+
+def test_language_sample_is_bounded(spark):
+    """Each language gives the rows of the smallest hashes, up to the bound; repeated, null and long rows do no harm."""
+    own = [(i, "abc def " * (1 + i % 3), "aa") for i in range(900)] + [(None, "xyz uvw", "bb"), (7, "xyz uvw", "bb"), (7, "xyz uvw", "bb"), (8, "xyz " * 50_000, "bb")]
+    df = spark.createDataFrame([(i, t, v, 1) for i, t, v in own], "doc_id long, text string, lang string, own int")
+    model = language_id.fit(df, per_language=20)
+    got = [(x.doc_id, x.lang_pred) for x in language_id.identify(df, model).collect()]
+    assert sorted(got, key=str) == sorted(((i, v) for i, _, v in own), key=str)
+
+
 @pytest.mark.parametrize("joined", [False, True])
 def test_decontamination(spark, docs, rows, joined):
     r = random.Random(5)
