@@ -1,9 +1,11 @@
 """License scans: sentences are mapped to known licence sentences, their sequence is matched against ordered rules.
 
-A text is cut at line ends and after ``.``, ``!`` or ``?`` before white space. A sentence is normalised by lower-casing
-A-Z and turning every run of other characters than a-z and 0-9 into one space. A rule is a list of sentence identifiers;
-it matches where they follow each other among the recognised sentences (sentences that are not known may lie between).
-A rule whose list is part of a longer rule that also matches is dropped.
+A text is read in two ways: line by line, and by paragraphs, in which lines are joined (lines without a letter or digit,
+comment marks included, and colons at line ends part paragraphs). Both are cut after ``.``, ``!`` or ``?`` before white space. A sentence is
+normalised by lower-casing A-Z and turning every run of other characters than a-z and 0-9 into one space, so that comment
+marks and line ends within it do not matter. A known sentence that is itself cut so is known by its longest part. A rule is
+a list of sentence identifiers; it matches where they follow each other among the recognised sentences of either reading
+(sentences that are not known may lie between). A rule whose list is part of a longer rule that also matches is dropped.
 
 Defined results: null and empty texts, and texts without known sentences, give an empty list; each repeated row gives a
 row; an empty table gives no rows; further columns are ignored.
@@ -38,6 +40,42 @@ SENTENCES = {
     18: "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     19: "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     20: "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    21: "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    22: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    23: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    24: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    25: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    26: "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    27: "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    28: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    29: "This is free and unencumbered software released into the public domain.",
+    30: "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    31: "Distributed under the Boost Software License, Version 1.0.",
+    32: "This software is provided 'as-is', without any express or implied warranty.",
+    33: "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    34: "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    35: "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    36: "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    37: "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    38: "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    39: "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    40: "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    41: "SPDX-License-Identifier: MIT",
+    42: "SPDX-License-Identifier: Apache-2.0",
+    43: "SPDX-License-Identifier: BSD-2-Clause",
+    44: "SPDX-License-Identifier: BSD-3-Clause",
+    45: "SPDX-License-Identifier: ISC",
+    46: "SPDX-License-Identifier: GPL-2.0-only",
+    47: "SPDX-License-Identifier: GPL-2.0-or-later",
+    48: "SPDX-License-Identifier: GPL-3.0-only",
+    49: "SPDX-License-Identifier: GPL-3.0-or-later",
+    50: "SPDX-License-Identifier: LGPL-2.1-or-later",
+    51: "SPDX-License-Identifier: AGPL-3.0-or-later",
+    52: "SPDX-License-Identifier: MPL-2.0",
+    53: "SPDX-License-Identifier: EPL-2.0",
+    54: "SPDX-License-Identifier: BSL-1.0",
+    55: "SPDX-License-Identifier: Unlicense",
+    56: "SPDX-License-Identifier: CC0-1.0",
 }
 RULES = [
     ("Apache-2.0", [1]),
@@ -56,12 +94,53 @@ RULES = [
     ("BSD-3-Clause", [18, 19]),
     ("MPL-2.0", [20]),
     ("Proprietary", [17]),
+    ("Apache-2.0", [2, 3, 21]),
+    ("MIT", [22, 8]),
+    ("ISC", [23]),
+    ("GPL-3.0-or-later", [24]),
+    ("GPL-3.0-or-later", [24, 26]),
+    ("GPL-2.0-or-later", [25]),
+    ("GPL-2.0-or-later", [25, 26]),
+    ("LGPL-2.1-or-later", [27]),
+    ("AGPL-3.0-or-later", [28]),
+    ("Unlicense", [29]),
+    ("Unlicense", [29, 30]),
+    ("BSL-1.0", [31]),
+    ("Zlib", [32, 33]),
+    ("EPL-2.0", [34]),
+    ("CC0-1.0", [35]),
+    ("BSD-2-Clause", [18, 36, 37]),
+    ("BSD-3-Clause", [18, 36, 37, 19]),
+    ("CC-BY-SA-4.0", [38]),
+    ("CC-BY-NC-4.0", [39]),
+    ("CC-BY-ND-4.0", [40]),
+    ("MIT", [41]),
+    ("Apache-2.0", [42]),
+    ("BSD-2-Clause", [43]),
+    ("BSD-3-Clause", [44]),
+    ("ISC", [45]),
+    ("GPL-2.0-only", [46]),
+    ("GPL-2.0-or-later", [47]),
+    ("GPL-3.0-only", [48]),
+    ("GPL-3.0-or-later", [49]),
+    ("LGPL-2.1-or-later", [50]),
+    ("AGPL-3.0-or-later", [51]),
+    ("MPL-2.0", [52]),
+    ("EPL-2.0", [53]),
+    ("BSL-1.0", [54]),
+    ("Unlicense", [55]),
+    ("CC0-1.0", [56]),
 ]
 
 
 def sentences(text: Column) -> Column:
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[ \t\r]+", "$1\n"), "\n")
-    return lines
+    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[ \t\r]+", "$1\n"), "\n")
+
+
+def joined(text: Column) -> Column:
+    """The paragraphs of a text as one line each."""
+    parted = F.regexp_replace(F.coalesce(text, F.lit("")), r"\n[^A-Za-z0-9\n]*\n|:[ \t\r]*\n", "\x01")
+    return F.replace(F.replace(parted, F.lit("\n"), F.lit(" ")), F.lit("\x01"), F.lit("\n"))
 
 
 def _normalised(sentence: Column) -> Column:
@@ -74,29 +153,43 @@ def _known(table: dict[int, str]) -> dict[str, int]:
 
     out: dict[str, int] = {}
     for number, sentence in table.items():
-        for part in re.sub(r"([.!?])[ \t\r]+", "\\1\n", sentence).split("\n"):
-            out.setdefault(re.sub("[^a-z0-9]+", " ", part.lower()).strip(), number)
+        parts = re.sub(r"([.!?])[ \t\r]+", "\\1\n", sentence).split("\n")
+        normal = [re.sub("[^a-z0-9]+", " ", p.lower()).strip() for p in parts]
+        out.setdefault(max(normal, key=len), number)
     return out
 
 
 def scan_licenses(docs: DataFrame, table: dict[int, str] | None = None, rules: list | None = None) -> DataFrame:
-    """``doc_id, sentence_ids, licenses`` per document: the recognised sentences in order, the licences sorted."""
+    """``doc_id, sentence_ids, licenses`` per document.
+
+    ``sentence_ids``: the sentences recognised in paragraphs in their order, then those recognised in lines only;
+    ``licenses``, sorted, are found in either reading.
+    """
     known = _known(table or SENTENCES)
     rules = rules or RULES
     least = min(map(len, known))
-    enough = F.filter(sentences(F.col("text")), lambda s: F.length(s) >= least)  # normalising never adds characters
-    hits = F.filter(F.transform(enough, _normalised), lambda s: s.isin(list(known)))
     number = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    out = docs.select("doc_id", F.transform(hits, lambda s: number[s]).alias("sentence_ids"))
-    joined = F.concat(F.lit(","), F.array_join(F.col("sentence_ids").cast("array<string>"), ","), F.lit(","))
+
+    def ids(text: Column) -> Column:
+        enough = F.filter(sentences(text), lambda s: F.length(s) >= least)  # normalising never adds characters
+        hits = F.filter(F.transform(enough, _normalised), lambda s: s.isin(list(known)))
+        return F.transform(hits, lambda s: number[s])
+
+    out = docs.select("doc_id", ids(joined(F.col("text"))).alias("whole"), ids(F.col("text")).alias("lines"))
+    as_text = lambda c: F.concat(F.lit(","), F.array_join(F.col(c).cast("array<string>"), ","), F.lit(","))
+    met = lambda own: as_text("whole").contains(_as_list(own)) | as_text("lines").contains(_as_list(own))
     found = []
-    for name, ids in rules:
-        hit = joined.contains(_as_list(ids))
+    for name, own in rules:
+        hit = met(own)
         for _, other in rules:
-            if len(other) > len(ids) and _as_list(ids) in _as_list(other):
-                hit = hit & ~joined.contains(_as_list(other))
+            if len(other) > len(own) and _as_list(own) in _as_list(other):
+                hit = hit & ~met(other)
         found.append(F.when(hit, F.lit(name)))
-    return out.withColumn("licenses", F.sort_array(F.array_distinct(F.array_compact(F.array(*found)))))
+    licenses = F.sort_array(F.array_distinct(F.array_compact(F.array(*found))))
+    every = F.concat("whole", F.filter("lines", lambda i: ~F.array_contains("whole", i)))
+    none = F.array().cast("array<string>")
+    some = F.size("whole") + F.size("lines") > 0
+    return out.select("doc_id", every.alias("sentence_ids"), F.when(some, licenses).otherwise(none).alias("licenses"))
 
 
 def _as_list(ids: list[int]) -> str:

@@ -92,14 +92,20 @@ QUERIES = {
     )
 }
 
+_met = lambda ids: f"(contains(j, '{_as_list(ids)}') or contains(k, '{_as_list(ids)}'))"
 _RULE_SQL = ", ".join(
     "case when "
-    + " and ".join([f"contains(j, '{_as_list(ids)}')"] + [f"not contains(j, '{_as_list(o)}')" for _, o in RULES if len(o) > len(ids) and _as_list(ids) in _as_list(o)])
+    + " and ".join([_met(ids)] + [f"not {_met(o)}" for _, o in RULES if len(o) > len(ids) and _as_list(ids) in _as_list(o)])
     + f" then '{name}' end"
     for name, ids in RULES
 )
 _KNOWN_SQL = "map {" + ", ".join(f"'{k}': {v}" for k, v in _known(SENTENCES).items()) + "}"
 _AZ = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SENTENCES = (
+    r"list_transform(string_split(regexp_replace(%s, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace("
+    + _AZ % "x" + ", '[^a-z0-9]+', ' ', 'g')))"
+)
+_IDS = f"list_filter(list_transform(%s, lambda x: ({_KNOWN_SQL})[x]), lambda x: x is not null)"
 _W2 = "regexp_extract_all(" + _AZ % "coalesce(text, '')" + r", '[^\x20\x09-\x0D]+')"
 _W8 = "regexp_extract_all(" + _AZ % "coalesce(text, '')" + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -122,10 +128,12 @@ ORACLE_SQL = {
         select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) as component_id
         from d left join n using (doc_id) left join m using (doc_id)""",
     "op3_license_scan": rf"""
-        with s as (select doc_id, list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)),
-                     lambda x: trim(regexp_replace({_AZ % "x"}, '[^a-z0-9]+', ' ', 'g'))) as l from documents),
-        i as (select doc_id, list_filter(list_transform(l, lambda x: ({_KNOWN_SQL})[x]), lambda x: x is not null) as ids from s),
-        j as (select doc_id, ids, ',' || coalesce(array_to_string(ids, ','), '') || ',' as j from i)
+        with p as (select doc_id, coalesce(text, '') as text,
+                     replace(replace(regexp_replace(coalesce(text, ''), '\n[^A-Za-z0-9\n]*\n|:[ \t\r]*\n', chr(1), 'g'), chr(10), ' '), chr(1), chr(10)) as whole from documents),
+        s as (select doc_id, {_SENTENCES % "whole"} as w, {_SENTENCES % "text"} as l from p),
+        i as (select doc_id, {_IDS % "w"} as w, {_IDS % "l"} as l from s),
+        j as (select doc_id, list_concat(w, list_filter(l, lambda x: not list_contains(w, x))) as ids,
+                     ',' || coalesce(array_to_string(w, ','), '') || ',' as j, ',' || coalesce(array_to_string(l, ','), '') || ',' as k from i)
         select doc_id, cast(len(ids) as bigint) as n_sentences, coalesce(array_to_string(ids, ','), '') as sentence_ids,
                coalesce(array_to_string(list_sort(list_distinct(list_filter([{_RULE_SQL}], lambda x: x is not null))), ','), '') as licenses from j""",
     "op8_decontamination": rf"""

@@ -191,6 +191,21 @@ def test_license_scan(spark):
     assert got == {0: ([1], ["Apache-2.0"]), 1: ([2, 3, 4], ["Apache-2.0"]), 2: ([4], []), 3: ([], []), 4: ([], []), 5: ([17, 5], ["MIT", "Proprietary"]), 6: ([], [])}
 
 
+def test_license_sentences_over_line_ends(spark):
+    """Wrapped and commented notices, headings right above, fragments of a sentence alone, repeated and long rows."""
+    mit = license_scan.SENTENCES[22].replace("associated", "\n * associated").replace("rights", "\r\n * rights")
+    bsd = "\n".join(license_scan.SENTENCES[k].replace(" copyright", "\n#   copyright") for k in (18, 36, 37, 19))
+    texts = {
+        1: "Released under the\nMIT License.", 2: f"/*\n * {mit}\n *\n * {license_scan.SENTENCES[8].replace(' in ', chr(10) + ' * in ')}\n */", 3: "Release notes, v. 2.0.\n2.0.",
+        4: f"Some title\n\n# {bsd}", 5: "Hello\nLicensed under the Apache License, Version 2.0.", 6: "x " * 100_000 + ".\nAll rights reserved.", 7: "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;",
+        8: "This Source Code Form is subject to the terms of the\nMozilla Public License, v. 2.0. If a copy",
+    }
+    df = spark.createDataFrame([*texts.items(), (1, texts[1])], "doc_id long, text string")
+    got = [(r.doc_id, list(r.licenses)) for r in license_scan.scan_licenses(df).collect()]
+    want = {1: ["MIT"], 2: ["MIT"], 3: [], 4: ["BSD-3-Clause"], 5: ["Apache-2.0"], 6: ["Proprietary"], 7: ["GPL-2.0-or-later"], 8: ["MPL-2.0"]}
+    assert sorted(got) == sorted([*want.items(), (1, ["MIT"])])
+
+
 def test_license_sentence_with_much_padding(spark):
     df = spark.createDataFrame([(1, "All rights" + " *" * 2000 + " reserved.")], "doc_id long, text string")
     assert [list(r.licenses) for r in license_scan.scan_licenses(df).collect()] == [["Proprietary"]]
@@ -270,7 +285,7 @@ def test_decontamination(spark, docs, rows, joined):
     base = [text(r, 60) for _ in range(8)]
     items = [(1, " ".join(base[0].split()[5:20]).upper()), (2, "one, two"), (3, None), (4, "..."), (5, "never seen here at all in any text of these rows"), (2, "one, two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contamination(docs.dropDuplicates(["doc_id"]), bench, 10, max_set=1 if joined else 1000).collect()
+    got = decontaminate.contamination(docs, bench, 10, max_set=1 if joined else 1000).collect()
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: word.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
     want = {}
@@ -285,7 +300,7 @@ def test_decontamination(spark, docs, rows, joined):
                     hit |= set(range(j, j + k))
                     found.add(str(item))
         want[i] = (len(w), len(hit), sorted(found), bool(hit))
-    assert {x.doc_id: (x.n_words, x.n_hit, list(x["items"]), x.contaminated) for x in got} == want
+    assert {x.doc_id: (x.n_words, x.n_hit, list(x["items"]), x.contaminated) for x in got} == want and len(got) == len(rows)
 
 
 def test_decontamination_removal(spark):
