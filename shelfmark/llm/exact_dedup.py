@@ -85,9 +85,13 @@ def exact_dedup(
     docs: DataFrame,
     digest: Callable[[Column], Column] = sha256_hex,
     state_dir: str | None = None,
-    files_per_batch: int = 64,
+    files_per_batch: int | None = None,
 ) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256, keep_file``."""
+    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256, keep_file``.
+
+    A micro-batch takes ``files_per_batch`` fingerprint files; by default 64, or a sixteenth of them if that is more, so
+    that the number of state commits does not grow with the input.
+    """
     spark = docs.sparkSession
     texts = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
     prints = docs.select(
@@ -100,6 +104,7 @@ def exact_dedup(
     path = scratch_path(spark, "dedup-prints")
     prints.write.parquet(path)
     prints = spark.read.schema(prints.schema).parquet(path)
+    files_per_batch = files_per_batch or max(64, len(prints.inputFiles()) // 16)
     groups = stream_groups(spark, prints, path, state_dir or scratch_path(spark, "dedup-state"), files_per_batch)
     rows = staged(
         prints.join(groups, "digest").select(

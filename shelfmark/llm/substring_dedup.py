@@ -32,54 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm.rolling import Hashed, mix
 from shelfmark.scratch import staged
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
 FEW = 200
-_BASE = 0x9E3779B97F4A7C15 | 1
-_VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-
-
-class _Powers:
-    """Powers of the hash base and of its inverse modulo 2**64."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            step = np.full(size, np.uint64(_BASE))
-            step[0] = 1
-            self.up = np.multiply.accumulate(step)
-            step[1:] = np.uint64(pow(_BASE, -1, 1 << 64))
-            self.down = np.multiply.accumulate(step)
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(31))
-
-
-class Hashed:
-    """Hashes of any stretch of one byte array."""
-
-    def __init__(self, raw: np.ndarray) -> None:
-        up, self.down = _POWERS.to(len(raw) + 1)
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_VALUES[raw] * up[: len(raw)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.down[start])
-
-    def all(self, length: int) -> np.ndarray:
-        n = len(self.sums) - length
-        return _mix((self.sums[length:] - self.sums[:n]) * self.down[:n])
 
 
 def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -105,7 +63,7 @@ def parse(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = triggers(grams)
     start, end = np.maximum(at - REACH, 0), np.minimum(at + LENGTH, len(raw))
     left, right = (at - start).astype(np.uint64), (end - at).astype(np.uint64)
-    phrase = _mix(h.of(start, end) + left * np.uint64(1000003) + right * np.uint64(7919))
+    phrase = mix(h.of(start, end) + left * np.uint64(1000003) + right * np.uint64(7919))
     return grams[at], phrase, (at.astype(np.int64) << 16) | ((at - start) << 8) | (end - at)
 
 
@@ -192,7 +150,7 @@ def _suffixes(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     h = Hashed(raw).of(begin[row] + shift, begin[row] + shift + LENGTH)
     offset = (left[row] - shift).astype(np.uint64)
-    return row, _mix(h + b["trigger"].to_numpy(np.int64).astype(np.uint64)[row] * np.uint64(31) + offset), (place >> 16)[row] - left[row] + shift
+    return row, mix(h + b["trigger"].to_numpy(np.int64).astype(np.uint64)[row] * np.uint64(31) + offset), (place >> 16)[row] - left[row] + shift
 
 
 def _settled(b: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
