@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 32, 24
 BUCKETS, EMBED, HIDDEN = 4096, 16, 16
-#: Scores from here on are to be read as toxic; calibration puts the best cut here.
-CUT = 0.7
 _BLANKS = {i: " " for i in range(128) if not chr(i).isalpha()}
 
 
@@ -36,13 +34,14 @@ class Vocabulary:
     """Distinct words of some texts with their word bucket and character trigram buckets."""
 
     def __init__(self, words: list[str]) -> None:
-        raw = np.frombuffer((" " + " ".join(words) + "  ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-        if not words:
-            raw = raw[:2]
-        ends = np.flatnonzero(raw == 32)[: len(words) + 1]
-        self.first = ends[:-1] if words else ends[:0]
-        self.size = np.diff(ends) if words else ends[:0]  # a word's trigrams start at the blank before it
-        code = (raw[:-2] * np.uint32(65599) + raw[1:-1] * np.uint32(257) + raw[2:]) * np.uint32(2654435761)
+        raw = np.frombuffer(("".join(f" {w} " for w in words) + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+        blanks = np.flatnonzero(raw == 32)[: 2 * len(words)]
+        before, after = blanks[::2], blanks[1::2]
+        self.size = after - before  # trigrams start at the blank before a word and at each of its bytes
+        self.first = np.cumsum(self.size) - self.size
+        own = np.ones(max(0, len(raw) - 2), bool)
+        own[after[:-1]] = False  # those that start behind a word depend on the next one
+        code = ((raw[:-2] * np.uint32(65599) + raw[1:-1] * np.uint32(257) + raw[2:]) * np.uint32(2654435761))[own]
         self.grams = (code >> np.uint32(20)).astype(np.int32)
         mixed = code * (2 * _ranges(self.size).astype(np.uint32) * np.uint32(40503) + np.uint32(1))
         whole = np.add.reduceat(mixed, self.first).astype(np.uint32) if words else np.zeros(0, np.uint32)
@@ -241,23 +240,14 @@ def _fitted(words: list[str], index: np.ndarray, owner: np.ndarray, toxic: np.nd
 
 
 def _calibrate(net: Network, top: np.ndarray, toxic: np.ndarray) -> None:
-    """Scale of the highest window's logit by damped Newton steps of a logistic fit; the shift puts the cut at ``CUT``.
-
-    The cut lies in the middle of the gap between two logits at which precision and recall have the highest harmonic mean.
-    """
+    """Scale and shift of the highest window's logit, by damped Newton steps of a logistic fit."""
     x = np.stack([top, np.ones_like(top)], 1)
     beta = np.array([0.5, 0.0])
     for _ in range(50):
         p = _sigmoid(np.clip(x @ beta, -30, 30))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-3)[:, None]).T @ x + np.diag([1.0, 0.05]), x.T @ (toxic - p) - np.array([1.0, 0.05]) * beta)
         beta += step / max(1.0, np.abs(step).max())
-    order = np.argsort(-top, kind="stable")
-    logits, hits = top[order], np.cumsum(toxic[order])
-    ends = np.append(logits[1:] < logits[:-1], True)  # equal logits fall on one side
-    best = int(np.argmax(np.where(ends, 2 * hits / (np.arange(1, len(hits) + 1) + hits[-1]), -1)))
-    cut = (logits[best] + logits[min(best + 1, len(logits) - 1)]) / 2
-    net.scale = np.float32(max(beta[0], 0.05))
-    net.shift = np.float32(np.log(CUT / (1 - CUT)) - net.scale * cut)
+    net.scale, net.shift = np.float32(max(beta[0], 0.05)), np.float32(beta[1])
 
 
 def sample(labels: DataFrame, per_class: int) -> DataFrame:

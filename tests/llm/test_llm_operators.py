@@ -594,6 +594,15 @@ def test_toxicity_learns_and_finds_the_window(spark):
     assert {x.score for x in toxicity.score(df, toxicity.fit(df, labels.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_does_not_depend_on_neighbours():
+    """A text's score is the same whatever other texts are scored with it."""
+    r = random.Random(3)
+    texts = [text(r, n).lower().split() for n in (1, 5, 40, 90)] + [[], ["é", "x"]]
+    net = toxicity.Network()
+    alone = [toxicity.text_logits(net, [t])[0] for t in texts]
+    assert np.allclose(toxicity.text_logits(net, texts), alone, atol=1e-5) and np.allclose(toxicity.text_logits(net, texts[::-1])[::-1], alone, atol=1e-5)
+
+
 def test_windows_cover_whole_texts():
     texts = [[str(i) for i in range(n)] for n in (0, 1, 32, 33, 56, 57, 1000)]
     words, index, owner = toxicity.windows_of(texts)
