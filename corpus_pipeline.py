@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that with the most code points, then the smallest doc_id."""
     gone = exact_dedup.exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    gone = staged(gone, "copies")  # its size is known then: Spark broadcasts it if it is small
+    gone = staged(gone, "copies").hint("merge")  # it grows with the documents, so it is never broadcast
     sha = exact_dedup.sha256_hex(exact_dedup.normalised(F.col("text")))  # an identifier alone may stand for several texts
     kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (sha == F.col("_sha")), "left_anti")
     return kept.select(docs.columns)
