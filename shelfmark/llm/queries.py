@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import language_id, packing, toxicity
 from shelfmark.llm.decontaminate import contamination
+from shelfmark.llm.divergence import SCALE, TERMS, audit
 from shelfmark.llm.exact_dedup import exact_dedup
 from shelfmark.llm.jaccard_join import near_duplicates
 from shelfmark.llm.language_model import score as score_texts
 from shelfmark.llm.license_scan import RULES, SENTENCES, _as_list, _known, scan_licenses
 from shelfmark.llm.sharding import shard_documents
+from shelfmark.llm.source_mixing import mix
+from shelfmark.llm.spelling import variants
 from shelfmark.llm.substring_dedup import remove_repeats
 
 
@@ -84,11 +89,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_table(spark, sf_dir, "documents"), least=3, most=TERMS)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(_table(spark, sf_dir, "documents"), least=5, shortest=6, times=5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_jaccard_join, op3_license_scan, op4_toxicity, op5_sharding,
         op6_packing, op7_language_id, op8_decontamination, op9_lm_scoring, op10_substring_dedup,
+        op11_source_mixing, op12_source_divergence, op13_spelling_variants,
     )
 }
 
@@ -108,6 +126,13 @@ _SENTENCES = (
 _IDS = f"list_filter(list_transform(%s, lambda x: ({_KNOWN_SQL})[x]), lambda x: x is not null)"
 _W2 = "regexp_extract_all(" + _AZ % "coalesce(text, '')" + r", '[^\x20\x09-\x0D]+')"
 _W8 = "regexp_extract_all(" + _AZ % "coalesce(text, '')" + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_W12 = "regexp_extract_all(" + _AZ % "coalesce(text, '')" + r", '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+#: The table of crc32 (reflected polynomial 0xEDB88320), one step of 8 bits an entry.
+_CRC_TABLE = functools.reduce(lambda t, _: [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in t], range(8), list(range(256)))
+_CRC = (
+    "xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(range(1, strlen(%s), 2), lambda i: ('0x' || substr(%s, i, 2))::bigint)), "
+    f"lambda c, b: xor(c >> 8, ({_CRC_TABLE}::bigint[])[(xor(c, b) & 255) + 1])))"
+)
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
@@ -151,4 +176,39 @@ ORACLE_SQL = {
         select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
                coalesce(h, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from d left join pos using (doc_id) left join its using (doc_id)""",
+    "op12_source_divergence": rf"""
+        with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, {_W12} as w from documents),
+        t as (select lang, source, id, term, count(*) as n from (select lang, source, id, unnest(w) as term from d) group by all),
+        kept as (select lang, term, sum(n)::hugeint as n from t group by all having count(*) >= 3),
+        langs as (select lang, count(*) as v, sum(n)::hugeint as total from kept group by 1),
+        c as (select t.lang, source, term, sum(t.n)::hugeint as n from t join kept using (lang, term) group by all),
+        g as (select lang, source, coalesce(total, 0)::hugeint as total, coalesce(v, 0) as v from (select distinct lang, source from d)
+              left join (select lang, source, sum(n) as total from c group by all) using (lang, source) left join (select lang, v from langs) using (lang)),
+        p as (select lang, source, term, coalesce(c.n, 0) as n, 1 + {SCALE}::hugeint * (coalesce(c.n, 0) + 1) // (g.total + g.v) as p,
+                     1 + {SCALE}::hugeint * (kept.n + 1) // (langs.total + langs.v) as q
+              from g join kept using (lang) join langs using (lang) left join c using (lang, source, term)),
+        pair as (select a.lang, a.source, 'pair' as part, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+                 from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+                 union all select a.lang, a.source, 'pair', b.source, 0 from g a join g b on a.lang = b.lang and a.source <> b.source where a.v = 0),
+        term as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value from p where n > 0 and p > q),
+        ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+                   from (select * from pair union all select * from term))
+        select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= {TERMS}""",
+    "op13_spelling_variants": rf"""
+        with recursive r as (select coalesce(doc_id::varchar, '') as d, {_AZ % "r"} as r
+                             from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) as r from documents)),
+        x as (select r, n, hex(encode(d || ':' || r)) as x from (select d, r, count(*) as n from r group by all)),
+        h as (select r, n, {_CRC % ("x", "x")} as h from x),
+        w as (select word, sum(n)::bigint as n from (select n, case when h % 199 = 0 then substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) else r end as word from h)
+              where length(word) >= 6 group by 1 having sum(n) >= 5),
+        c as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as cut from (select word, n, unnest(range(1, length(word) + 1)) as i from w)),
+        near as (select distinct a.word, b.word as other, b.n from c a join c b on a.i = b.i and a.cut = b.cut and a.word <> b.word
+                 union select c.word, w.word, w.n from c join w on c.cut = w.word
+                 union select w.word, c.word, c.n from c join w on c.cut = w.word),
+        best as (select word, count(*) as n_near, first(other order by n desc, other) as form, max(n) as form_n from near group by 1),
+        v as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when form_n >= 5 * w.n then form end as form, case when form_n >= 5 * w.n then form_n end as form_n
+              from w left join best using (word)),
+        walk as (select word, word as root from v union all select walk.word, v.form from walk join v on v.word = walk.root where v.form is not null),
+        last as (select walk.word, walk.root from walk join v on v.word = walk.root where v.form is null)
+        select v.word, form, root, n, n_near, form_n from v join last using (word)""",
 }
