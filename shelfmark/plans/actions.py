@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.formats import to_dms
 from shelfmark.functions.paths import extension, has_extension, target_path
+from shelfmark.scratch import staged
 
 JPEG = [".jpg", ".jpeg"]
 
@@ -73,24 +74,52 @@ def write_times(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.filter("not (old_time <=> new_time)").withColumn("target", target)
 
 
+#: A target's numbers are counted inside ranges of as many ids or numbers.
+_RANGE_BITS = 16
+_NUMBERED = r"^(.*)-([1-9][0-9]{0,17})((?:[.][^./]+)?)$"
+
+
 def organise(files: DataFrame, rename: bool = False, offset_hours: int = 8) -> DataFrame:
-    """Moves to ``yyyy/MM/name``; later files (by file_id) with a taken target get ``-1``, ``-2``, ... before the extension.
+    """Moves to ``yyyy/MM/name``, no two to one path. The first file of a target (by file_id) gets it; the others get the
+    free ones of ``-1``, ``-2``, ... before the extension, those that are no file's own target.
 
-    Files of one target are numbered inside ranges of 65,536 ids; running sums of the ranges' counts give the rest.
+    A number is free in itself: ``name-k`` arises from ``name`` alone. The n-th free number is n and as many more as there
+    are taken numbers with fewer than n free ones below them. Files, and taken numbers among them, are counted inside
+    ranges; running sums of the ranges' counts give the rest, so a target that very many files share is no single task.
     """
     target = target_path(F.col("best_time"), F.col("file_name"), offset_hours, rename)
-    rows = files.filter("best_time is not null").withColumn("target", target).withColumn("_range", F.shiftright("file_id", 16))
-    counts = rows.groupBy("target", "_range").agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy("target").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("target", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("target", "_range").orderBy("file_id")) - 1
-    rows = rows.withColumn("_n", nth).join(counts, ["target", "_range"]).withColumn("_n", F.col("_n") + F.col("_before"))
-    return rows.withColumn("target", _suffixed(F.col("target"), F.col("_n"))).drop("_n", "_before", "_range")
+    rows = files.filter("best_time is not null").withColumn("target", target)
+    rows = staged(_counted_before(rows, ["target"], F.shiftright("file_id", _RANGE_BITS), "file_id", F.lit(1), "_n"), "organise")
+    shared = rows.filter("_n > 0").select("target").distinct()
+    part = lambda i: F.regexp_extract("target", _NUMBERED, i)
+    taken = rows.filter("_n = 0").select(F.col("target").alias("_own"), F.concat(part(1), part(3)).alias("target"), part(2).try_cast("long").alias("_k"))
+    taken = taken.filter((F.col("_k") > 0) & (_suffixed(F.col("target"), F.col("_k")) == F.col("_own"))).join(shared, "target", "left_semi")
+    taken = _counted_before(taken, ["target"], F.shiftright("_k", _RANGE_BITS), "_k", F.lit(1), "_i").select("target", (F.col("_k") - F.col("_i") - 1).alias("_at"))
+
+    crowded = rows.filter("_n > 0").join(taken.select("target").distinct(), "target", "left_semi").select("target", "_n")
+    both = crowded.select("target", F.col("_n").alias("_at"), F.lit(0).alias("_taken")).unionByName(taken.withColumn("_taken", F.lit(1)))
+    both = _counted_before(both, ["target"], F.shiftright("_at", _RANGE_BITS), ("_at", "_taken"), F.col("_taken"), "_more")
+    more = both.filter("_taken = 0").select("target", F.col("_at").alias("_n"), "_more")
+    rows = rows.join(more, ["target", "_n"], "left").withColumn("_n", F.col("_n") + F.coalesce("_more", F.lit(0)))
+    return rows.withColumn("target", _suffixed(F.col("target"), F.col("_n"))).drop("_n", "_more")
+
+
+def _counted_before(rows: DataFrame, key: list[str], part: Column, order: str | tuple[str, ...], what: Column, name: str) -> DataFrame:
+    """Adds the sum of ``what`` over the rows of the key before each one, counted inside parts and added up over them."""
+    order = [order] if isinstance(order, str) else list(order)
+    rows = rows.withColumns({"_part": part, "_what": what.cast("long")})
+    sums = rows.groupBy(*key, "_part").agg(F.sum("_what").alias("_sum"))
+    earlier = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*key, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(name, F.coalesce(F.sum("_what").over(inside), F.lit(0))).join(sums, [*key, "_part"])
+    return rows.withColumn(name, F.col(name) + F.col("_start")).drop("_part", "_what", "_start")
 
 
 def _suffixed(target: Column, n: Column) -> Column:
-    stem = F.regexp_replace(target, r"\.[^./]*$", "")
-    return F.when(n == 0, target).otherwise(F.concat(stem, F.lit("-"), n.cast("string"), F.substring(target, F.length(stem) + 1, F.length(target))))
+    """``-n`` before the extension; names such as ``.profile`` have none."""
+    ext = F.regexp_extract(target, r"[^./]([.][^./]+)$", 1)
+    return F.when(n == 0, target).otherwise(F.concat(F.left(target, F.length(target) - F.length(ext)), F.lit("-"), n.cast("string"), ext))
 
 
 def audit(plan: DataFrame, operation: str, now: Column, *details: str) -> DataFrame:

@@ -132,6 +132,23 @@ def organise_plan(s, d):
     return actions.organise(files).select("file_id", "target")
 
 
+def organise_free_names(s, d):
+    """Targets among names that bear numbers already: of each priority and month, several files are called ``name-k``."""
+    name = "o_orderpriority || case when o_custkey % 3 = 0 then '-' || (o_custkey % 40 + 1) else '' end || case when o_custkey % 2 = 0 then '.jpg' else '' end"
+    return actions.organise(r.table(s, d, "orders").selectExpr("o_orderkey as file_id", "o_orderdate as best_time", f"{name} as file_name")).select("file_id", "target")
+
+
+def _organise_sql(name: str) -> str:
+    """Every later file of a target takes the next of all numbers that make no other file's target."""
+    return f"""
+        with f as (select o_orderkey as file_id, strftime(o_orderdate + interval 8 hours, '%Y/%m/') || {name} as t from orders),
+        g as (select *, row_number() over (partition by t order by file_id) - 1 as n from f),
+        s as (select t, max(n) as most, regexp_replace(t, '[.]jpg$', '') as stem, case when ends_with(t, '.jpg') then '.jpg' else '' end as ext from g group by t),
+        c as (select t, stem || '-' || k || ext as target, k from (select *, unnest(range(1, most + 50)) as k from s where most > 0)),
+        free as (select t, target, row_number() over (partition by t order by k) as n from c where target not in (select t from f))
+        select file_id, coalesce(target, t) as target from g left join free using (t, n)"""
+
+
 _PLAN = f"select file_id, file_path, file_size from ({MEMBERS}) where not is_recommended"
 _SIZE = """case when file_size is null or file_size = 0 then '-' when file_size < 1024 then file_size || ' B'
     when file_size < 1048576 then format('{:.1f} KB', file_size / 1024.0) else format('{:.1f} MB', file_size / 1048576.0) end"""
@@ -143,7 +160,7 @@ _DIRS = """
 QUERIES = {f.__name__: f for f in (
     dup_exact_groups, dup_exact_members, dup_funnel_counts, dup_reclaimable, dup_group_page, dup_group_total, dup_delete_plan, dup_group_details, quick_hash_groups, scan_by_type,
     scan_by_extension, scan_classified, task_rollup, file_page, file_page_desc, delete_by_extension_plan, delete_by_extension_freed, empty_dirs,
-    change_detection, pending_features, audit_page, audit_rows, organise_plan,
+    change_detection, pending_features, audit_page, audit_rows, organise_plan, organise_free_names,
 )}
 
 ORACLE_SQL = {
@@ -184,7 +201,6 @@ ORACLE_SQL = {
     "audit_page": """select event_id as log_id, user_id as task_id, event_type as operation_type, cast(json_extract_string(props, '$.k') as bigint) as k
         from events where event_type = 'purchase' order by ts desc, event_id desc limit 50 offset 50""",
     "audit_rows": f"select task_id, 'delete_extension' as operation_type, file_path, file_id, file_size from ({r.PAGE_FILES}) where extension = '.zip'",
-    "organise_plan": """select file_id, case when n = 0 then t || '.jpg' else t || '-' || n || '.jpg' end as target
-        from (select o_orderkey as file_id, strftime(o_orderdate + interval 8 hours, '%Y/%m/') || o_orderpriority as t,
-              row_number() over (partition by strftime(o_orderdate + interval 8 hours, '%Y/%m/') || o_orderpriority order by o_orderkey) - 1 as n from orders)""",
+    "organise_plan": _organise_sql("o_orderpriority || '.jpg'"),
+    "organise_free_names": _organise_sql("o_orderpriority || case when o_custkey % 3 = 0 then '-' || (o_custkey % 40 + 1) else '' end || case when o_custkey % 2 = 0 then '.jpg' else '' end"),
 }

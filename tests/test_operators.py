@@ -167,6 +167,26 @@ def test_plans(spark):
     assert {r.file_id: r.target for r in actions.organise(named).collect()} == {1: "2024/05/a.jpg", 2: "2024/05/a-1.jpg", 3: "2024/05/b"}
 
 
+def test_organise_takes_free_names_only(spark, monkeypatch):
+    """Against taking the first free number file by file, with numbered originals, names without extension and hidden ones."""
+    monkeypatch.setattr(actions, "_RANGE_BITS", 2)
+    r = random.Random(4)
+    names = ["a.jpg", "a.jpg", "a-1.jpg", "a-3.jpg", "a-1-1.jpg", "b", "b-1", "b-02", "b-2.jpg", ".profile", ".profile-1", "-1.jpg", "c.tar.gz", "c-1.tar.gz", "c.tar-1.gz", "d..jpg", "d.-1.jpg"]
+    names = names[:3] + [r.choice(names) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(names)), "file_id long, file_name string").withColumn("best_time", F.lit("2024-05-05 00:00:00").cast("timestamp_ntz"))
+    got = {x.file_id: x.target for x in actions.organise(rows.repartition(3)).collect()}
+    own, used, want = {n: names.index(n) for n in names}, set(names), {}
+    for i, n in enumerate(names):
+        new = n
+        if own[n] != i:
+            dot = n.rfind(".")
+            stem, ext = (n[:dot], n[dot:]) if dot > 0 and n[dot - 1] != "." and dot < len(n) - 1 else (n, "")
+            new = next(f"{stem}-{k}{ext}" for k in itertools.count(1) if f"{stem}-{k}{ext}" not in used)
+        used.add(new)
+        want[i] = "2024/05/" + new
+    assert got == want and len(set(got.values())) == len(names)
+
+
 def test_sources(spark, tmp_path):
     folder = tmp_path / "in" / "sub"
     folder.mkdir(parents=True)
