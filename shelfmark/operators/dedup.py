@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.fingerprint import full_hash, quick_hash
+from shelfmark.scratch import staged
 
 
 def _shared(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -14,17 +15,45 @@ def _shared(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(many, keys, "left_semi")
 
 
+#: Bits of one bitmap of Spark's, and the most bitmaps of a key filter: 16,384 of 4 KB, which is what is broadcast at most.
+_BITS, FILTER_MAPS = 32768, 16_384
+
+
+def key_filter(rows: DataFrame, keys: DataFrame, key: str = "file_id", maps: int = FILTER_MAPS, bits_a_key: int = 16) -> DataFrame:
+    """Rows that may have one of the ``keys``: all that do, and few others. Nothing of the rows is shuffled.
+
+    A Bloom filter with one hash: bitmaps of the keys' hashes, as many as the keys need up to ``maps``, whose size is thus
+    bounded, are broadcast. With more keys it lets more rows through, but never loses one.
+    """
+    n = keys.agg(F.count(key)).first()[0]
+    used = max(1, min(maps, -(-n * bits_a_key // _BITS)))
+    spot = F.pmod(F.xxhash64(key), F.lit(used * _BITS))
+    marked = keys.filter(F.col(key).isNotNull()).select(F.floor(spot / _BITS).alias("_map"), (spot % _BITS).alias("_bit"))
+    marked = marked.groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))  # at most ``used`` rows
+    rows = rows.withColumns({"_spot": spot}).join(F.broadcast(marked), F.floor(F.col("_spot") / _BITS) == F.col("_map"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_spot") % _BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.filter(F.getbit(byte, (F.col("_spot") % 8).cast("int")) == 1).drop("_spot", "_map", "_bits")
+
+
+def fingerprints(content: DataFrame, survivors: DataFrame, of) -> DataFrame:
+    """``survivors`` with ``print``, computed by ``of`` where the contents are read; only hashes are joined and shuffled."""
+    read = key_filter(content.filter("content is not null"), survivors.select("file_id"))
+    return survivors.join(read.select("file_id", of(F.col("content")).alias("print")), "file_id")
+
+
 def funnel(files: DataFrame, content: DataFrame) -> dict[str, DataFrame]:
     """Survivors of the three stages: equal sizes, equal quick hashes, equal SHA-256.
 
-    ``files``: ``task_id, file_id, file_size``. ``content``: ``file_id, content``; it is only joined for files that share
-    their size. A null size or content drops out.
+    ``files``: ``task_id, file_id, file_size``. ``content``: ``file_id, content``; it is read once for the quick hash and
+    once for the full one, each time where it lies and only for files that are left. A null size or content drops out.
+    Every stage is written to scratch once.
     """
-    by_size = _shared(files.filter("file_size is not null").select("task_id", "file_id", "file_size"), ["task_id", "file_size"])
-    quick = by_size.join(content, "file_id").filter("content is not null").withColumn("quick", quick_hash(F.col("content")))
-    by_quick = _shared(quick, ["task_id", "file_size", "quick"])
-    full = by_quick.withColumn("sha256", full_hash(F.col("content"))).select("task_id", "file_id", "file_size", "sha256")
-    return {"size": by_size, "quick": by_quick.drop("content"), "full": _shared(full, ["task_id", "sha256"])}
+    sizes = files.filter("file_size is not null").select("task_id", "file_id", "file_size")
+    by_size = staged(_shared(sizes, ["task_id", "file_size"]), "funnel-size")
+    quick = staged(fingerprints(content, by_size, quick_hash).withColumnRenamed("print", "quick"), "funnel-prints")
+    by_quick = staged(_shared(quick, ["task_id", "file_size", "quick"]), "funnel-quick")
+    full = staged(fingerprints(content, by_quick.drop("quick"), full_hash).withColumnRenamed("print", "sha256"), "funnel-prints")
+    return {"size": by_size, "quick": by_quick, "full": staged(_shared(full, ["task_id", "sha256"]), "funnel-full")}
 
 
 def keeper_order() -> Column:

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,33 @@ def test_funnel_and_keeper(spark):
     assert dedup.reclaimable(dedup.exact_members(files, content)).first()["bytes"] == 6
 
 
+@pytest.mark.parametrize("maps", [1, 4])
+def test_key_filter_loses_no_key(spark, maps):
+    """Also when there are far more keys than its bitmaps have bits for."""
+    rows, keys = spark.range(200_000).withColumnRenamed("id", "file_id"), spark.range(0, 200_000, 7).withColumnRenamed("id", "file_id")
+    got = {r.file_id for r in dedup.key_filter(rows, keys.union(spark.sql("select cast(null as long)")), maps=maps).collect()}
+    assert set(range(0, 200_000, 7)) <= got and (maps == 1 or len(got) < 80_000)
+    assert dedup.key_filter(rows, keys.limit(0)).count() == 0
+    few = {r.file_id for r in dedup.key_filter(rows, keys.limit(100)).collect()}
+    assert len(few) < 1500
+
+
+def test_funnel_moves_no_contents(spark):
+    """Contents are scanned where they lie: no exchange carries them, and each of the two hashes scans them once."""
+    files = spark.range(100).select(F.lit(1).alias("task_id"), F.col("id").alias("file_id"), F.lit(8).alias("file_size"))
+    content = spark.range(100).select(F.col("id").alias("file_id"), F.format_string("%08d", F.col("id") % 40).alias("content"))
+    for of in (dedup.quick_hash, dedup.full_hash):
+        prints = dedup.fingerprints(content, files, of)
+        plan = prints._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("format_string") == 1
+        text = spark._jvm.PythonSQLUtils.explainString(prints._jdf.queryExecution(), "formatted")
+        moved = re.findall(r"\) \w*Exchange[^\n]*\nInput \[\d+\]: ([^\n]*)", text)
+        assert moved and not any("content" in x for x in moved) and prints.count() == 100
+    stages = dedup.funnel(files, content)
+    assert {n: df.count() for n, df in stages.items()} == {"size": 100, "quick": 100, "full": 100}
+    assert all("content" not in df.columns for df in stages.values())
+
+
 def test_uncovered_keeps_partly_covered_groups_whole(spark):
     similar_ = spark.createDataFrame([(1, 1, 1), (1, 1, 2), (1, 3, 3), (1, 3, 4)], "task_id long, group_id long, file_id long")
     exact = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (1, 9, 3)], "task_id long, group_id long, file_id long")
