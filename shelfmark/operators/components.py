@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shelfmark.scratch import staged
@@ -18,20 +18,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter(
         F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))
     )
-    e, before = staged(e.distinct(), "cc"), None
-    while (now := _state(e)) != before:
+    (e, now), before = _staged(e.distinct()), None
+    while now != before and now[0]:
         before = now
-        if now[0] == 0:
-            break
-        e = staged(_small_star(_large_star(e)), "cc")
+        e, now = _staged(_small_star(_large_star(e)))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
-def _state(e: DataFrame) -> tuple:
-    row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _staged(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """Edges written to scratch, with their number and a sum of hashes, which are gathered as they are written."""
+    seen = Observation()
+    mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark")
+    e = staged(e.observe(seen, F.count(F.lit(1)).alias("n"), mark), "cc")
+    return e, (seen.get["n"], seen.get["mark"])
 
 
 def _large_star(e: DataFrame) -> DataFrame:

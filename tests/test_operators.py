@@ -56,6 +56,25 @@ def test_hamming_join_equals_all_pairs(spark, t):
     assert got == want and want
 
 
+def test_hamming_join_with_crowded_bands(spark):
+    """Hashes that agree on most bits: the bands they crowd on get fewer flips, and no pair is lost."""
+    r = random.Random(5)
+    values = sorted({(0x0123_4567_89AB << 16 | r.getrandbits(16)) ^ (1 << r.randrange(64) if r.random() < 0.5 else 0) for _ in range(300)})
+    values = [v - (1 << 64) if v >> 63 else v for v in values]
+    got = {(x.a, x.b) for x in similar.hamming_pairs(spark.createDataFrame([(v,) for v in values], "h long"), 4).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(sorted(values), 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
+    even, crowded = similar.bands_for(4, 10**6), similar.bands_for(4, 10**6, [2.0**-22, 1.0, 1.0], 3)
+    assert sum(s + p + 1 for *_, s, p in crowded) == sum(s + p + 1 for *_, s, p in even) == 5
+    assert len(crowded) == 1 and crowded[0][0] == 0  # only the first band tells hashes apart
+
+
+@pytest.mark.parametrize("t", [0, 1, 4, 8, 12, 20, 64])
+@pytest.mark.parametrize("size", [0, 10**3, 10**7, 10**10])
+def test_band_thresholds_add_up(t, size):
+    bands = similar.bands_for(t, size)
+    assert sum(s + p + 1 for *_, s, p in bands) == t + 1
+
+
 def test_similar_groups_chain_and_keep_tasks_apart(spark):
     rows = [(1, 10, 0), (1, 11, 0), (1, 12, 15), (1, 13, 255), (1, 14, -1), (2, 20, 0)]
     got = similar.similar_groups(spark.createDataFrame(rows, "task_id long, file_id long, h long"), 4).collect()
