@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.scratch import staged
+
 OFFSET_HOURS = 8
 # The two file-name patterns in the order they are tried.
 NAME_PATTERNS = [
@@ -107,10 +109,43 @@ def display(ts: Column, offset_hours: int = OFFSET_HOURS) -> Column:
     return F.date_format(shifted(ts, offset_hours), "yyyy-MM-dd HH:mm:ss")
 
 
+#: Accuracy of the sketch that brackets a quantile: its ranks are off by no more than one in so many rows.
+SKETCH = 10_000
+
+
+def exact_quartiles(times: DataFrame, accuracy: int = SKETCH) -> DataFrame:
+    """``task_id, q1, q3``, interpolated, of ``task_id, s``; no task of Spark's holds or sorts all values of one ``task_id``.
+
+    A mergeable sketch brackets each quartile; values below the bracket are only counted, and the few inside, which are
+    made distinct first, are numbered exactly. Up to ``2 * accuracy`` values the bracket is their whole range. A bracket
+    that misses its rank raises an error.
+    """
+    wide = 4.0 / accuracy
+    points = F.array(*(F.lit(min(1.0, max(0.0, p + d))) for p in (0.25, 0.75) for d in (-wide, wide)))
+    found = {"x": F.percentile_approx("s", points, accuracy), "n": F.count("s"), "least": F.min("s"), "most": F.max("s")}
+    sketch = times.groupBy("task_id").agg(*(c.alias(name) for name, c in found.items())).filter("n > 0")
+    few = F.col("n") <= 2 * accuracy
+    sketch = sketch.withColumn("x", F.when(few, F.array("least", "most", "least", "most")).otherwise(F.col("x")))
+    bracket = lambda q, p, i: F.struct(F.lit(q).alias("q"), ((F.col("n") - 1) * p).alias("rank"), F.get("x", F.lit(i)).alias("low"), F.get("x", F.lit(i + 1)).alias("high"))
+    cuts = sketch.select("task_id", F.explode(F.array(bracket("q1", 0.25, 0), bracket("q3", 0.75, 2))).alias("c")).select("task_id", "c.*")
+    near = times.join(cuts, "task_id").filter(F.col("s") <= F.col("high"))
+    counted = near.withColumn("s", F.when(F.col("s") >= F.col("low"), F.col("s"))).groupBy("task_id", "q", "rank", "s").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("task_id", "q").orderBy(F.asc_nulls_first("s")))
+    counted = counted.withColumn("upto", upto)
+    at = lambda r: F.min(F.when((F.col("upto") > r) & F.col("s").isNotNull() & (F.col("upto") - F.col("k") <= r), F.col("s")))
+    rank, low = F.col("rank"), F.floor("rank")
+    ends = counted.groupBy("task_id", "q", "rank").agg(at(low).alias("a"), at(F.ceil("rank")).alias("b"))
+    value = F.when(low == rank, F.col("a").cast("double")).otherwise((F.ceil("rank") - rank) * F.col("a") + (rank - low) * F.col("b"))
+    ends = ends.withColumn("v", F.coalesce(value, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")))
+    pick = lambda q: F.max(F.when(F.col("q") == q, F.col("v"))).alias(q)
+    return ends.groupBy("task_id").agg(pick("q1"), pick("q3"))
+
+
 def time_outliers(files: DataFrame, factor: float = 1.5) -> DataFrame:
-    """Adds ``is_outlier``: best_time outside the quartiles by ``factor`` times their distance, per task."""
-    t = files.withColumn("_s", F.unix_micros(F.col("best_time").cast("timestamp")).cast("double"))
-    q = t.groupBy("task_id").agg(F.percentile("_s", 0.25).alias("_q1"), F.percentile("_s", 0.75).alias("_q3"))
-    wide = (F.col("_q3") - F.col("_q1")) * factor
-    out = t.join(q, "task_id").withColumn("is_outlier", (F.col("_s") < F.col("_q1") - wide) | (F.col("_s") > F.col("_q3") + wide))
-    return out.drop("_s", "_q1", "_q3")
+    """Adds ``is_outlier``: best_time outside the quartiles by ``factor`` times their distance, per task; null without a time."""
+    seconds = F.unix_micros(F.col("best_time").cast("timestamp"))
+    times = staged(files.select("task_id", seconds.alias("s")).filter("s is not null"), "outlier-times")
+    wide = (F.col("q3") - F.col("q1")) * factor
+    bounds = exact_quartiles(times).select("task_id", (F.col("q1") - wide).alias("_least"), (F.col("q3") + wide).alias("_most"))
+    out = files.join(bounds, "task_id", "left")
+    return out.withColumn("is_outlier", (seconds < F.col("_least")) | (seconds > F.col("_most"))).drop("_least", "_most")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.scratch import staged
+
 GOOD_SECONDS = 300
 
 
@@ -19,11 +21,35 @@ def _seconds(a: Column, b: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", a, b) / F.lit(1e6)
 
 
-def match(photos: DataFrame, points: DataFrame, bucket: str = "day") -> DataFrame:
+#: Rows that one range of times holds; a range never divides a second.
+RANGE_ROWS = 500_000
+
+
+def with_ranges(rows: DataFrame, time: str = "ts", most: int = RANGE_ROWS) -> DataFrame:
+    """Adds ``bucket``, which rises with time: the day, and on days with more than ``most`` rows the part of it, so that no
+    bucket holds many more rows than that.
+
+    Rows are counted per day; those of busy days per second too, and running sums of these counts cut the day into parts
+    of equal depth. Where no day is busy, nothing is joined.
+    """
+    day, second = F.date_trunc("day", time).cast("timestamp_ntz"), F.date_trunc("second", time).cast("timestamp_ntz")
+    dated = rows.withColumn("_day", day)
+    busy = staged(dated.groupBy("task_id", "_day").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).drop("_n"), "busy-days")
+    if busy.isEmpty():
+        return dated.withColumn("bucket", F.struct(F.col("_day").alias("day"), F.lit(0).cast("long").alias("part"))).drop("_day")
+    seconds = dated.join(busy, ["task_id", "_day"], "left_semi").groupBy("task_id", "_day", second.alias("_second")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("task_id", "_day").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1))  # at most 86,400 rows a day
+    parts = seconds.select("task_id", "_day", "_second", F.floor(F.coalesce(before, F.lit(0)) / most).alias("_part"))
+    cut = dated.withColumn("_second", second).join(parts, ["task_id", "_day", "_second"], "left")
+    return cut.withColumn("bucket", F.struct(F.col("_day").alias("day"), F.coalesce("_part", F.lit(0)).cast("long").alias("part"))).drop("_day", "_second", "_part")
+
+
+def match(photos: DataFrame, points: DataFrame, most: int = RANGE_ROWS) -> DataFrame:
     """Adds ``matched_lat, matched_lng, time_offset_sec, match_quality`` to ``photos(task_id, file_id, ts)``.
 
-    Points before (strictly) and after (or at) each photo come from two running windows inside ``(task, time bucket)``,
-    so a long track is spread over the cluster; what lies in other buckets comes from a window over one row per bucket.
+    Points before (strictly) and after (or at) each photo come from two running windows inside ``(task, time range)``, whose
+    ranges are days or parts of busy ones, so a long track is spread over the cluster, also if it lies in one hour; what
+    lies in other ranges comes from a window over one row per range.
     Before the first and after the last point the position is clamped and the offset signed; in between it is
     interpolated and the offset is the distance to the nearer point. Without points: ``no_match``.
     """
@@ -32,7 +58,7 @@ def match(photos: DataFrame, points: DataFrame, bucket: str = "day") -> DataFram
     rest = photos.columns[2:]
     both = points.select("task_id", "ts", F.lit(1).alias("k"), "p", *[F.lit(None).cast(photos.schema[c].dataType).alias(c) for c in rest])
     both = both.unionByName(photos.select("task_id", "ts", F.lit(0).alias("k"), F.lit(None).cast(points.schema["p"].dataType).alias("p"), *rest))
-    both = both.withColumn("bucket", F.date_trunc(bucket, "ts").cast("timestamp_ntz"))
+    both = with_ranges(both, "ts", most)
     key = ["task_id", "bucket"]
     up = Window.partitionBy(*key).orderBy("ts", "k").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*key).orderBy(F.desc("ts"), F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
@@ -69,9 +95,9 @@ def match_stats(matches: DataFrame) -> DataFrame:
     )
 
 
-def row_index(points: DataFrame, order: str = "ts", bucket: str = "day") -> DataFrame:
-    """Adds ``idx`` from 0 per task: counted inside time buckets, shifted by a running sum over the bucket table."""
-    rows = points.withColumn("_b", F.date_trunc(bucket, order))
+def row_index(points: DataFrame, order: str = "ts", most: int = RANGE_ROWS) -> DataFrame:
+    """Adds ``idx`` from 0 per task: counted inside time ranges, shifted by a running sum over the table of ranges."""
+    rows = with_ranges(points, order, most).withColumnRenamed("bucket", "_b")
     sizes = rows.groupBy("task_id", "_b").agg(F.count("*").alias("_k"))
     before = Window.partitionBy("task_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("task_id", "_b", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_start"))

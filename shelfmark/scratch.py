@@ -26,13 +26,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a scratch table and read back: computed once, its lineage cut, safe if executors are lost."""
+def staged(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written to a scratch table and read back: computed once, its lineage cut, safe if executors are lost.
+
+    With columns ``by``, files lie in folders of their values, and filters on them read no others.
+    """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     before = spark.conf.get(_FREE_SHUFFLES, "false")
     spark.conf.set(_FREE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,3 +1,4 @@
+import datetime
 import itertools
 import random
 import re
@@ -5,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.functions import times
 from shelfmark.operators import dedup, paging, prefs, similar, stats, tracks
 from shelfmark.operators.components import connected_components
 from shelfmark.plans import actions
@@ -141,6 +143,27 @@ def test_track_match(spark):
     }
 
 
+@pytest.mark.parametrize("most", [1, 7, 10**6])
+def test_track_match_in_one_busy_hour(spark, most):
+    """A task whose points lie in one hour is cut into ranges of seconds; the matches stay those of a plain search."""
+    r = random.Random(2)
+    day = datetime.datetime(2024, 1, 1, 10)
+    at = sorted({day + datetime.timedelta(seconds=r.randrange(3600), microseconds=r.choice([0, 5])) for _ in range(120)})
+    points = spark.createDataFrame([(1, t.isoformat(" "), float(i), 0.0) for i, t in enumerate(at)], "task_id long, ts string, lat double, lng double")
+    asked = [day + datetime.timedelta(seconds=r.randrange(-100, 3700)) for _ in range(80)] + at[:5]
+    photos = spark.createDataFrame([(1, i, t.isoformat(" ")) for i, t in enumerate(asked)], "task_id long, file_id long, ts string")
+    points, photos = _ts(points, "ts"), _ts(photos, "ts")
+    got = {x.file_id: x.time_offset_sec for x in tracks.match(photos, points, most).collect()}
+    for i, t in enumerate(asked):
+        before, after = [x for x in at if x < t], [x for x in at if x >= t]
+        gaps = [(t - x).total_seconds() for x in before[-1:] + after[:1]]
+        want = int(min(map(abs, gaps))) if len(gaps) == 2 else int(gaps[0])
+        assert got[i] == want
+    held = tracks.with_ranges(points, "ts", most).groupBy("bucket").count().agg(F.max("count"), F.count("*")).first()
+    assert most > 100 or (held[0] <= most + 4 and held[1] > 100 / (most + 4))
+    assert [x.idx for x in tracks.row_index(points, most=most).orderBy("ts").collect()] == list(range(len(at)))
+
+
 def test_track_match_without_points(spark):
     points = _ts(spark.createDataFrame([], "task_id long, ts string, lat double, lng double"), "ts")
     photos = _ts(spark.createDataFrame([(1, 1, "2024-01-01 09:55:00")], "task_id long, file_id long, ts string"), "ts")
@@ -162,6 +185,31 @@ def test_pages(spark):
     assert "TakeOrderedAndProject" in paging.page(df, "x", "id")._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_deep_pages(spark, descending):
+    """Every page equals the plain one, with nulls and many equal values; a deep page reads few ranges."""
+    df = spark.createDataFrame([(i, None if i % 9 == 0 else i % 4) for i in range(500)], "id long, x int")
+    ranked = paging.Ranked(df, "x", "id", descending, ranges=8)
+    assert ranked.total == 500 and len(ranked.starts) == 8
+    for number in (1, 3, 17, 36, 40):
+        want = paging.page(df, "x", "id", descending, number, 14).collect()
+        assert ranked.page(number, 14).collect() == want
+    plan = ranked.page(30, 14)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*_range", plan) and "TakeOrdered" not in plan
+    assert paging.Ranked(df.limit(0), "x", "id").page().collect() == []
+
+
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
+def test_exact_quartiles(spark, accuracy):
+    """A rough sketch, exact results: ties, one value, two values, and tasks of many sizes."""
+    r = random.Random(6)
+    rows = [(t, r.choice([5, r.randrange(10**15), 7])) for t, n in enumerate([1, 2, 3, 4, 50, 3000]) for _ in range(n)]
+    df = spark.createDataFrame(rows, "task_id long, s long")
+    want = {x.task_id: (x.a, x.b) for x in df.groupBy("task_id").agg(F.percentile("s", 0.25).alias("a"), F.percentile("s", 0.75).alias("b")).collect()}
+    got = {x.task_id: (x.q1, x.q3) for x in times.exact_quartiles(df, accuracy).collect()}
+    assert got.keys() == want.keys() and all(got[t] == pytest.approx(want[t], rel=1e-12) for t in want)
+
+
 def test_predictions(spark):
     df = spark.createDataFrame([(0.5,), (0.51,), (0.0,)], "p double").select(prefs.prediction(F.col("p")).alias("l"), F.round(prefs.confidence(F.col("p")), 6).alias("c"))
     assert [tuple(r) for r in df.collect()] == [("delete", 0.0), ("keep", 0.02), ("delete", 1.0)]
