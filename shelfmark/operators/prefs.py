@@ -104,9 +104,13 @@ def batch_score(model: PipelineModel, features: DataFrame, version: int) -> Data
 
 
 def upsert_labels(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New user labels over old rows, newest last by ``labeled_at``; predictions of the row stay as they are."""
+    """New user labels over old rows, newest last by ``labeled_at``; predictions of the row stay as they are.
+
+    A label older than the row's own changes nothing, so labels may come twice or late.
+    """
     latest = new.groupBy("file_id", "task_id").agg(F.max_by(F.struct("user_label", "labeled_at"), "labeled_at").alias("u"))
     out = old.join(latest, ["file_id", "task_id"], "full")
+    out = out.withColumn("u", F.when(F.col("labeled_at").isNull() | (F.col("u.labeled_at") >= F.col("labeled_at")), F.col("u")))
     return out.withColumns(
         {
             "user_label": F.when(F.col("u").isNotNull(), F.col("u.user_label")).otherwise(F.col("user_label")),

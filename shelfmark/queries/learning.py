@@ -85,12 +85,12 @@ def scored_predictions(s, d):
 
 
 def class_weights(s, d):
-    return prefs.weighted(_training(s, d)).select("file_id", F.round("weight", 6).alias("weight"))
+    return prefs.weighted(training_rows(s, d)).select("file_id", F.round("weight", 6).alias("weight"))
 
 
 def resampled_classes(s, d):
     """Rows of both classes after the smaller one is repeated: how many, and the fewest and most copies of one row, kept within bounds."""
-    copies = prefs.resampled(_training(s, d)).groupBy("label", "file_id").agg(F.count("*").alias("n"))
+    copies = prefs.resampled(training_rows(s, d)).groupBy("label", "file_id").agg(F.count("*").alias("n"))
     return copies.groupBy("label").agg(F.count("*").alias("files"), F.min("n").alias("least"), (F.max("n") - F.min("n") <= 1).alias("even"))
 
 
@@ -109,20 +109,20 @@ def _labels(s, d):
     return r.table(s, d, "labels").selectExpr("doc_id as file_id", "1L as task_id", "if(quality = 1, 'keep', 'delete') as user_label")
 
 
-def _training(s, d):
+def training_rows(s, d):
     return prefs.training_set(r.table(s, d, "embeddings").selectExpr("vec_id as file_id", "embedding"), _labels(s, d))
 
 
 def label_stats(s, d):
-    return stats.label_stats(_training(s, d).select(F.when(F.col("label") == 1, "keep").otherwise("delete").alias("user_label")))
+    return stats.label_stats(training_rows(s, d).select(F.when(F.col("label") == 1, "keep").otherwise("delete").alias("user_label")))
 
 
 def training_set(s, d):
-    return _training(s, d).select("file_id", "label", F.size("features").alias("width"))
+    return training_rows(s, d).select("file_id", "label", F.size("features").alias("width"))
 
 
 def stratified_split(s, d):
-    return prefs.split(_training(s, d)).groupBy("label").agg(F.count("*").alias("n"), F.count_if("is_validation").alias("validation"))
+    return prefs.split(training_rows(s, d)).groupBy("label").agg(F.count("*").alias("n"), F.count_if("is_validation").alias("validation"))
 
 
 def review_page(s, d):
@@ -178,7 +178,7 @@ def model_metrics(s, d):
 
 def train_score(s, d):
     """Scores of all vectors by a model fitted on the training part of the labelled ones."""
-    labelled = _training(s, d)
+    labelled = training_rows(s, d)
     prefs.ready(labelled, 50)  # the smallest tables hold fewer than the usual 200
     rows = prefs.split(labelled).filter("not is_validation")
     model = prefs.train(rows)
@@ -220,7 +220,8 @@ _SIMHASH = """tokens as (select doc_id, unnest(list_filter(regexp_split_to_array
         codes as materialized (select doc_id, coalesce(code, repeat('0', 64)) as code from documents left join
                  (select doc_id, string_agg(case when n > 0 then '1' else '0' end, '' order by i) as code from sums group by 1) c using (doc_id))"""
 _P = f"({r.PREFERENCE_ROWS})"
-_L = "(select doc_id as file_id, quality as label from labels join embeddings on doc_id = vec_id)"
+#: The labelled rows that have a vector.
+SELECTED = "(select doc_id as file_id, quality as label from labels join embeddings on doc_id = vec_id)"
 _REG = "(select day(ts) as version, count(*) as training_samples from events group by 1)"
 _DELETE = f"select f.* from ({r.DOCUMENT_FILES}) f join {_P} p using (file_id) where user_label = 'delete' or (ai_prediction = 'delete' and user_label is null)"
 _TIER = "case when ai_confidence >= 0.8 then 'high' when ai_confidence >= 0.3 then 'medium' when ai_confidence is not null then 'low' end"
@@ -255,15 +256,15 @@ ORACLE_SQL = {
         from (select vec_id, embedding, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as i from embeddings)""",
     "scored_predictions": """select file_id, case when p > 0.5 then 'keep' else 'delete' end as ai_prediction, round(abs(p - 0.5::double) * 2, 6) as ai_confidence
         from (select doc_id as file_id, ((doc_id * 37) % 101) / 100.0::double as p from labels)""",
-    "class_weights": f"""select file_id, round((select count(*) from {_L}) / ((select count(distinct label) from {_L}) * count(*) over (partition by label))::double, 6) as weight from {_L}""",
+    "class_weights": f"""select file_id, round((select count(*) from {SELECTED}) / ((select count(distinct label) from {SELECTED}) * count(*) over (partition by label))::double, 6) as weight from {SELECTED}""",
     "resampled_classes": f"""select cast(label as int) as label, n as files, m // n as least, true as even
-        from (select *, max(n) over () as m from (select label, count(*) as n from {_L} group by 1))""",
+        from (select *, max(n) over () as m from (select label, count(*) as n from {SELECTED} group by 1))""",
     "review_corrected": f"select file_id, user_label, ai_prediction from {_P} where user_label != ai_prediction and ai_confidence <= 0.7",
     "unit_vectors": "select vec_id, 1.0::double as squares from embeddings",
     "label_stats": f"""select count(*) as total, count(*) filter (where label = 1) as keep, count(*) filter (where label = 0) as delete,
-        count(*) >= 200 and count(*) filter (where label = 1) > 0 and count(*) filter (where label = 0) > 0 as ready from {_L}""",
-    "training_set": f"select file_id, cast(label as int) as label, 64 as width from {_L}",
-    "stratified_split": f"select cast(label as int) as label, count(*) as n, greatest(1, count(*) // 5) as validation from {_L} group by 1",
+        count(*) >= 200 and count(*) filter (where label = 1) > 0 and count(*) filter (where label = 0) > 0 as ready from {SELECTED}""",
+    "training_set": f"select file_id, cast(label as int) as label, 64 as width from {SELECTED}",
+    "stratified_split": f"select cast(label as int) as label, count(*) as n, greatest(1, count(*) // 5) as validation from {SELECTED} group by 1",
     "review_page": f"""select file_id, coalesce(user_label, ai_prediction) as effective_label, {_WRONG} as is_corrected, {_TIER} as tier, round(ai_confidence, 6) as ai_confidence
         from {_P} where ai_prediction = 'keep' and ai_confidence >= 0.3 and user_label is not null order by ai_confidence nulls first, file_id limit 40""",
     "uncertain_first": f"select file_id, ai_prediction from {_P} where user_label is null order by ai_confidence nulls first, file_id limit 30",

@@ -55,6 +55,13 @@ def read_tracks(spark: SparkSession, paths: list[str], task_id: int) -> DataFram
     return out
 
 
+def write_track(points: DataFrame, path: str) -> None:
+    """``ts`` (UTC), ``lat`` and ``lng`` as track files, one for each partition."""
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time")
+    rows = points.select(F.col("lat").alias("_lat"), F.col("lng").alias("_lon"), time)
+    rows.write.format("xml").option("rootTag", "gpx").option("rowTag", "trkpt").save(path)
+
+
 def write_snapshot(df: DataFrame, path: str) -> None:
     """Replaces the partitions of the tasks in ``df`` and leaves all other tasks alone."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task_id").parquet(path)
