@@ -21,24 +21,12 @@ def shifted(ts: Column, hours: int) -> Column:
     return ts + F.make_dt_interval(hours=F.lit(hours))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is computed once a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _timestamp(text: Column, pattern: str, in_range: bool) -> Column:
-    """The six fields come from one match, turned into a list and read from there."""
-    match = F.regexp_extract(text, pattern, 0)
-    fields = F.split(F.regexp_replace(match, pattern, "$1 $2 $3 $4 $5 $6"), " ")
-
-    def made(found: Column) -> Column:
-        parts = [F.get(found, i).try_cast("int") for i in range(6)]
-        ok = parts[5] <= 59
-        if in_range:
-            ok = ok & parts[0].between(2000, 2100)
-        return F.when(ok, F.try_make_timestamp_ntz(*parts))
-
-    return _let(fields, made)
+    """The match of a pattern of six fields, written as ISO and read. Each step is used once, so none is computed twice."""
+    iso = F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, "$1-$2-$3 $4:$5:$6")
+    if in_range:
+        iso = F.regexp_extract(iso, "^(?:20[0-9]{2}|2100)-.*$", 0)
+    return iso.try_cast("timestamp_ntz")
 
 
 def exif_time(*tags: Column, offset_hours: int = OFFSET_HOURS) -> Column:
@@ -54,7 +42,7 @@ def name_time(name: Column, offset_hours: int = OFFSET_HOURS, compact: bool = Fa
 
 def resolve(files: DataFrame, now: Column, offset_hours: int = OFFSET_HOURS) -> DataFrame:
     """Adds ``best_time`` and ``time_source`` from ``exif_time, file_name, file_modified, file_created``."""
-    files = files.withColumn("_named", _let(name_time(F.col("file_name"), offset_hours), lambda t: t))
+    files = files.withColumn("_named", name_time(F.col("file_name"), offset_hours))
     modified, created = shifted(F.col("file_modified"), -offset_hours), shifted(F.col("file_created"), -offset_hours)
     source = (
         F.when(F.col("exif_time").isNotNull(), "exif")
@@ -81,6 +69,13 @@ def anomalies(now: Column, offset_hours: int = OFFSET_HOURS, hours: int = 24) ->
     return F.nullif(F.concat_ws(",", *codes), F.lit(""))
 
 
+def flagged(files: DataFrame, now: Column) -> DataFrame:
+    """Rows with a code, as ``time_anomaly``. A filter on the codes would be pushed below them and compute them twice; a list
+    of none or one code is unfolded instead.
+    """
+    return files.withColumn("time_anomaly", F.explode(F.array_compact(F.array(anomalies(now)))))
+
+
 def offset_times(files: DataFrame, seconds: int, now: Column) -> DataFrame:
     """Shifts ``exif_time`` and ``best_time`` (now where null) and flags anew. At most a year either way."""
     if abs(seconds) > 365 * 86400:

@@ -73,6 +73,24 @@ def near_text_groups(s, d):
     return similar.similar_groups(_text_hashes(s, d), similar.threshold("loose")).select("group_id", "file_id")
 
 
+def near_text_uncovered(s, d):
+    """Similar groups of documents that an exact run on the same documents does not cover."""
+    groups = staged(similar.similar_groups(_text_hashes(s, d), similar.threshold("loose")), "similar")
+    return dedup.uncovered(groups, dedup.exact_members(r.document_files(s, d), r.document_content(s, d))).select("group_id", "file_id")
+
+
+def near_text_summary(s, d):
+    """Groups and files of an exact run and of the similar groups that are left beside it."""
+    exact = staged(dedup.exact_members(r.document_files(s, d), r.document_content(s, d)).select("task_id", "group_id", "file_id"), "exact")
+    groups = staged(similar.similar_groups(_text_hashes(s, d), similar.threshold("loose")), "similar")
+    return dedup.summary(exact, dedup.uncovered(groups, exact))
+
+
+def default_levels(s, d):
+    """Groups and files at the default thresholds, 4, 8 and 12."""
+    return similar.sweep(_hashes(s, d), similar.LEVELS)
+
+
 def unit_vector_parts(s, d):
     v = r.table(s, d, "embeddings").select("vec_id", F.posexplode(unit_length(F.col("embedding"))).alias("i", "x"))
     return v.select("vec_id", "i", (F.round("x", 4) + 0.0).alias("x"))
@@ -219,6 +237,13 @@ _SIMHASH = """tokens as (select doc_id, unnest(list_filter(regexp_split_to_array
                  from (select doc_id, to_base(cast('0x' || substr(md5(t), 1, 8) as bigint), 2, 32) || to_base(cast('0x' || substr(md5(t), 9, 8) as bigint), 2, 32) as h from tokens) x, range(64) r(i) group by 1, 2),
         codes as materialized (select doc_id, coalesce(code, repeat('0', 64)) as code from documents left join
                  (select doc_id, string_agg(case when n > 0 then '1' else '0' end, '' order by i) as code from sums group by 1) c using (doc_id))"""
+_TEXT_GROUPS = f"""with recursive {_SIMHASH},
+        reps as materialized (select min(doc_id) as id, code from codes group by code),
+        e as materialized (select a.id as src, b.id as dst from reps a join reps b on a.id < b.id and hamming(a.code, b.code) <= 4),
+        sym as (select src as a, dst as b from e union all select dst, src from e union all select id, id from reps),
+        walk(a, b) as (select a, b from sym union select w.a, s.b from walk w join sym s on w.b = s.a),
+        comp as (select a as id, min(b) as group_id from walk group by a),
+        grp as (select group_id, doc_id as file_id from codes join reps using (code) join comp using (id) qualify count(*) over (partition by group_id) >= 2)"""
 _P = f"({r.PREFERENCE_ROWS})"
 #: The labelled rows that have a vector.
 SELECTED = "(select doc_id as file_id, quality as label from labels join embeddings on doc_id = vec_id)"
@@ -228,7 +253,7 @@ _TIER = "case when ai_confidence >= 0.8 then 'high' when ai_confidence >= 0.3 th
 _WRONG = "coalesce(user_label != ai_prediction, false)"
 
 QUERIES = {f.__name__: f for f in (
-    difference_hashes, sim_pairs, sim_groups, threshold_sweep, sim_groups_filtered, dup_summary, unit_vectors, dup_group_table, near_text_groups, unit_vector_parts, scored_predictions,
+    difference_hashes, sim_pairs, sim_groups, threshold_sweep, sim_groups_filtered, dup_summary, unit_vectors, dup_group_table, near_text_groups, near_text_uncovered, near_text_summary, default_levels, unit_vector_parts, scored_predictions,
     class_weights, resampled_classes, review_corrected, label_stats, training_set, stratified_split, review_page, uncertain_first,
     review_join, effective_label_stats, ai_delete_plan, ai_delete_freed, ai_delete_rest, label_upsert, prediction_upsert, model_metrics, train_score,
     model_registry, model_rollback,
@@ -245,13 +270,11 @@ ORACLE_SQL = {
     "dup_group_table": f"""{_closure(16)}, m as ({MEMBERS}) select group_id, count(*) as file_count, max(case when is_recommended then file_id end) as recommended_keep_id,
         'exact' as group_type, 1.0::double as similarity from m group by 1 union all
         select -1 - group_id, count(*), arg_min(file_id, {{'a': -(file_id * 37 % 11), 'b': file_id % 3 != 0, 'c': length('/v/' || file_id), 'd': file_id}}), 'similar', null from grp group by 1""",
-    "near_text_groups": f"""with recursive {_SIMHASH},
-        reps as materialized (select min(doc_id) as id, code from codes group by code),
-        e as materialized (select a.id as src, b.id as dst from reps a join reps b on a.id < b.id and hamming(a.code, b.code) <= 4),
-        sym as (select src as a, dst as b from e union all select dst, src from e union all select id, id from reps),
-        walk(a, b) as (select a, b from sym union select w.a, s.b from walk w join sym s on w.b = s.a),
-        comp as (select a as id, min(b) as group_id from walk group by a)
-        select group_id, doc_id as file_id from codes join reps using (code) join comp using (id) qualify count(*) over (partition by group_id) >= 2""",
+    "near_text_groups": f"{_TEXT_GROUPS} select group_id, file_id from grp",
+    "near_text_uncovered": f"{_TEXT_GROUPS}, m as ({MEMBERS}) select group_id, file_id from grp qualify not bool_and(file_id in (select file_id from m)) over (partition by group_id)",
+    "near_text_summary": f"""{_TEXT_GROUPS}, m as ({MEMBERS}), u as (select * from grp qualify not bool_and(file_id in (select file_id from m)) over (partition by group_id))
+        select count(distinct group_id) as groups, count(*) as files, 'exact' as kind from m union all select count(distinct group_id), count(*), 'similar' from u""",
+    "default_levels": " union all ".join(f"(select * from ({_closure(t)} select '{n}' as level, {t} as threshold, count(distinct group_id) as groups, count(*) as files from grp))" for n, t in similar.LEVELS.items()),
     "unit_vector_parts": """select vec_id, cast(i as int) as i, round(x / sqrt(list_sum(list_transform(embedding, lambda v: v::double * v::double))), 4) + 0.0 as x
         from (select vec_id, embedding, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as i from embeddings)""",
     "scored_predictions": """select file_id, case when p > 0.5 then 'keep' else 'delete' end as ai_prediction, round(abs(p - 0.5::double) * 2, 6) as ai_confidence

@@ -21,7 +21,7 @@ def best_time(s, d):
 
 
 def time_anomalies(s, d):
-    return _resolved(s, d).select("file_id", times.anomalies(r.now()).alias("time_anomaly")).filter("time_anomaly is not null")
+    return times.flagged(_resolved(s, d), r.now()).select("file_id", "time_anomaly")
 
 
 def exif_stats(s, d):
