@@ -32,6 +32,8 @@ from shelfmark.scratch import staged
 
 #: Words of a list that one task scans, and words that a task gathers before it passes their counts on.
 LIST, GATHERED = 50_000, 500_000
+#: Words of lists that one partition scans, on average; scanning is slow for what it reads.
+SCANNED = 50_000
 #: One in so many runs of a document loses a code point.
 DAMAGED = 199
 #: Latin-1: letters with A-Z in lower case, all else a blank.
@@ -186,7 +188,7 @@ def near_words(words: DataFrame, shortest: int, most: int = LIST) -> DataFrame:
     """``word, n_near, best`` (a struct of the negated count and the word) of words that have near ones."""
     key = F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _LIST_KEY)).alias("key")
     rows = listed(words, shortest, most).select(key, "m", "differ", "word", "n")
-    found = rows.repartition("key").sortWithinPartitions("key", "word").mapInArrow(_scanned, "word string, n_near long, best_n long, best string")
+    found = rows.repartition(max(1, -(-rows.count() // SCANNED)), "key").sortWithinPartitions("key", "word").mapInArrow(_scanned, "word string, n_near long, best_n long, best string")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("form"))).alias("best"))
 
 
