@@ -146,7 +146,8 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_set
     """The documents with no window of the benchmark, all columns kept."""
     hit = contamination_hits(docs, benchmark, n, max_set).filter("size(hits) > 0").select(F.col("doc_id").alias("_hit"), F.col("key").alias("_key")).distinct()
     hit = staged(hit, "hit-ids")  # its size is known then: Spark broadcasts it if it is small, else it shuffles both
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")) & (text_key(F.col("text")) == F.col("_key")), "left_anti")
+    own = F.col("own_rows.doc_id").eqNullSafe(F.col("hit_rows._hit")) & (text_key(F.col("own_rows.text")) == F.col("hit_rows._key"))
+    return docs.alias("own_rows").join(hit.alias("hit_rows"), own, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -154,7 +155,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFram
     hits = contamination_hits(docs, benchmark, n).filter("size(hits) > 0").dropDuplicates(["doc_id", "key"])
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
     marks = hits.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), covered.alias("_gone"))
-    words = _words(F.col("text"))
-    left = _let(words, lambda w: F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), F.col("_gone")), lambda i: F.get(w, i)))  # by hashing, not a search for each word
-    out = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")), "left")
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, " "))).select(docs.columns)
+    text, gone = F.col("own_rows.text"), F.col("marks._gone")
+    left = _let(_words(text), lambda w: F.transform(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), gone), lambda i: F.get(w, i)))  # by hashing, not a search for each word
+    own = F.col("own_rows.doc_id").eqNullSafe(F.col("marks._id")) & (text_key(text) == F.col("marks._key"))
+    new = F.when(gone.isNull(), text).otherwise(F.array_join(left, " ")).alias("text")
+    return docs.alias("own_rows").join(marks.alias("marks"), own, "left").select(*(new if c == "text" else F.col(f"own_rows.`{c}`") for c in docs.columns))

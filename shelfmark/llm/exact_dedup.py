@@ -93,11 +93,12 @@ def exact_dedup(
     that the number of state commits does not grow with the input.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
+    n_points = F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points")
+    texts = docs.select("doc_id", normalised(F.col("text")).alias("norm"), n_points)
     prints = docs.select(
         "doc_id",
         digest(normalised(F.col("text"))).alias("digest"),
-        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_points"),
+        n_points,
         F.input_file_name().alias("file"),
         sha256_hex(normalised(F.col("text"))).alias("sha") if digest is not sha256_hex else F.lit(None).cast("string").alias("sha"),
     )
@@ -135,7 +136,7 @@ def _regrouped(rows: DataFrame, differs: DataFrame) -> DataFrame:
     """Splits the groups in which different texts share a digest: those unlike the keeper are grouped by their text."""
     own = differs.groupBy("digest", "norm").agg(
         F.count("*").alias("own_size"),
-        F.max(F.struct(F.length("norm").alias("n"), F.bitwise_not(F.col("doc_id")).alias("order"), "doc_id")).alias("best"),
+        F.max(F.struct("n_points", F.bitwise_not(F.col("doc_id")).alias("order"), "doc_id")).alias("best"),
     )
     moved = differs.join(own, ["digest", "norm"]).select("doc_id", "digest", "own_size", F.col("best.doc_id").alias("own_keep")).distinct()
     lost = differs.groupBy("digest").agg(F.count("*").alias("lost"))

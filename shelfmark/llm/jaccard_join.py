@@ -290,4 +290,5 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_key") == F.col("text_key"))
     gone = classified(docs, words, num, den).filter(~same).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
     gone = staged(gone, "gone")  # its size is known then: Spark broadcasts it if it is small
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (text_key(F.col("text")) == F.col("_key")), "left_anti")
+    own = F.col("own_rows.doc_id").cast("long").eqNullSafe(F.col("gone_rows._gone")) & (text_key(F.col("own_rows.text")) == F.col("gone_rows._key"))
+    return docs.alias("own_rows").join(gone.alias("gone_rows"), own, "left_anti")

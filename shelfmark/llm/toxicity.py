@@ -4,8 +4,9 @@ A word enters as its hashed word vector and the mean vector of its hashed charac
 of ``WINDOW`` words that overlap by a quarter, covering the whole text; a text's score is the calibrated score of its
 most toxic window. It is fitted on all windows of at most ``per_class`` labelled rows of each class (those with the
 smallest identifier hash); that is the bound of the training sample. In fitting, each text is represented by its highest
-windows, as only some windows of a toxic text are toxic. Scores are calibrated on a fifth of them, kept
-apart from fitting.
+windows, as only some windows of a toxic text are toxic. For the calibration the sample is divided into ``FOLDS`` parts,
+each scored by a network fitted on the others in a third of the steps; the logit that parts the classes best (by F1, with
+the classes as frequent as among all labels) becomes a score of ``CUT``. The network itself is then fitted on all.
 
 Defined results: null and empty texts are scored as one empty window; without labels of both classes every score is 0;
 repeated rows get equal scores; labels without a document or with null are ignored; an empty table gives no rows;
@@ -14,15 +15,17 @@ further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 32, 24
 BUCKETS, EMBED, HIDDEN = 4096, 16, 16
+#: Parts of the sample scored by networks fitted without them, and the score of the logit that parts the classes best.
+FOLDS, CUT = 3, 0.7
 _BLANKS = {i: " " for i in range(128) if not chr(i).isalpha()}
 
 
@@ -182,17 +185,18 @@ def text_logits(net: Network, texts: list[list[str]]) -> np.ndarray:
     return out
 
 
-def train(words: list[str], index: np.ndarray, owner: np.ndarray, toxic: np.ndarray, seed: int = 3) -> Network:
-    """Fits on all windows (rows of ``index``, of the texts ``owner`` with labels ``toxic``); one text in five only calibrates."""
-    apart = np.arange(len(toxic)) % 5 == 4
-    if len(set(toxic[apart])) < 2 or len(set(toxic[~apart])) < 2:
-        use = tuned = np.ones(len(owner), bool)
-    else:
-        use, tuned = ~apart[owner], apart[owner]
-    net = _fitted(words, index[use], owner[use], toxic, seed=seed)
-    top = np.full(len(toxic), -np.inf)
-    np.maximum.at(top, owner[tuned], net.logits(Vocabulary(words).inputs(net), index[tuned]))
-    _calibrate(net, top[np.isfinite(top)], toxic[np.isfinite(top)])
+def train(words: list[str], index: np.ndarray, owner: np.ndarray, toxic: np.ndarray, counts: tuple[int, int] | None = None, seed: int = 3) -> Network:
+    """Fits on all windows (rows of ``index``, of the texts ``owner`` with labels ``toxic``); ``counts``: all clean and toxic labels."""
+    net = _fitted(words, index, owner, toxic, seed=seed)
+    top, fold, vocabulary = np.full(len(toxic), -np.inf), np.zeros(len(toxic), int), Vocabulary(words)
+    for label in (0, 1):
+        fold[toxic == label] = np.arange((toxic == label).sum()) % FOLDS
+    for f in range(FOLDS):
+        held = (fold == f)[owner]
+        without = net if len(set(toxic[fold != f])) < 2 else _fitted(words, index[~held], owner[~held], toxic, steps=200, seed=seed + 1 + f)
+        np.maximum.at(top, owner[held], without.logits(vocabulary.inputs(without), index[held]))
+    sampled = np.bincount(toxic, minlength=2)
+    _calibrate(net, top, toxic, np.array(counts or sampled)[toxic] / sampled[toxic])
     return net
 
 
@@ -239,15 +243,26 @@ def _fitted(words: list[str], index: np.ndarray, owner: np.ndarray, toxic: np.nd
     return net
 
 
-def _calibrate(net: Network, top: np.ndarray, toxic: np.ndarray) -> None:
-    """Scale and shift of the highest window's logit, by damped Newton steps of a logistic fit."""
+def _best_cut(top: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
+    """The logit with the best weighted F1, amid the range of those as good."""
+    order = np.argsort(-top, kind="stable")
+    hit, false = np.cumsum((weight * toxic)[order]), np.cumsum((weight * (1 - toxic))[order])
+    last = np.append(np.diff(top[order]) != 0, True)  # a cut lies between different logits
+    f1 = np.where(last, 2 * hit / (hit + false + (weight * toxic).sum()), -1)
+    at = int(np.argmax(f1))
+    return float(top[order[at]] + top[order[min(at + 1, len(top) - 1)]]) / 2
+
+
+def _calibrate(net: Network, top: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> None:
+    """Scale of the highest window's logit, by damped Newton steps of a logistic fit; the shift puts the best cut at ``CUT``."""
     x = np.stack([top, np.ones_like(top)], 1)
     beta = np.array([0.5, 0.0])
     for _ in range(50):
         p = _sigmoid(np.clip(x @ beta, -30, 30))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-3)[:, None]).T @ x + np.diag([1.0, 0.05]), x.T @ (toxic - p) - np.array([1.0, 0.05]) * beta)
         beta += step / max(1.0, np.abs(step).max())
-    net.scale, net.shift = np.float32(max(beta[0], 0.05)), np.float32(beta[1])
+    net.scale = np.float32(max(beta[0], 0.05))
+    net.shift = np.float32(np.log(CUT / (1 - CUT)) - net.scale * _best_cut(top, toxic, weight))
 
 
 def sample(labels: DataFrame, per_class: int) -> DataFrame:
@@ -257,11 +272,16 @@ def sample(labels: DataFrame, per_class: int) -> DataFrame:
     return one(0).unionByName(one(1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Network | None:
-    """Fits on the documents of a sample of ``labels(doc_id, toxic)``, toxic being 0 or 1."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_bytes: int = 48_000_000) -> Network | None:
+    """Fits on the documents of a sample of ``labels(doc_id, toxic)``, toxic being 0 or 1.
+
+    At most ``per_class`` labels of each class, and of their texts as many as ``most_bytes`` hold, in the order of hashes.
+    """
     chosen = F.broadcast(sample(labels, per_class))  # at most 2 * per_class rows
     rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id"))
-    got = rows.select("toxic", "doc_id", "text").collect()
+    rows = rows.withColumn("bytes", F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(Window.orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, 0)))
+    got = rows.filter(F.col("bytes") <= most_bytes).select("toxic", "doc_id", "text").collect()
+    counts = dict(labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("toxic").cast("int")).count().collect())
     got = sorted((r[0], r[1], r[2] if r[2] is not None else "") for r in got)
     toxic = np.array([r[0] for r in got])
     if len(set(toxic)) < 2:
@@ -269,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Network |
     seen: dict[str, int] = {}
     parts = [np.array([seen.setdefault(w, len(seen)) for w in words_of(r[2])], np.int32) for r in got]
     index, owner = _windows(np.concatenate(parts), np.array([len(p) for p in parts]))
-    return train(list(seen), index, owner, toxic)
+    return train(list(seen), index, owner, toxic, (counts[0], counts[1]))
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -277,9 +297,16 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
     return score_rows(docs.select("doc_id", "text"), net).select("doc_id", F.col("toxicity").alias("score"))
 
 
-def score_rows(docs: DataFrame, net: Network | None) -> DataFrame:
-    """``docs`` with the score of each row's ``text`` as ``toxicity``."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # about 0.6 MB, fixed by BUCKETS, EMBED and HIDDEN
+def score_rows(docs: DataFrame, net: Network | None, name: str = "toxicity") -> DataFrame:
+    """``docs`` with the score of each row's ``text`` in a column of this name, which they must not have yet."""
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {name} already")
+    return docs.withColumn(name, scorer(docs.sparkSession, net)("text"))
+
+
+def scorer(spark: SparkSession, net: Network | None) -> Callable[[str], Column]:
+    """A function of a column of texts that gives their scores."""
+    shared = spark.sparkContext.broadcast(net)  # about 0.6 MB, fixed by BUCKETS, EMBED and HIDDEN
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -296,4 +323,4 @@ def score_rows(docs: DataFrame, net: Network | None) -> DataFrame:
                 i = j
             yield pd.Series(out)
 
-    return docs.withColumn("toxicity", run("text"))
+    return run

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import heapq
 import math
+import os
 import random
 import re
 import zlib
@@ -65,6 +66,13 @@ def test_exact_dedup(docs, rows, weak):
     assert sorted(tuple(r)[:5] for r in got) == want
 
 
+def test_exact_dedup_keeps_the_longest_of_a_colliding_text(spark):
+    """Texts of one digest that are unlike the keeper are grouped by themselves, by the code points of the originals."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "a   b"), (3, "zzzzzzzzzzzz"), (4, "ab")], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, lambda c: F.lit("same")).collect()}
+    assert got == {1: (2, 3, False), 2: (2, 3, True), 3: (3, 1, True), 4: (2, 3, False)}
+
+
 def test_exact_dedup_continues_from_its_state(spark, tmp_path):
     schema = "doc_id long, digest string, n_points long, file string, sha string"
     path, state = str(tmp_path / "prints"), str(tmp_path / "state")
@@ -594,6 +602,36 @@ def test_toxicity_learns_and_finds_the_window(spark):
     assert {x.score for x in toxicity.score(df, toxicity.fit(df, labels.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_cut():
+    """The best cut lies amid the gap between the classes, gets ``CUT``, and rare classes weigh as they are frequent."""
+    top, toxic = np.array([-3.0, -1.0, 1.0, 2.0, 4.0]), np.array([0, 0, 0, 1, 1])
+    assert toxicity._best_cut(top, toxic, np.ones(5)) == 1.5
+    assert toxicity._best_cut(np.array([0.0, 2.0, 3.0, 4.0]), np.array([1, 0, 1, 1]), np.array([1.0, 9.0, 1.0, 1.0])) == 2.5
+    net = toxicity.Network()
+    toxicity._calibrate(net, top, toxic, np.ones(5))
+    assert net.score(np.array([1.5]))[0] == pytest.approx(toxicity.CUT, abs=1e-5) and net.score(np.array([2.0]))[0] > toxicity.CUT > net.score(np.array([1.0]))[0]
+
+
+def test_toxicity_columns_and_bytes(spark):
+    docs = spark.createDataFrame([(None, "a b", 1.0), (1, "vile", 2.0), (1, "vile", 3.0), (2, None, 4.0)], "doc_id long, text string, toxicity double")
+    with pytest.raises(ValueError):
+        toxicity.score_rows(docs, None)
+    assert [r.score for r in toxicity.score(docs, None).collect()] == [0.0] * 4
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels, most_bytes=3) is None  # the toxic texts do not fit
+    assert len(toxicity.score(docs, toxicity.fit(docs, labels)).collect()) == 4
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the given tables are not here")
+def test_toxicity_on_the_given_labels(spark):
+    """Held-out recall of the few toxic documents of a small table."""
+    from shelfmark.llm import queries
+
+    got = queries.op4_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out")
+    hit = got.agg(F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("recall"), F.avg(F.when(F.col("predicted") == 1, F.col("toxic"))).alias("precision")).first()
+    assert hit.recall > 0.6 and hit.precision > 0.4
+
+
 def test_toxicity_does_not_depend_on_neighbours():
     """A text's score is the same whatever other texts are scored with it."""
     r = random.Random(3)
