@@ -22,16 +22,16 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below ``TOXIC``; a null doc_id or text does not matter for the score of a row."""
     net = toxicity_network(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_rows(docs, net).filter(F.col("toxicity") < TOXIC).select(docs.columns)
+    return docs.filter(toxicity.scorer(spark, net)("text") < TOXIC)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that with the most code points, then the smallest doc_id."""
-    gone = exact_dedup.exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    gone = exact_dedup.exact_dedup(docs).filter("not kept").select("doc_id", F.col("text_sha256").alias("sha")).distinct()
     gone = staged(gone, "copies").hint("merge")  # it grows with the documents, so it is never broadcast
-    sha = exact_dedup.sha256_hex(exact_dedup.normalised(F.col("text")))  # an identifier alone may stand for several texts
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (sha == F.col("_sha")), "left_anti")
-    return kept.select(docs.columns)
+    sha = exact_dedup.sha256_hex(exact_dedup.normalised(F.col("own_rows.text")))  # an identifier alone may stand for several texts
+    same = F.col("own_rows.doc_id").eqNullSafe(F.col("copies.doc_id")) & (sha == F.col("copies.sha"))
+    return docs.alias("own_rows").join(gone.alias("copies"), same, "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
