@@ -3,9 +3,11 @@
 A text is read in two ways: line by line, and by paragraphs, in which lines are joined (lines without a letter or digit,
 comment marks included, and colons at line ends part paragraphs). Both are cut after ``.``, ``!`` or ``?`` before white space. A sentence is
 normalised by lower-casing A-Z and turning every run of other characters than a-z and 0-9 into one space, so that comment
-marks and line ends within it do not matter. A known sentence that is itself cut so is known by its longest part. A rule is
-a list of sentence identifiers; it matches where they follow each other among the recognised sentences of either reading
-(sentences that are not known may lie between). A rule whose list is part of a longer rule that also matches is dropped.
+marks and line ends within it do not matter. Two things are evened out before: ``v. 2`` is read as ``v 2``, so that a
+version is never cut off its sentence, and whoever is named in "Neither the name of ... nor the names of its contributors"
+counts as the copyright holder. A known sentence that is itself cut is known by its longest part. A rule is a list of sentence identifiers; it matches where they follow each other among the recognised sentences of either reading
+(sentences that are not known may lie between). A rule whose list is part of a longer rule that also matches is dropped,
+and so are the rules of ``WEAK`` names, which are no licences, where a licence is found.
 
 Defined results: null and empty texts, and texts without known sentences, give an empty list; each repeated row gives a
 row; an empty table gives no rows; further columns are ignored.
@@ -76,6 +78,19 @@ SENTENCES = {
     54: "SPDX-License-Identifier: BSL-1.0",
     55: "SPDX-License-Identifier: Unlicense",
     56: "SPDX-License-Identifier: CC0-1.0",
+    57: "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\");",
+    58: "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.",
+    59: "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    60: "Licensed under the MIT License.",
+    61: "This project is licensed under the MIT License.",
+    62: "Released under the Apache License, Version 2.0.",
+    63: "Licensed under the BSD 2-Clause License.",
+    64: "Licensed under the BSD 3-Clause License.",
+    65: "Licensed under the ISC License.",
+    66: "Licensed under the GNU General Public License, version 3.",
+    67: "Licensed under the GNU General Public License, version 2.",
+    68: "Licensed under the Mozilla Public License, v. 2.0.",
+    69: "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.",
 }
 RULES = [
     ("Apache-2.0", [1]),
@@ -130,11 +145,29 @@ RULES = [
     ("BSL-1.0", [54]),
     ("Unlicense", [55]),
     ("CC0-1.0", [56]),
+    ("MPL-1.1", [57]),
+    ("MPL-1.1", [58]),
+    ("Apache-2.0", [59]),
+    ("MIT", [60]),
+    ("MIT", [61]),
+    ("Apache-2.0", [62]),
+    ("BSD-2-Clause", [63]),
+    ("BSD-3-Clause", [64]),
+    ("ISC", [65]),
+    ("GPL-3.0", [66]),
+    ("GPL-2.0", [67]),
+    ("MPL-2.0", [68]),
+    ("MPL-1.1", [69]),
 ]
+#: Names that say no more than that rights are kept, as notices of licences do as well.
+WEAK = ["Proprietary"]
+_VERSION = ("([ \t\r\n(,])[vV][.][ \t\r]+([0-9])", r"{0}1v {0}2")
+_HOLDER = ("^neither the name of .+ nor the names of its contributors", "neither the name of the copyright holder nor the names of its contributors")
 
 
 def sentences(text: Column) -> Column:
-    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[ \t\r]+", "$1\n"), "\n")
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), _VERSION[0], _VERSION[1].format("$"))
+    return F.split(F.regexp_replace(text, r"([.!?])[ \t\r]+", "$1\n"), "\n")
 
 
 def joined(text: Column) -> Column:
@@ -145,7 +178,7 @@ def joined(text: Column) -> Column:
 
 def _normalised(sentence: Column) -> Column:
     lower = F.translate(sentence, string.ascii_uppercase, string.ascii_lowercase)
-    return F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " "))
+    return F.regexp_replace(F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " ")), *_HOLDER)
 
 
 def _known(table: dict[int, str]) -> dict[str, int]:
@@ -153,7 +186,7 @@ def _known(table: dict[int, str]) -> dict[str, int]:
 
     out: dict[str, int] = {}
     for number, sentence in table.items():
-        parts = re.sub(r"([.!?])[ \t\r]+", "\\1\n", sentence).split("\n")
+        parts = re.sub(r"([.!?])[ \t\r]+", "\\1\n", re.sub(_VERSION[0], _VERSION[1].format("\\"), sentence)).split("\n")
         normal = [re.sub("[^a-z0-9]+", " ", p.lower()).strip() for p in parts]
         out.setdefault(max(normal, key=len), number)
     return out
@@ -185,7 +218,9 @@ def scan_licenses(docs: DataFrame, table: dict[int, str] | None = None, rules: l
             if len(other) > len(own) and _as_list(own) in _as_list(other):
                 hit = hit & ~met(other)
         found.append(F.when(hit, F.lit(name)))
-    licenses = F.sort_array(F.array_distinct(F.array_compact(F.array(*found))))
+    found = F.array_compact(F.array(*found))
+    strong = F.array_except(found, F.array(*map(F.lit, WEAK)))
+    licenses = F.sort_array(F.array_distinct(F.when(F.size(strong) > 0, strong).otherwise(found)))
     every = F.concat("whole", F.filter("lines", lambda i: ~F.array_contains("whole", i)))
     none = F.array().cast("array<string>")
     some = F.size("whole") + F.size("lines") > 0

@@ -13,7 +13,7 @@ from shelfmark.llm.divergence import SCALE, TERMS, audit
 from shelfmark.llm.exact_dedup import exact_dedup
 from shelfmark.llm.jaccard_join import near_duplicates
 from shelfmark.llm.language_model import score as score_texts
-from shelfmark.llm.license_scan import RULES, SENTENCES, _as_list, _known, scan_licenses
+from shelfmark.llm.license_scan import _HOLDER, _VERSION, RULES, SENTENCES, WEAK, _as_list, _known, scan_licenses
 from shelfmark.llm.sharding import shard_documents
 from shelfmark.llm.source_mixing import mix
 from shelfmark.llm.spelling import variants
@@ -120,8 +120,8 @@ _RULE_SQL = ", ".join(
 _KNOWN_SQL = "map {" + ", ".join(f"'{k}': {v}" for k, v in _known(SENTENCES).items()) + "}"
 _AZ = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SENTENCES = (
-    r"list_transform(string_split(regexp_replace(%s, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace("
-    + _AZ % "x" + ", '[^a-z0-9]+', ' ', 'g')))"
+    rf"list_transform(string_split(regexp_replace(regexp_replace(%s, '{_VERSION[0]}', '{_VERSION[1].format(chr(92))}', 'g'), '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)), "
+    + "lambda x: regexp_replace(trim(regexp_replace(" + _AZ % "x" + f", '[^a-z0-9]+', ' ', 'g')), '{_HOLDER[0]}', '{_HOLDER[1]}'))"
 )
 _IDS = f"list_filter(list_transform(%s, lambda x: ({_KNOWN_SQL})[x]), lambda x: x is not null)"
 _W2 = "regexp_extract_all(" + _AZ % "coalesce(text, '')" + r", '[^\x20\x09-\x0D]+')"
@@ -158,9 +158,10 @@ ORACLE_SQL = {
         s as (select doc_id, {_SENTENCES % "whole"} as w, {_SENTENCES % "text"} as l from p),
         i as (select doc_id, {_IDS % "w"} as w, {_IDS % "l"} as l from s),
         j as (select doc_id, list_concat(w, list_filter(l, lambda x: not list_contains(w, x))) as ids,
-                     ',' || coalesce(array_to_string(w, ','), '') || ',' as j, ',' || coalesce(array_to_string(l, ','), '') || ',' as k from i)
+                     ',' || coalesce(array_to_string(w, ','), '') || ',' as j, ',' || coalesce(array_to_string(l, ','), '') || ',' as k from i),
+        r as (select *, list_filter([{_RULE_SQL}], lambda x: x is not null) as a, list_filter([{_RULE_SQL}], lambda x: x not in {tuple(WEAK + [""])}) as b from j)
         select doc_id, cast(len(ids) as bigint) as n_sentences, coalesce(array_to_string(ids, ','), '') as sentence_ids,
-               coalesce(array_to_string(list_sort(list_distinct(list_filter([{_RULE_SQL}], lambda x: x is not null))), ','), '') as licenses from j""",
+               coalesce(array_to_string(list_sort(list_distinct(case when len(b) > 0 then b else a end)), ','), '') as licenses from r""",
     "op8_decontamination": rf"""
         with d as (select doc_id, {_W8} as w from documents),
         b as (select item_id, {_W8} as w from benchmark),

@@ -196,7 +196,7 @@ def test_license_scan(spark):
     ]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, licenses string")
     got = {r.doc_id: (list(r.sentence_ids), list(r.licenses)) for r in license_scan.scan_licenses(df).collect()}
-    assert got == {0: ([1], ["Apache-2.0"]), 1: ([2, 3, 4], ["Apache-2.0"]), 2: ([4], []), 3: ([], []), 4: ([], []), 5: ([17, 5], ["MIT", "Proprietary"]), 6: ([], [])}
+    assert got == {0: ([1], ["Apache-2.0"]), 1: ([59, 2, 3, 4], ["Apache-2.0"]), 2: ([4], []), 3: ([], []), 4: ([], []), 5: ([17, 5], ["MIT"]), 6: ([], [])}
 
 
 def test_license_sentences_over_line_ends(spark):
@@ -214,6 +214,24 @@ def test_license_sentences_over_line_ends(spark):
     assert sorted(got) == sorted([*want.items(), (1, ["MIT"])])
 
 
+def test_license_labels(spark):
+    """Named organisations, versions, kept rights above a licence, headers on one line, short notices."""
+    bsd = "\n".join(license_scan.SENTENCES[k] for k in (18, 36, 37))
+    third = license_scan.SENTENCES[19].replace("the copyright holder", "%s")
+    apache = license_scan.SENTENCES[2] + " " + license_scan.SENTENCES[3]
+    texts = {
+        1: f"{bsd}\n{third % 'Example Ltd., Inc'}", 2: f"{bsd}\n{third % 'the University of Somewhere'}", 3: bsd, 4: f"Copyright 2020 Somebody. All rights reserved.\n\n{bsd}",
+        5: license_scan.SENTENCES[20].replace("2.0", "1.1"), 6: license_scan.SENTENCES[20] + " If a copy", 7: apache + " You may obtain a copy of the License at", 8: "Licensed under the MIT license.",
+        9: "All rights reserved.", 10: "This is v. 2.0. All fine.", 11: license_scan.SENTENCES[20].replace("v. 2.0", "v.\n// 2.0"), 12: "see (v. 3) in V. 4",
+    }
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: ",".join(r.licenses) for r in license_scan.scan_licenses(df).collect()}
+    assert got == {
+        1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: "BSD-2-Clause", 4: "BSD-2-Clause", 5: "MPL-1.1", 6: "MPL-2.0", 7: "Apache-2.0", 8: "MIT",
+        9: "Proprietary", 10: "", 11: "", 12: "",
+    }
+
+
 def test_license_sentence_with_much_padding(spark):
     df = spark.createDataFrame([(1, "All rights" + " *" * 2000 + " reserved.")], "doc_id long, text string")
     assert [list(r.licenses) for r in license_scan.scan_licenses(df).collect()] == [["Proprietary"]]

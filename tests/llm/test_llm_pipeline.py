@@ -4,9 +4,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import queries
+from shelfmark.llm import decontaminate, queries
 
 WORDS = "the of and to in river stone cloud garden window paper silver answer every little machine thunder quiet yellow harbour".split()
 
@@ -33,6 +34,12 @@ def folder(spark, tmp_path_factory):
     return out, passage
 
 
+@pytest.fixture(scope="module")
+def network(spark, folder):
+    """Fitted once for the tests that look at other things."""
+    return queries.toxicity_network(*(spark.read.parquet(f"{folder[0]}/{t}.parquet") for t in ("documents", "labels")))
+
+
 def test_stages_keep_the_columns(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[1:-1]:
@@ -40,6 +47,28 @@ def test_stages_keep_the_columns(spark, folder):
         assert stage(spark, docs.limit(0), folder[0]).count() == 0
 
 
+def test_stages_with_clashing_columns(spark, folder, network, monkeypatch):
+    """Columns named as those the stages work with stay as they are, and change nothing."""
+    monkeypatch.setattr(corpus_pipeline, "toxicity_network", lambda docs, labels: network)
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    names = ["_gone", "_hit", "_key", "_sha", "sha", "toxicity", "copies", "own_rows", "key", "kept", "first", "_id", "score"]
+    more = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, more, folder[0])
+        assert got.columns == more.columns
+        assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in stage(spark, docs, folder[0]).collect())
+    spans = decontaminate.remove_spans(more, spark.read.parquet(f"{folder[0]}/benchmark.parquet"))
+    assert spans.columns == more.columns and spans.count() == more.count()
+    pieces = corpus_pipeline.pack(spark, more, folder[0])
+    assert pieces.count() == corpus_pipeline.pack(spark, docs, folder[0]).count()
+
+
+def test_run_on_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run(spark, folder):
     path, passage = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
