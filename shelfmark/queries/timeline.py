@@ -79,7 +79,7 @@ def gpx_apply(s, d):
 
 
 def gpx_clear(s, d):
-    """What the catalog shows for files whose positions were applied and then cleared."""
+    """What the catalog shows for files with a position that is then cleared."""
     files = r.event_files(s, d).selectExpr("file_id", "1.5D gps_lat", "2.5D gps_lng", "true has_gps")
     out = actions.clear_positions(files)
     return out.select("file_id", "has_gps", formats.coordinate_text(F.col("gps_lat"), F.col("gps_lng")).alias("position"))
