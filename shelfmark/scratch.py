@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +15,29 @@ from pyspark.sql import DataFrame, SparkSession
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_HERE = threading.local()
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes, in the end, all scratch tables that this thread makes inside.
+
+    What is to outlast it must be written to a path that was made before, as results are read lazily::
+
+        path = scratch_path(spark, "result")
+        with released(spark):
+            job(spark).write.parquet(path)
+    """
+    outer, _HERE.paths = getattr(_HERE, "paths", None), []
+    try:
+        yield
+    finally:
+        made, _HERE.paths = _HERE.paths, outer
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``; a temporary folder where that is unset, in local mode only.
 
@@ -23,7 +49,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    if (made := getattr(_HERE, "paths", None)) is not None:
+        made.append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str, *by: str) -> DataFrame:

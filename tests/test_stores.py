@@ -1,5 +1,6 @@
 """Stored tables and models, streams that are taken up again, and training by summed gradients."""
 
+import os
 import random
 import re
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark import scratch
 from shelfmark.operators import network, prefs
 from shelfmark.queries.learning import training_rows
 from shelfmark.sources import catalog, labels, models
@@ -151,6 +153,22 @@ def test_network_is_no_worse_than_logistic_regression(spark):
     assert loss(network.score_network(net, held, 1)) <= loss(prefs.batch_score(linear, held, 1))
 
 
+def test_scratch_tables_are_released(spark):
+    """Tables made inside are gone, also after an error and in scopes inside; those made before stay."""
+    kept = scratch.scratch_path(spark, "kept")
+    with pytest.raises(ZeroDivisionError), scratch.released(spark):
+        first = scratch.staged(spark.range(5), "first")
+        with scratch.released(spark):
+            inner = scratch.staged(spark.range(6), "inner")
+        assert first.count() == 5 and not os.path.exists(inner.inputFiles()[0].removeprefix("file://"))
+        first.write.parquet(kept)
+        file = first.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(file)
+        1 / 0
+    assert not os.path.exists(file) and spark.read.parquet(kept).count() == 5
+    assert scratch.staged(spark.range(3), "outside").count() == 3
+
+
 def test_track_files_round_trip(spark, tmp_path):
     points = spark.sql("select * from values ('2024-01-01 00:00:00.123456', 1.25d, -7.5d), ('2024-06-01 12:00:00', 1e-7d, 179.999999d), ('2024-06-01 12:00:01', null, 2d) as t(ts, lat, lng)")
     points = points.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
