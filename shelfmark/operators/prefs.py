@@ -8,6 +8,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.scratch import staged
+
 
 def confidence(p: Column) -> Column:
     return F.abs(p - 0.5) * 2
@@ -84,13 +86,13 @@ def train(rows: DataFrame, kind: str = "logistic", hidden: int = 256, gamma: flo
     if kind == "network":
         width = len(data.first()["vector"])
         return Pipeline(stages=[MultilayerPerceptronClassifier(featuresCol="vector", labelCol="label", layers=[width, hidden, 2], maxIter=50, seed=seed)]).fit(data)
-    model = None
+    data, model = staged(data.select("label", F.col("weight").alias("base"), "weight", "vector"), "training"), None
     for _ in range(rounds + 1):
         if model is not None:
             p = vector_to_array("probability")[1]
             p = F.when(F.col("label") == 1, p).otherwise(1 - p)
-            scored = model.transform(data.drop("weight").join(weighted(rows).select("file_id", "weight"), "file_id"))
-            data = scored.withColumn("weight", F.col("weight") * F.pow(1 - p, F.lit(gamma)) + 1e-6).select(data.columns)
+            scored = model.transform(data).withColumn("weight", F.col("base") * F.pow(1 - p, F.lit(gamma)) + 1e-6)
+            data = staged(scored.select(data.columns), "training")  # what the next fit reads over and over
         model = Pipeline(stages=[LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=50, regParam=0.01)]).fit(data)
     return model
 
