@@ -15,6 +15,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfmark.scratch import staged
+
 WINDOW, STRIDE = 32, 24
 BUCKETS, EMBED, HIDDEN = 4096, 16, 16
 #: Parts of the sample scored by networks fitted without them, and the score of the logit that parts the classes best.
@@ -185,19 +188,24 @@ def text_logits(net: Network, texts: list[list[str]]) -> np.ndarray:
     return out
 
 
-def train(words: list[str], index: np.ndarray, owner: np.ndarray, toxic: np.ndarray, counts: tuple[int, int] | None = None, seed: int = 3) -> Network:
-    """Fits on all windows (rows of ``index``, of the texts ``owner`` with labels ``toxic``); ``counts``: all clean and toxic labels."""
-    net = _fitted(words, index, owner, toxic, seed=seed)
-    top, fold, vocabulary = np.full(len(toxic), -np.inf), np.zeros(len(toxic), int), Vocabulary(words)
+def _part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One fit on the sample: without fold ``key``, with the highest logit of each text in it, or on all for ``FOLDS``."""
+    got = sorted(zip(rows["toxic"].tolist(), rows["id"].tolist(), rows["text"].tolist(), strict=True))
+    toxic = np.array([r[0] for r in got])
+    seen: dict[str, int] = {}
+    parts = [np.array([seen.setdefault(w, len(seen)) for w in words_of(r[2])], np.int32) for r in got]
+    index, owner = _windows(np.concatenate(parts), np.array([len(p) for p in parts]))
+    words, fold, top = list(seen), np.zeros(len(toxic), int), np.full(len(toxic), -np.inf)
+    del got, parts, seen
     for label in (0, 1):
         fold[toxic == label] = np.arange((toxic == label).sum()) % FOLDS
-    for f in range(FOLDS):
-        held = (fold == f)[owner]
-        without = net if len(set(toxic[fold != f])) < 2 else _fitted(words, index[~held], owner[~held], toxic, steps=200, seed=seed + 1 + f)
-        np.maximum.at(top, owner[held], without.logits(vocabulary.inputs(without), index[held]))
-    sampled = np.bincount(toxic, minlength=2)
-    _calibrate(net, top, toxic, np.array(counts or sampled)[toxic] / sampled[toxic])
-    return net
+    held = fold == key[0] if key[0] < FOLDS else np.ones(len(toxic), bool)
+    used = ~held if key[0] < FOLDS else held
+    if len(set(toxic[used])) < 2:
+        return pd.DataFrame({"part": [], "network": [], "fold": [], "toxic": [], "top": []})
+    net = _fitted(words, index[used[owner]], owner[used[owner]], toxic, *((200,) if key[0] < FOLDS else ()), seed=3 + (key[0] + 1) % (FOLDS + 1))
+    np.maximum.at(top, owner[held[owner]], net.logits(Vocabulary(words).inputs(net), index[held[owner]]))
+    return pd.DataFrame({"part": [key[0]], "network": [pickle.dumps(net)], "fold": [fold[held]], "toxic": [toxic[held]], "top": [top[held]]})
 
 
 def _fitted(words: list[str], index: np.ndarray, owner: np.ndarray, toxic: np.ndarray, steps: int = 600, batch: int = 96, rate: float = 0.01, drop: float = 0.15, decay: float = 0.02, seed: int = 3) -> Network:
@@ -276,20 +284,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_bytes: i
     """Fits on the documents of a sample of ``labels(doc_id, toxic)``, toxic being 0 or 1.
 
     At most ``per_class`` labels of each class, and of their texts as many as ``most_bytes`` hold, in the order of hashes.
+    The network and those without a fold are fitted side by side in tasks; the driver sees no text.
     """
     chosen = F.broadcast(sample(labels, per_class))  # at most 2 * per_class rows
     rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id"))
-    rows = rows.withColumn("bytes", F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(Window.orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, 0)))
-    got = rows.filter(F.col("bytes") <= most_bytes).select("toxic", "doc_id", "text").collect()
+    before = Window.orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, 0)  # over the sample alone
+    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("bytes", F.sum(F.octet_length("text")).over(before))
+    rows = staged(rows.filter(F.col("bytes") <= most_bytes).select("toxic", "id", "text"), "toxicity-sample")
     counts = dict(labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("toxic").cast("int")).count().collect())
-    got = sorted((r[0], r[1], r[2] if r[2] is not None else "") for r in got)
-    toxic = np.array([r[0] for r in got])
-    if len(set(toxic)) < 2:
+    parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).groupBy("part")
+    fits = {r["part"]: r for r in parts.applyInPandas(_part, "part int, network binary, fold array<int>, toxic array<int>, top array<double>").collect()}
+    if FOLDS not in fits:
         return None
-    seen: dict[str, int] = {}
-    parts = [np.array([seen.setdefault(w, len(seen)) for w in words_of(r[2])], np.int32) for r in got]
-    index, owner = _windows(np.concatenate(parts), np.array([len(p) for p in parts]))
-    return train(list(seen), index, owner, toxic, (counts[0], counts[1]))
+    net, whole = pickle.loads(fits[FOLDS]["network"]), fits[FOLDS]
+    apart = [(t, x) for f in range(FOLDS) if f in fits for t, x in zip(fits[f]["toxic"], fits[f]["top"], strict=True)]
+    apart += [(t, x) for f, t, x in zip(whole["fold"], whole["toxic"], whole["top"], strict=True) if f not in fits]  # too few to fit without them
+    toxic, top = np.array([t for t, _ in apart]), np.array([x for _, x in apart])
+    _calibrate(net, top, toxic, np.array([counts[0], counts[1]])[toxic] / np.bincount(toxic)[toxic])
+    return net
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
