@@ -177,6 +177,19 @@ ORACLE_SQL = {
         select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
                coalesce(h, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from d left join pos using (doc_id) left join its using (doc_id)""",
+    "op10_substring_dedup": """
+        with d as (select row_number() over (order by doc_id nulls last) as id, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+        c as (select id, c, substr(x, 2000 * c + 1, 2198) as y from (select id, x, unnest(range(0, (strlen(x) + 1999) // 2000)) as c from d)),
+        b as (select id, c, y, unnest(range(0, least(1000, strlen(y) // 2))) as j from c),
+        w as (select id, 1000 * c + j as i, substr(y, 2 * j + 1, 2) as byte, case when strlen(y) >= 2 * j + 200 then substr(y, 2 * j + 1, 200) end as s from b),
+        f as (select s, min(id * 1000000000 + i) as first from w where s is not null group by s),
+        r as (select id, i, byte, case when id * 1000000000 + i > first then i end as again from w left join f using (s)),
+        m as (select id, i, byte, coalesce(i - max(again) over (partition by id order by i rows unbounded preceding) < 100, false) as gone from r),
+        e as (select *, gone and not coalesce(lag(gone) over (partition by id order by i), false) as opens from m),
+        t as (select id, count(*) as n, count(*) filter (where gone) as n_removed, count(*) filter (where opens) as n_spans,
+                     string_agg(byte, '' order by i) filter (where not gone) as kept from e group by id)
+        select doc_id, coalesce(n, 0) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+               sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join t using (id)""",
     "op12_source_divergence": rf"""
         with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, {_W12} as w from documents),
         t as (select lang, source, id, term, count(*) as n from (select lang, source, id, unnest(w) as term from d) group by all),

@@ -195,7 +195,7 @@ def test_empty_tables(docs):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
-@pytest.mark.parametrize("name", ["op12_source_divergence", "op13_spelling_variants"])
+@pytest.mark.parametrize("name", ["op10_substring_dedup", "op12_source_divergence", "op13_spelling_variants"])
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
