@@ -202,7 +202,7 @@ def _part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     held = fold == key[0] if key[0] < FOLDS else np.ones(len(toxic), bool)
     used = ~held if key[0] < FOLDS else held
     if len(set(toxic[used])) < 2:
-        return pd.DataFrame({"part": [], "network": [], "fold": [], "toxic": [], "top": []})
+        return pd.DataFrame(columns=["part", "network", "fold", "toxic", "top"], dtype=object)
     net = _fitted(words, index[used[owner]], owner[used[owner]], toxic, *((200,) if key[0] < FOLDS else ()), seed=3 + (key[0] + 1) % (FOLDS + 1))
     np.maximum.at(top, owner[held[owner]], net.logits(Vocabulary(words).inputs(net), index[held[owner]]))
     return pd.DataFrame({"part": [key[0]], "network": [pickle.dumps(net)], "fold": [fold[held]], "toxic": [toxic[held]], "top": [top[held]]})
