@@ -40,6 +40,11 @@ def network(spark, folder):
     return queries.toxicity_network(*(spark.read.parquet(f"{folder[0]}/{t}.parquet") for t in ("documents", "labels")))
 
 
+@pytest.fixture(autouse=True)
+def fitted_once(network, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "toxicity_network", lambda docs, labels: network)
+
+
 def test_stages_keep_the_columns(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[1:-1]:
@@ -47,9 +52,8 @@ def test_stages_keep_the_columns(spark, folder):
         assert stage(spark, docs.limit(0), folder[0]).count() == 0
 
 
-def test_stages_with_clashing_columns(spark, folder, network, monkeypatch):
+def test_stages_with_clashing_columns(spark, folder):
     """Columns named as those the stages work with stay as they are, and change nothing."""
-    monkeypatch.setattr(corpus_pipeline, "toxicity_network", lambda docs, labels: network)
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     names = ["_gone", "_hit", "_key", "_sha", "sha", "toxicity", "copies", "own_rows", "key", "kept", "first", "_id", "score"]
     more = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
@@ -63,7 +67,8 @@ def test_stages_with_clashing_columns(spark, folder, network, monkeypatch):
     assert pieces.count() == corpus_pipeline.pack(spark, docs, folder[0]).count()
 
 
-def test_run_on_empty_tables(spark, folder, tmp_path):
+def test_run_on_empty_tables(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "toxicity_network", queries.toxicity_network)
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
