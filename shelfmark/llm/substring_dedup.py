@@ -1,20 +1,22 @@
-"""Removal of repeated substrings through prefix-free phrases (after Boucher et al., 2019).
+"""Removal of repeated substrings by prefix-free parsing (after Boucher et al., 2019).
 
 Every byte covered by a string of ``LENGTH`` bytes that also starts earlier (in an earlier row by doc_id, or earlier in
 the same row) is removed; strings are judged on the input and never cross documents.
 
-1. Triggers: a rolling hash of ``GRAM`` bytes triggers where it is the least of some string of ``LENGTH`` bytes, so every
-   such string holds a trigger and equal strings hold the same ones. The phrase of a trigger is all that strings around
-   it can reach: up to ``LENGTH - GRAM`` bytes to the left and ``LENGTH`` from its start to the right.
-2. Equal phrases collapse to one entry of the dictionary, first inside each task, then over the corpus; every later
-   occurrence in the parse repeats its whole phrase.
-3. Only the first occurrences of different phrases that share a trigger can still repeat parts of each other. Their
-   suffixes, cut at ``LENGTH`` bytes since deeper order is of no matter, are grouped, and in each group of equal ones all
-   but the earliest in the parse are repeats.
-
-Step 3 runs in blocks of whole triggers; for a trigger with more than ``FEW``
-phrases, each task settles the suffixes it meets and the tasks' earliest ones are compared over the cluster.
-Phrases and suffixes are compared by 64-bit hashes on top of the trigger's.
+1. Parse. A rolling hash of ``GRAM`` bytes triggers where it is the least of some string of ``LENGTH`` bytes. Every such
+   string has exactly one trigger, its leftmost least gram, and equal strings have the same one at the same offset. The
+   phrase of a trigger is what its strings cover, so phrases overlap and none needs its neighbours to be compared.
+2. Dictionary. Equal phrases collapse to one entry, first inside each task, then in sorted ranges of the corpus; every
+   later occurrence in the parse repeats its whole phrase. Only entries that share a trigger with others go on.
+3. Suffix arrays. What follows a trigger in its entries is sorted forwards and what precedes it backwards, to a depth of
+   ``LENGTH`` bytes, with the common prefixes of neighbours. A string that starts ``s`` bytes before its trigger is thus
+   a class of endings of ``s`` bytes, from the dictionary's array, combined with a class of continuations of
+   ``LENGTH - s`` bytes, from the parse's: its place in the order of all suffixes of the corpus to that depth. In each
+   place all but the earliest are repeats. These are comparisons of bytes, not of hashes.
+
+The arrays are built for sorted ranges of triggers. A trigger that crosses the end of a range or of a batch, so a hot
+one, is settled in each and the earliest places of its strings are then compared over the cluster by 128-bit digests.
+Dictionary entries are equal by 64-bit hashes of the trigger and of the phrase.
 
 Each row is a document of its own. Where all identifiers differ they are its number; else the rows are numbered in their
 order and staged with their texts, at the price of one sort of the texts. The result is the same.
@@ -29,7 +31,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.rolling import Hashed, mix
@@ -37,7 +41,6 @@ from shelfmark.scratch import staged
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
-FEW = 200
 
 
 def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -48,11 +51,12 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def triggers(hashes: np.ndarray) -> np.ndarray:
-    """Positions of grams that are the least (or equal to it) of some string of ``LENGTH`` bytes."""
-    least = _sliding(hashes, REACH + 1, np.minimum)
-    pad = np.zeros(REACH, np.uint64)
-    return np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), REACH + 1, np.maximum) == hashes)
+def triggers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each gram that is the leftmost least of some strings of ``LENGTH`` bytes, and the first and last start of these."""
+    place = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+    least = (_sliding(place, REACH + 1, np.minimum) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))  # it only moves to the right
+    return least[first], first, np.append(first[1:], len(least)) - 1
 
 
 def parse(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,11 +64,11 @@ def parse(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(text, np.uint8)
     h = Hashed(raw)
     grams = h.all(GRAM)
-    at = triggers(grams)
-    start, end = np.maximum(at - REACH, 0), np.minimum(at + LENGTH, len(raw))
+    at, start, last = triggers(grams)
+    end = last + LENGTH
     left, right = (at - start).astype(np.uint64), (end - at).astype(np.uint64)
     phrase = mix(h.of(start, end) + left * np.uint64(1000003) + right * np.uint64(7919))
-    return grams[at], phrase, (at.astype(np.int64) << 16) | ((at - start) << 8) | (end - at)
+    return grams[at], phrase, (at << 16) | ((at - start) << 8) | (end - at)
 
 
 def _spans(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,87 +143,107 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(per, "doc").select("doc", "text", "wanted").mapInPandas(run, "trigger long, doc long, place long, bytes binary")
 
 
-def _suffixes(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hash, and start (in the document) of every string of ``LENGTH`` bytes in each phrase, bound to its trigger and offset."""
-    place = b["place"].to_numpy(np.int64)
-    left, size = (place >> 8) & 255, ((place >> 8) & 255) + (place & 255)
+def _dictionary(parsed: DataFrame) -> DataFrame:
+    """``trigger, doc, place, again``: later occurrences of phrases, and first ones whose trigger others may have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            trigger, phrase = b.column("trigger").to_numpy(), b.column("phrase").to_numpy()
+            step = trigger[1:] != trigger[:-1]
+            again = np.concatenate(([last == (trigger[0], phrase[0])], ~step & (phrase[1:] == phrase[:-1])))
+            last = trigger[-1], phrase[-1]
+            starts = np.flatnonzero(np.concatenate(([True], step)))
+            sizes = np.diff(np.append(starts, len(trigger)))
+            several = phrase[starts] != phrase[starts + sizes - 1]
+            several[[0, -1]] = True  # it may go on in another batch or range
+            keep = pa.array(again | np.repeat(several, sizes))
+            yield b.select(["trigger", "doc", "place"]).append_column("again", pa.array(again)).filter(keep)
+
+    ranges = parsed.select("trigger", "phrase", "doc", "place").repartitionByRange("trigger", "phrase")
+    return ranges.sortWithinPartitions("trigger", "phrase", "doc", "place").mapInArrow(run, "trigger long, doc long, place long, again boolean")
+
+
+def suffix_array(strings: np.ndarray, trigger: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of bytes within their triggers, and what each has in common with the one before, -1 with none."""
+    padded = np.zeros((len(strings), -(-strings.shape[1] // 8) * 8), np.uint8)
+    padded[:, : strings.shape[1]] = strings
+    order = np.lexsort((*padded.view(">u8").astype(np.uint64).T[::-1], trigger))
+    differ = strings[order[1:]] != strings[order[:-1]]
+    common = np.where(differ.any(1), differ.argmax(1), strings.shape[1])
+    common[trigger[order[1:]] != trigger[order[:-1]]] = -1
+    return order, np.append(-1, common)
+
+
+def _classes(array: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
+    """For each row the number of its class of those equal to ``depth`` bytes."""
+    order, common = array
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < depth)
+    return out
+
+
+def settled(b: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Among some phrases: the ranges of repeats (``doc, lo, hi``), and the earliest places of strings whose trigger is
+    the first or the last (``key, doc, lo``)."""
+    b = b.sort_values(["doc", "place"])
+    n, doc, trigger, place = len(b), b["doc"].to_numpy(np.int64), b["trigger"].to_numpy(np.int64), b["place"].to_numpy(np.int64)
+    at, left, right = place >> 16, (place >> 8) & 255, place & 255
     raw = np.frombuffer(b"".join(b["bytes"]), np.uint8)
-    begin = np.cumsum(size) - size
-    n = np.maximum(size - LENGTH + 1, 0)
-    row = np.repeat(np.arange(len(b)), n)
-    shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    h = Hashed(raw).of(begin[row] + shift, begin[row] + shift + LENGTH)
-    offset = (left[row] - shift).astype(np.uint64)
-    return row, mix(h + b["trigger"].to_numpy(np.int64).astype(np.uint64)[row] * np.uint64(31) + offset), (place >> 16)[row] - left[row] + shift
-
-
-def _settled(b: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Among some phrases: the earliest place of each suffix (``key, doc, lo``), and the ranges of all others (``doc, lo, hi``)."""
-    row, key, start = _suffixes(b)
-    doc = b["doc"].to_numpy(np.int64)[row]
-    order = np.lexsort((start, doc, key))
-    key, start, doc = key[order], start[order], doc[order]
-    new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-    head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    again = (doc != doc[head]) | (start != start[head])
-    first = pd.DataFrame({"key": key[new].astype(np.int64), "doc": doc[new], "lo": start[new], "hi": np.int64(0)})
-    order = np.lexsort((start[again], doc[again]))
-    own, lo = doc[again][order], start[again][order]
-    new = np.concatenate(([True], (own[1:] != own[:-1]) | (lo[1:] > lo[:-1] + LENGTH))) if len(own) else np.zeros(0, bool)
-    ends = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(own) - 1])) if len(own) else np.zeros(0, int)
-    return first, pd.DataFrame({"doc": own[new], "lo": lo[new], "hi": lo[ends] + LENGTH})
+    middle = np.cumsum(left + right) - right
+    step = np.arange(LENGTH)
+    after = np.where(step < right[:, None], raw[np.minimum(middle[:, None] + step, len(raw) - 1)], 0).astype(np.uint8)
+    before = np.where(step[:REACH] < left[:, None], raw[np.maximum(middle[:, None] - 1 - step[:REACH], 0)], 0).astype(np.uint8)
+    forwards, backwards = suffix_array(after, trigger), suffix_array(before, trigger)
+    open_ended = (trigger == trigger.min()) | (trigger == trigger.max())
+    low, high, found = np.full(n, -1), np.full(n, -1), []
+    for s in range(REACH + 1):
+        rows = np.flatnonzero((left >= s) & (right >= LENGTH - s))
+        suffix = _classes(forwards, LENGTH - s)[rows] * (n + 1) + _classes(backwards, s)[rows]
+        first = np.unique(suffix, return_index=True)[1]  # rows are in the order of the parse
+        again = np.ones(len(rows), bool)
+        again[first] = False
+        again, first = rows[again], rows[first]
+        low[again] = np.where(low[again] < 0, s, low[again])
+        high[again] = s
+        found += [(row, s) for row in first[open_ended[first]].tolist()]
+    again = np.flatnonzero(high >= 0)
+    spans = pd.DataFrame({"doc": doc[again], "lo": (at - high)[again], "hi": (at - low)[again] + LENGTH})
+    whole = raw.tobytes()
+    keys = [xxhash.xxh3_128_digest(whole[m : m + LENGTH]) for m in (int(middle[row]) - s for row, s in found)]
+    row, s = np.array(found, np.int64).reshape(-1, 2).T
+    return spans, pd.DataFrame({"key": pd.Series(keys, dtype=object), "doc": doc[row], "lo": at[row] - s, "hi": np.int64(0)})
 
 
 def _repeats(contexts: DataFrame) -> DataFrame:
     """``doc, lo, hi``: strings of first phrases that occur in an earlier phrase with the same trigger."""
-    many = contexts.groupBy("trigger").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select("trigger")
-    few = contexts.join(many, "trigger", "left_anti")
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            whole = b["trigger"] != b["trigger"].iloc[-1] if len(b) else None
-            if whole is None or not whole.any():
-                rest = b
-                continue
-            yield _settled(b[whole])[1]
-            rest = b[~whole]
-        if rest is not None and len(rest):
-            yield _settled(rest)[1]
-
-    near = few.repartition("trigger").sortWithinPartitions("trigger").mapInPandas(blocks, "doc long, lo long, hi long")
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i in range(0, len(b), 4000):
-                first, again = _settled(b.iloc[i : i + 4000])
-                yield first.astype({"key": "Int64"})
-                yield again.assign(key=pd.array([None] * len(again), "Int64"))[["key", "doc", "lo", "hi"]]
-
-    settled = contexts.join(many, "trigger", "left_semi").mapInPandas(spread, "key long, doc long, lo long, hi long")
-    settled = staged(settled, "suffixes")
-    single = settled.filter("key is not null").select("key", "doc", "lo")
-    first = single.groupBy("key").agg(F.min(F.struct("doc", "lo")).alias("first"))
+            if len(b):
+                spans, first = settled(b)
+                yield spans.assign(key=None)[["key", "doc", "lo", "hi"]]
+                yield first
+
+    ranges = contexts.repartitionByRange("trigger", "doc", "place").sortWithinPartitions("trigger", "doc", "place")
+    found = staged(ranges.mapInPandas(run, "key binary, doc long, lo long, hi long"), "suffixes")
+    single = found.filter("key is not null").select("key", "doc", "lo")
+    first = single.groupBy("key").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     far = single.join(first, "key").filter("not (doc = first.doc and lo = first.lo)").select("doc", "lo", (F.col("lo") + LENGTH).alias("hi"))
-    return near.unionByName(settled.filter("key is null").select("doc", "lo", "hi")).unionByName(far)
+    return found.filter("key is null").select("doc", "lo", "hi").unionByName(far)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc, lo, hi``: byte ranges to remove, overlapping and in no order; ``docs`` has ``doc`` (no nulls) and ``text``."""
     parsed = staged(_phrases(docs), "phrases")
-    by_phrase = Window.partitionBy("trigger", "phrase").orderBy("doc", "place")
-    by_trigger = Window.partitionBy("trigger")
-    local = parsed.filter("trigger is null").select("trigger", "doc", "place", "hi", F.lit(True).alias("again"))
-    ranked = parsed.filter("trigger is not null").repartition("trigger").withColumn("nth", F.rank().over(by_phrase))
-    ranked = ranked.withColumns({"low": F.min("phrase").over(by_trigger), "high": F.max("phrase").over(by_trigger)})
-    ranked = ranked.filter("nth > 1 or low != high").select("trigger", "doc", "place", F.lit(-1).cast("long").alias("hi"), (F.col("nth") > 1).alias("again"))
-    found = staged(local.unionByName(ranked), "parsed")
-    lo = F.expr("if(hi >= 0, place, (place >> 16) - ((place >> 8) & 255))")
-    hi = F.expr("if(hi >= 0, hi, (place >> 16) + (place & 255))")
+    local = parsed.filter("trigger is null").select("doc", F.col("place").alias("lo"), "hi")
+    found = staged(_dictionary(parsed.filter("trigger is not null")), "dictionary")
+    lo, hi = F.expr("(place >> 16) - ((place >> 8) & 255)"), F.expr("(place >> 16) + (place & 255)")
     again = found.filter("again").select("doc", lo.alias("lo"), hi.alias("hi"))
     contexts = staged(_contexts(docs, found.filter("not again").select("trigger", "doc", "place")), "contexts")
-    return again.unionByName(_repeats(contexts))
+    return local.unionByName(again).unionByName(_repeats(contexts))
 
 
 def numbered(docs: DataFrame) -> DataFrame:

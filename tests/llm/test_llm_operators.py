@@ -544,10 +544,10 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("few", [5000, 1])
-def test_substring_dedup(spark, rows, monkeypatch, few):
-    """With ``FEW`` at 1 the suffixes of shared triggers are spread over the cluster."""
-    monkeypatch.setattr(substring_dedup, "FEW", few)
+@pytest.mark.parametrize("records", [10000, 3])
+def test_substring_dedup(spark, rows, records):
+    """In batches of 3 records all triggers that several phrases share are met over the cluster."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
     r = random.Random(9)
     line = text(r, 30)
     own = dict(rows)
@@ -559,10 +559,35 @@ def test_substring_dedup(spark, rows, monkeypatch, few):
     own[134] = own[133]
     own[135] = "q" * 99
     df = spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(4)
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in substring_dedup.remove_repeats(df).collect()}
+    try:
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in substring_dedup.remove_repeats(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute_repeats(list(own.items()))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_substring_dedup_of_few_letters(spark, seed):
+    """Texts of two letters and of short cycles: many grams are equal and many strings overlap themselves."""
+    r = random.Random(seed)
+    own = [(i, "".join(r.choice("ab") for _ in range(r.randrange(400)))) for i in range(8)]
+    own += [(20 + i, (w := "".join(r.choice("xyz") for _ in range(r.randrange(1, 60)))) * (r.randrange(90, 500) // len(w))) for i in range(8)]
+    own += [(40 + i, own[r.randrange(16)][1][r.randrange(50) :] + "".join(r.choice("ab") for _ in range(30))) for i in range(16)]
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in substring_dedup.remove_repeats(df).collect()}
+    assert got == brute_repeats(own)
+
+
+def test_suffix_array():
+    strings = np.random.default_rng(3).integers(0, 2, (200, 11)).astype(np.uint8)
+    trigger = np.random.default_rng(4).integers(-2, 3, 200)
+    order, common = substring_dedup.suffix_array(strings, trigger)
+    rows = [(t, s.tobytes()) for t, s in zip(trigger.tolist(), strings, strict=True)]
+    assert [rows[i] for i in order] == sorted(rows)
+    for (t, a), (u, b), c in zip([rows[i] for i in order], [rows[i] for i in order][1:], common[1:].tolist(), strict=False):
+        assert c == (-1 if t != u else next((k for k in range(11) if a[k] != b[k]), 11))
+
+
 def test_substring_dedup_of_rows_that_share_an_identifier(spark):
     """Null identifiers, one text null, lengths unequal; two texts and two equal texts under one identifier."""
     r = random.Random(4)
@@ -576,11 +601,15 @@ def test_substring_dedup_of_rows_that_share_an_identifier(spark):
     assert sorted(got, key=str) == sorted(((order[i][0], *w) for i, w in want.items()), key=str)
 
 
-def test_triggers_cover_every_string():
+def test_every_string_has_one_trigger():
+    """The leftmost least gram, so that it depends on the string alone."""
     for seed in range(5):
         raw = np.random.default_rng(seed).integers(0, 3, 700).astype(np.uint8)
-        at = substring_dedup.triggers(substring_dedup.Hashed(raw).all(substring_dedup.GRAM))
-        assert at[0] <= substring_dedup.REACH and (np.diff(at) <= substring_dedup.REACH + 1).all()
+        grams = substring_dedup.Hashed(raw).all(substring_dedup.GRAM)
+        at, first, last = substring_dedup.triggers(grams)
+        starts = [(p, t) for t, a, z in zip(at, first, last, strict=True) for p in range(a, z + 1)]
+        high = (grams >> np.uint64(32)).tolist()
+        assert starts == [(p, min(range(p, p + substring_dedup.REACH + 1), key=high.__getitem__)) for p in range(len(raw) - substring_dedup.LENGTH + 1)]
 
 
 def test_toxicity_gradients():
