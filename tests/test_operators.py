@@ -70,6 +70,24 @@ def test_hamming_join_with_crowded_bands(spark):
     assert len(crowded) == 1 and crowded[0][0] == 0  # only the first band tells hashes apart
 
 
+@pytest.mark.parametrize("way", ["bands", "rounds"])
+def test_hamming_ways_agree_and_keep_tasks_apart(spark, way, monkeypatch):
+    """Both ways, the second in several rounds, give all pairs; a side that flips make longer is never broadcast."""
+    r = random.Random(7)
+    base = [r.getrandbits(63) for _ in range(20)]
+    rows = sorted({(k % 2, b ^ sum(1 << i for i in r.sample(range(63), k))) for b in base for k in range(8)})
+    values = spark.createDataFrame([(a, h, h % 1000) for a, h in rows], "task_id long, h long, rep long")
+    monkeypatch.setattr(similar, "BLOCK", 30)
+    if way == "bands":
+        found = similar._banded(values, 9, similar.bands_for(9, len(rows)), ("rep",))
+        assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    else:
+        found = similar._all_pairs(values, 9, len(rows), ("rep",))
+    got = sorted((x.task_id, x.a, x.b, x.a_rep, x.b_rep, x.distance) for x in found.collect())
+    want = [(i, a, b, a % 1000, b % 1000, (a ^ b).bit_count()) for (i, a), (j, b) in itertools.combinations(rows, 2) if i == j and (a ^ b).bit_count() <= 9]
+    assert got == sorted(want) and want
+
+
 @pytest.mark.parametrize("t", [0, 1, 4, 8, 12, 20, 64])
 @pytest.mark.parametrize("size", [0, 10**3, 10**7, 10**10])
 def test_band_thresholds_add_up(t, size):
