@@ -151,7 +151,7 @@ def _organise_sql(name: str) -> str:
 
 _PLAN = f"select file_id, file_path, file_size from ({MEMBERS}) where not is_recommended"
 _SIZE = """case when file_size is null or file_size = 0 then '-' when file_size < 1024 then file_size || ' B'
-    when file_size < 1048576 then format('{:.1f} KB', file_size / 1024.0) else format('{:.1f} MB', file_size / 1048576.0) end"""
+    when file_size < 1048576 then format('{:.1f} KB', round(file_size / 1024.0::double, 1)) else format('{:.1f} MB', round(file_size / 1048576.0::double, 1)) end"""
 _DIRS = """
     p as (select page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/'), lambda x: x != '') as l from pages),
     dirs as (select distinct array_to_string(l[1:i], '/') as path from (select l, unnest(range(1, len(l) + 1)) as i from p)),

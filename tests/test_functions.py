@@ -107,6 +107,19 @@ def test_formats(spark):
     assert tuple(d) == (33, 30, 0, "S")
 
 
+def test_size_text_ties_go_up_as_in_its_sql(spark):
+    """Sizes half way between two decimals, such as 3.25 KB."""
+    import duckdb
+
+    from shelfmark.queries.catalog import _SIZE
+
+    sizes = [k * 128 for k in range(8, 100)] + [(1 << 20) + k * 131072 for k in range(40)] + [1048575]
+    df = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", formats.size_text(F.col("n")).alias("t"))
+    got = {r.n: r.t for r in df.collect()}
+    want = dict(duckdb.sql(f"select file_size, {_SIZE} from (select unnest({sizes}) as file_size)").fetchall())
+    assert got == want and got[3328] == "3.3 KB"
+
+
 def test_target_paths(spark):
     df = spark.sql("select timestamp_ntz '2023-12-31 20:00:00' t, 'a.JPG' n")
     assert one(df.select(paths.target_path(F.col("t"), F.col("n")))) == "2024/01/a.JPG"
