@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from shelfmark.scratch import staged
 
@@ -82,26 +84,45 @@ def train(rows: DataFrame, kind: str = "logistic", hidden: int = 256, gamma: flo
 
     The network is MLlib's: sigmoid units and cross-entropy with L-BFGS, without dropout or early stopping.
     """
-    data = (weighted(rows) if kind == "logistic" else resampled(rows, seed)).withColumn("vector", array_to_vector(F.transform("features", lambda x: x.cast("double"))))
     if kind == "network":
+        data = resampled(rows, seed).withColumn("vector", array_to_vector(F.transform("features", lambda x: x.cast("double"))))
         width = len(data.first()["vector"])
         return Pipeline(stages=[MultilayerPerceptronClassifier(featuresCol="vector", labelCol="label", layers=[width, hidden, 2], maxIter=50, seed=seed)]).fit(data)
-    data, model = staged(data.select("label", F.col("weight").alias("base"), "weight", "vector"), "training"), None
+    features = F.transform("features", lambda x: x.cast("double")).alias("features")
+    data, model = weighted(rows).select("label", F.col("weight").alias("base"), "weight", features), None
     for _ in range(rounds + 1):
         if model is not None:
-            p = vector_to_array("probability")[1]
+            p = _logistic(model.stages[-1], F.col("features"))
             p = F.when(F.col("label") == 1, p).otherwise(1 - p)
-            scored = model.transform(data).withColumn("weight", F.col("base") * F.pow(1 - p, F.lit(gamma)) + 1e-6)
-            data = staged(scored.select(data.columns), "training")  # what the next fit reads over and over
+            data = data.withColumn("weight", F.col("base") * F.pow(1 - p, F.lit(gamma)) + 1e-6)
+        data = _with_vectors(data)  # what the next fit reads over and over
         model = Pipeline(stages=[LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=50, regParam=0.01)]).fit(data)
+        data = data.drop("vector")
     return model
 
 
+def _with_vectors(data: DataFrame) -> DataFrame:
+    """Staged rows with ``vector``, which is stored as its fields and read as a vector, without a function of MLlib's."""
+    dense = {"type": F.lit(1), "size": F.lit(None), "indices": F.lit(None)}
+    vector = F.struct(*(dense[f.name].cast(f.dataType).alias(f.name) if f.name in dense else F.col("features").alias(f.name) for f in VectorUDT.sqlType()))
+    schema = StructType([*data.schema.fields, StructField("vector", VectorUDT())])
+    return staged(data.withColumn("vector", vector), "training", schema=schema)
+
+
+def _logistic(model: LogisticRegressionModel, features: Column) -> Column:
+    """The probability of class 1 from the model's coefficients, as an expression of Spark's own."""
+    products = F.zip_with(features, F.array(*map(F.lit, model.coefficients.toArray().tolist())), lambda x, c: x.cast("double") * c)
+    return 1 / (1 + F.exp(-(F.aggregate(products, F.lit(0.0), lambda a, x: a + x) + model.intercept)))
+
+
 def batch_score(model: PipelineModel, features: DataFrame, version: int) -> DataFrame:
     """``file_id, ai_raw_score, ai_prediction, ai_confidence, model_version`` for every row with a feature, labelled or not."""
-    rows = features.filter("embedding is not null").withColumn("vector", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
-    p = F.col("ai_raw_score")
-    out = model.transform(rows).withColumn("ai_raw_score", vector_to_array("probability")[1])
+    rows, p = features.filter("embedding is not null"), F.col("ai_raw_score")
+    if isinstance(model.stages[-1], LogisticRegressionModel):
+        out = rows.withColumn("ai_raw_score", _logistic(model.stages[-1], F.col("embedding")))
+    else:
+        rows = rows.withColumn("vector", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
+        out = model.transform(rows).withColumn("ai_raw_score", vector_to_array("probability")[1])
     return out.select("file_id", "ai_raw_score", prediction(p).alias("ai_prediction"), confidence(p).alias("ai_confidence"), F.lit(version).alias("model_version"))
 
 

@@ -259,6 +259,20 @@ def test_train_and_score(spark):
     assert prefs.batch_score(prefs.train(rows, "network", hidden=4), rows.select("file_id", F.col("features").alias("embedding")), 4).count() == 60
 
 
+def test_logistic_scores_need_no_function_of_mllib(spark):
+    """They are what the fitted model gives, from a plan that Spark can send out without a Scala function in it."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = spark.createDataFrame([(i, [float(i % 2), float(i % 3) / 3], int(i % 5 > 1)) for i in range(60)], "file_id long, features array<float>, label int")
+    model = prefs.train(rows)
+    features = rows.select("file_id", F.col("features").alias("embedding"))
+    scores = prefs.batch_score(model, features, 1)
+    assert "UDF" not in scores._jdf.queryExecution().toString()
+    wide = features.withColumn("vector", array_to_vector(F.col("embedding").cast("array<double>")))
+    want = {r.file_id: r.p for r in model.transform(wide).select("file_id", vector_to_array("probability")[1].alias("p")).collect()}
+    assert {r.file_id: r.ai_raw_score for r in scores.collect()} == pytest.approx(want, abs=1e-12)
+
+
 def test_metrics_of_an_empty_table(spark):
     df = spark.createDataFrame([], "a string, b string")
     assert tuple(stats.metrics(df, "a", "b").first()) == (0.0, 0.0, 0.0, 0.0)
