@@ -101,6 +101,14 @@ def test_similar_groups_chain_and_keep_tasks_apart(spark):
     assert sorted((r.group_id, r.file_id) for r in got) == [(10, 10), (10, 11), (10, 12), (10, 13)]
 
 
+def test_similar_groups_read_texts_once(spark):
+    """Later steps read stored hashes; none hashes the words again."""
+    texts = spark.createDataFrame([(1, 1, "a b c d"), (1, 2, "A b c d"), (1, 3, "e f g h i")], "task_id long, file_id long, text string")
+    found = similar.similar_groups(similar.simhashes(texts), 4)
+    assert "md5" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.group_id, r.file_id) for r in found.collect()) == [(1, 1), (1, 2)]
+
+
 def _files(spark, rows):
     return spark.createDataFrame(rows, "task_id long, file_id long, file_path string, file_size long, has_exif boolean")
 
