@@ -14,8 +14,13 @@ the same row) is removed; strings are judged on the input and never cross docume
    ``LENGTH - s`` bytes, from the parse's: its place in the order of all suffixes of the corpus to that depth. In each
    place all but the earliest are repeats. These are comparisons of bytes, not of hashes.
 
-The arrays are built for sorted ranges of triggers. A trigger that crosses the end of a range or of a batch, so a hot
-one, is settled in each and the earliest places of its strings are then compared over the cluster by 128-bit digests.
+The arrays are built for whole triggers, many of them in a task. A trigger of more than ``UNIT`` entries is divided: into the
+strings that start in the farther half of the places before it and those that start in the nearer half. The former also
+share the bytes of the nearer half that precede it, the latter more of those that follow, so either half falls into units
+of equal such bytes, and entries alone in a unit have no repeats there. Halves that are still too large are divided
+again, down to single strings, of which the earliest is a minimum over the cluster. Units gather entries by 64-bit hashes;
+what repeats in them is settled by bytes.
+
 Dictionary entries are equal by 64-bit hashes of the trigger and of the phrase.
 
 Each row is a document of its own. Where all identifiers differ they are its number; else the rows are numbered in their
@@ -41,6 +46,8 @@ from shelfmark.scratch import staged
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
+#: Entries that are compared in one go.
+UNIT = 10_000
 
 
 def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -185,54 +192,90 @@ def _classes(array: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
     return out
 
 
-def settled(b: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Among some phrases: the ranges of repeats (``doc, lo, hi``), and the earliest places of strings whose trigger is
-    the first or the last (``key, doc, lo``)."""
+def settled(b: pd.DataFrame) -> pd.DataFrame:
+    """The ranges of repeats (``doc, lo, hi``) among the entries of some whole units, of strings that start ``start`` to ``stop - 1`` bytes before the trigger."""
     b = b.sort_values(["doc", "place"])
-    n, doc, trigger, place = len(b), b["doc"].to_numpy(np.int64), b["trigger"].to_numpy(np.int64), b["place"].to_numpy(np.int64)
+    n, doc, unit, place = len(b), b["doc"].to_numpy(np.int64), b["unit"].to_numpy(np.int64), b["place"].to_numpy(np.int64)
+    start, stop = b["start"].to_numpy(np.int64), b["stop"].to_numpy(np.int64)
     at, left, right = place >> 16, (place >> 8) & 255, place & 255
     raw = np.frombuffer(b"".join(b["bytes"]), np.uint8)
     middle = np.cumsum(left + right) - right
     step = np.arange(LENGTH)
     after = np.where(step < right[:, None], raw[np.minimum(middle[:, None] + step, len(raw) - 1)], 0).astype(np.uint8)
     before = np.where(step[:REACH] < left[:, None], raw[np.maximum(middle[:, None] - 1 - step[:REACH], 0)], 0).astype(np.uint8)
-    forwards, backwards = suffix_array(after, trigger), suffix_array(before, trigger)
-    open_ended = (trigger == trigger.min()) | (trigger == trigger.max())
-    low, high, found = np.full(n, -1), np.full(n, -1), []
-    for s in range(REACH + 1):
-        rows = np.flatnonzero((left >= s) & (right >= LENGTH - s))
+    forwards, backwards = suffix_array(after, unit), suffix_array(before, unit)
+    low, high = np.full(n, -1), np.full(n, -1)
+    for s in range(int(start.min()), int(stop.max())):
+        rows = np.flatnonzero((left >= s) & (right >= LENGTH - s) & (start <= s) & (s < stop))
         suffix = _classes(forwards, LENGTH - s)[rows] * (n + 1) + _classes(backwards, s)[rows]
-        first = np.unique(suffix, return_index=True)[1]  # rows are in the order of the parse
         again = np.ones(len(rows), bool)
-        again[first] = False
-        again, first = rows[again], rows[first]
+        again[np.unique(suffix, return_index=True)[1]] = False  # rows are in the order of the parse
+        again = rows[again]
         low[again] = np.where(low[again] < 0, s, low[again])
         high[again] = s
-        found += [(row, s) for row in first[open_ended[first]].tolist()]
     again = np.flatnonzero(high >= 0)
-    spans = pd.DataFrame({"doc": doc[again], "lo": (at - high)[again], "hi": (at - low)[again] + LENGTH})
-    whole = raw.tobytes()
-    keys = [xxhash.xxh3_128_digest(whole[m : m + LENGTH]) for m in (int(middle[row]) - s for row, s in found)]
-    row, s = np.array(found, np.int64).reshape(-1, 2).T
-    return spans, pd.DataFrame({"key": pd.Series(keys, dtype=object), "doc": doc[row], "lo": at[row] - s, "hi": np.int64(0)})
+    return pd.DataFrame({"doc": doc[again], "lo": (at - high)[again], "hi": (at - low)[again] + LENGTH})
 
 
-def _repeats(contexts: DataFrame) -> DataFrame:
-    """``doc, lo, hi``: strings of first phrases that occur in an earlier phrase with the same trigger."""
+def _halves(rows: DataFrame) -> DataFrame:
+    """The entries of units that are too large, in units of either half of their strings."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                spans, first = settled(b)
-                yield spans.assign(key=None)[["key", "doc", "lo", "hi"]]
-                yield first
-
-    ranges = contexts.repartitionByRange("trigger", "doc", "place").sortWithinPartitions("trigger", "doc", "place")
-    found = staged(ranges.mapInPandas(run, "key binary, doc long, lo long, hi long"), "suffixes")
-    single = found.filter("key is not null").select("key", "doc", "lo")
-    first = single.groupBy("key").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    far = single.join(first, "key").filter("not (doc = first.doc and lo = first.lo)").select("doc", "lo", (F.col("lo") + LENGTH).alias("hi"))
-    return found.filter("key is null").select("doc", "lo", "hi").unionByName(far)
+            out = []
+            for start, stop, doc, place, raw in zip(b["start"], b["stop"], b["doc"], b["place"], b["bytes"], strict=True):
+                left, right, middle = (place >> 8) & 255, place & 255, (start + stop) // 2
+                for first, end in ((start, middle), (middle, stop)):
+                    if left >= first and right > LENGTH - end:
+                        shared = raw[left - first : left + LENGTH - end + 1]
+                        out.append((xxhash.xxh3_64_intdigest(shared, first) - (1 << 63), first, end, doc, place, raw))
+            yield pd.DataFrame(out, columns=["unit", "start", "stop", "doc", "place", "bytes"])
+
+    return rows.select("start", "stop", "doc", "place", "bytes").mapInPandas(run, _UNITS)
+
+
+_UNITS = "unit long, start long, stop long, doc long, place long, bytes binary"
+
+
+def _settle(rows: DataFrame) -> DataFrame:
+    """``doc, lo, hi``: what repeats in units of at most ``UNIT`` entries, each whole in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            whole = held["unit"].to_numpy() != held["unit"].iloc[-1] if len(held) else np.zeros(0, bool)
+            if whole.any():
+                yield settled(held[whole])
+                held = held[~whole]  # it may go on in the next batch
+        if held is not None and len(held):
+            yield settled(held)
+
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInPandas(run, "doc long, lo long, hi long")
+
+
+def _equal(rows: DataFrame) -> DataFrame:
+    """``doc, lo, hi``: all but the earliest of each string, in units of one start."""
+    at, left = F.expr("place >> 16"), F.expr("(place >> 8) & 255")
+    string = F.col("bytes").substr((left - F.col("start") + 1).cast("int"), F.lit(LENGTH))
+    rows = rows.select(F.col("doc"), (at - F.col("start")).alias("lo"), string.alias("string"))
+    first = rows.groupBy("string").agg(F.min(F.struct("doc", "lo")).alias("first"))
+    return rows.join(first, "string").filter("not (doc = first.doc and lo = first.lo)").select("doc", "lo", (F.col("lo") + LENGTH).alias("hi"))
+
+
+def _repeats(contexts: DataFrame) -> DataFrame:
+    """``doc, lo, hi``: strings of first phrases that occur in an earlier phrase with the same trigger."""
+    rows, out = contexts.select(F.col("trigger").alias("unit"), F.lit(0).cast("long").alias("start"), F.lit(REACH + 1).cast("long").alias("stop"), "doc", "place", "bytes"), None
+    while True:
+        sizes = rows.groupBy("unit").agg(F.count("*").alias("n"))
+        hot = staged(sizes.filter(F.col("n") > UNIT).select("unit"), "hot-units")  # one for every ``UNIT`` entries at most
+        found = _settle(rows.join(hot, "unit", "left_anti"))
+        out = found if out is None else out.unionByName(found)
+        if hot.isEmpty():
+            return out
+        rows = rows.join(hot, "unit", "left_semi")
+        out = out.unionByName(_equal(rows.filter("stop = start + 1")))
+        rows = staged(_halves(rows.filter("stop > start + 1")), "halves")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

@@ -720,3 +720,22 @@ def test_null_identifiers(spark, tokenizer):
     assert decontaminate.contamination(df, bench).filter("contaminated").count() == 2
     assert language_model.score(df, F.lit(True)).count() == 3
     assert {r.doc_id for r in substring_dedup.remove_repeats(df).collect()} == {None, 1, 2}
+
+
+def test_substring_dedup_divides_crowded_triggers(spark, monkeypatch):
+    rng = random.Random(10)
+    base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(400))
+    own = []
+    for i in range(30):
+        text = list(base)
+        for at in rng.sample(range(400), 3):
+            text[at] = rng.choice("QRSTUV")
+        own.append((i, "".join(text)))
+    made, stage = [], substring_dedup.staged
+    monkeypatch.setattr(substring_dedup, "UNIT", 4)
+    monkeypatch.setattr(substring_dedup, "staged", lambda df, name, *by: made.append((name, stage(df, name, *by))) or made[-1][1])
+    df = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in substring_dedup.remove_repeats(df).collect()}
+    assert got == brute_repeats(own)
+    counts = [d.count() for name, d in made if name in ("contexts", "halves")]
+    assert len(counts) > 3 and counts[1] <= 2 * counts[0], "entries are halved, not listed string by string"
