@@ -14,6 +14,9 @@ first ``a - alpha + l`` of one and the first ``b - alpha + l`` of the other shar
    others follow by the length of their lists. Each set estimates the cost of its candidates from the entries of its
    lists for 1, 2, 4, 8 and 16 matches and lengthens its prefix to the cheapest. It reads the first
    ``a - alpha + 1`` lists; pairs of different components met there must share that many shingles within their prefixes.
+   They also must not differ too much in ``BITS`` parities of their shingles: each shingle that is in only one of two sets
+   changes one of them, so sets of which ``d`` parities differ share at most ``(a + b - d) / 2`` (the bitmap filter of
+   Sandes, Teodoro and Melo, 2017). So near copies of one original that do not link are told apart where they meet.
 4. All pairs are verified on the whole sets. Components of all verified links are the result.
 
 A large group of near copies is thus one component after step 2 and its pairs are never listed; no link between
@@ -44,8 +47,11 @@ MATCHES = (1, 2, 4, 8, 16)
 SKETCH = 64
 #: What verifying one candidate costs, in list entries read.
 VERIFY = 8
+#: Parities kept of a set, while this number can tell sets of its size apart.
+BITS = 256
 #: Postings a task gathers before it combines and sends them.
 _HELD = 2_000_000
+_WORDS = [f"w{i}" for i in range(BITS // 64)]
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -150,8 +156,15 @@ def survivors(posted: DataFrame, num: int, den: int) -> DataFrame:
     return sets.join(counts, "key").filter(F.col("k") >= least).select("digest")
 
 
+def parities(sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """For sets of these sizes, whose tokens follow each other, ``BITS`` parities each as 64-bit numbers: how many tokens fall on a bit."""
+    at = np.repeat(np.arange(len(sizes)) * BITS, sizes) + (tokens & np.uint64(BITS - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(sizes) * BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).reshape(len(sizes), BITS // 64)
+
+
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """``digest, n, tokens``: the whole sets of the documents' texts."""
+    """``digest, n, tokens, bits``: the whole sets of the documents' texts, and their parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,17 +172,26 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
             for i in range(0, len(texts), 500):
                 own = list(shingle_sets(texts[i : i + 500], words))
                 sizes = np.array(list(map(len, own)), np.int64)
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(own).astype(np.int64)))
+                flat = np.concatenate(own)
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat.astype(np.int64)))
                 digests = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in own], pa.binary())
-                yield pa.RecordBatch.from_arrays([digests, pa.array(sizes), tokens], ["digest", "n", "tokens"])
+                bits = pa.StructArray.from_arrays([pa.array(c) for c in parities(sizes, flat).T], _WORDS)
+                yield pa.RecordBatch.from_arrays([digests, pa.array(sizes), tokens, bits], ["digest", "n", "tokens", "bits"])
 
-    return docs.select("text").mapInArrow(run, "digest binary, n long, tokens array<long>")
+    bits = ", ".join(f"{c}: bigint" for c in _WORDS)
+    return docs.select("text").mapInArrow(run, f"digest binary, n long, tokens array<long>, bits struct<{bits}>")
 
 
 def _alpha(a: Column, b: Column, num: int, den: int) -> Column:
     return F.ceil((F.lit(num) * (a + b)) / F.lit(float(num + den)) - F.lit(1e-9))
 
 
+def _may_link(p: Column, q: Column, a: Column, b: Column, num: int, den: int) -> Column:
+    """Whether sets of ``a`` and ``b`` tokens and these parities, null for sets too large for them, may share enough to link."""
+    differ = sum((F.bit_count(p[c].bitwiseXOR(q[c])) for c in _WORDS[1:]), F.bit_count(p[_WORDS[0]].bitwiseXOR(q[_WORDS[0]])))
+    return F.coalesce(differ <= a + b - 2 * _alpha(a, b, num, den), F.lit(True))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``src, dst`` whose whole sets link."""
     a = sets.select(F.col("node").alias("src"), F.col("tokens").alias("a"))
@@ -214,6 +236,7 @@ def _chosen(own: DataFrame, num: int, den: int) -> DataFrame:
 
 def _across(sets: DataFrame, component: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs of different components by adaptive prefixes, each set reading for those not above it in size."""
+    bits = sets.filter(2 * (F.col("n") - _alpha(F.col("n"), F.col("n"), num, den)) <= BITS // 2).select("node", "bits")  # of random parities half differ
     sets = sets.join(component.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     sets = sets.select("node", "n", F.coalesce("component", "node").alias("c"), "tokens")
     rows = sets.select("node", "n", "c", F.explode("tokens").alias("token"))
@@ -231,9 +254,10 @@ def _across(sets: DataFrame, component: DataFrame, num: int, den: int) -> DataFr
     own = staged(own.select("node", "n", "c", "closed", "base", F.transform("own", lambda e: e["token"]).alias("own")), "prefixes")
     own = own.join(_chosen(own, num, den), "node")
 
-    probe = own.select(F.col("node").alias("x"), F.col("n").alias("a"), F.col("c").alias("cx"), "l", "closed", F.posexplode(F.slice("own", 1, F.greatest(F.col("base") + 1 - F.col("closed"), F.lit(0)))).alias("i", "t"))
+    with_bits = own.join(bits, "node", "left")
+    probe = with_bits.select(F.col("node").alias("x"), F.col("n").alias("a"), F.col("c").alias("cx"), "l", "closed", F.col("bits").alias("p"), F.posexplode(F.slice("own", 1, F.greatest(F.col("base") + 1 - F.col("closed"), F.lit(0)))).alias("i", "t"))
     probe = probe.withColumn("i", F.col("i") + F.col("closed")).drop("closed")
-    index = own.select(F.col("node").alias("y"), F.col("n").alias("b"), F.col("c").alias("cy"), "closed", F.posexplode("own").alias("j", "token"))
+    index = with_bits.select(F.col("node").alias("y"), F.col("n").alias("b"), F.col("c").alias("cy"), "closed", F.col("bits").alias("q"), F.posexplode("own").alias("j", "token"))
     index = index.withColumn("j", F.col("j") + F.col("closed")).drop("closed")
     alpha = _alpha(F.col("a"), F.col("b"), num, den)
     meet = (
@@ -242,6 +266,7 @@ def _across(sets: DataFrame, component: DataFrame, num: int, den: int) -> DataFr
         & (F.col("b") * den >= F.col("a") * num)
         & (F.col("i") < F.col("a") - alpha + 1)
         & (F.col("j") < F.col("b") - alpha + F.col("l"))
+        & _may_link(F.col("p"), F.col("q"), F.col("a"), F.col("b"), num, den)
     )
     met = probe.join(index, (F.col("t") == F.col("token")) & meet).select("x", "y", "a", "b", "l").distinct()
     within = lambda own, n, closed: F.slice(own, 1, F.greatest((F.col(n) - alpha + F.col("l")).cast("int") - F.col(closed), F.lit(0)))

@@ -739,3 +739,19 @@ def test_substring_dedup_divides_crowded_triggers(spark, monkeypatch):
     assert got == brute_repeats(own)
     counts = [d.count() for name, d in made if name in ("contexts", "halves")]
     assert len(counts) > 3 and counts[1] <= 2 * counts[0], "entries are halved, not listed string by string"
+
+
+def test_jaccard_tells_near_copies_apart_where_they_meet(spark):
+    rng = random.Random(7)
+    base, rows = [f"w{rng.randrange(10**6)}" for _ in range(150)], []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(0, 150, 6), 3 if i else 0):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    sets = jaccard_join.sets_of(spark.createDataFrame(rows, "doc_id long, text string"), 5).withColumn("node", F.monotonically_increasing_id()).cache()
+    pairs = jaccard_join._across(sets, spark.createDataFrame([], "node long, component long"), 80, 100)
+    own = {r.node: set(r.tokens) for r in sets.collect()}
+    want = {(max(a, b), min(a, b)) for a in own for b in own if a < b and 180 * len(own[a] & own[b]) >= 80 * (len(own[a]) + len(own[b]))}
+    got = {(max(p.src, p.dst), min(p.src, p.dst)) for p in pairs.collect()}
+    assert want <= got and len(want) < 1000 and len(got) <= 1.3 * len(want) + 30
