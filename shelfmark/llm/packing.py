@@ -73,28 +73,26 @@ class Encoder:
         if len(self.known) > self.most:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
-        stems = [w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w for w in words]
+        found = list(map(known.get, words))
+        left = [i for i, ids in enumerate(found) if ids is None and words[i]]
+        stems = [w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w for w in map(words.__getitem__, left)]
         new = {s for s in [*stems, ".", ","] if s not in known}
         met = new & before.keys()
         known.update((s, before[s]) for s in met)
         self._learn(list(new - met), known)
-        return [known[s] if len(s) == len(w) else known[s] + known[w[-1]] for s, w in zip(stems, words, strict=True)]
+        for i, s in zip(left, stems, strict=True):
+            w = words[i]
+            found[i] = known[s] if len(s) == len(w) else known[s] + known[w[-1]]
+        return [b"" if ids is None else ids for ids in found]
 
-    def _split(self, texts: list[str]) -> list[np.ndarray]:
+    def _split(self, texts: list[str]) -> list[bytes]:
         """Ids of texts whose only white space is blank, tab, line feed and carriage return, in lower case already."""
         words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         ends, coded = words.offsets.to_numpy(), pc.dictionary_encode(words.flatten())
-        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        blank = distinct.index("") if "" in distinct else -1
-        found = self._ids([w for w in distinct if w])
-        if blank >= 0:
-            found.insert(blank, b"")
-        flat = np.frombuffer(b"".join(found), "<u4")
-        size = np.array(list(map(len, found)), np.int64) // 4
-        start, n = (np.cumsum(size) - size)[at], size[at]
-        stop = np.cumsum(n)
-        ids = flat[np.repeat(start - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
-        return np.split(ids, np.concatenate(([0], stop))[ends[1:-1] - ends[0]])
+        found = pa.array(self._ids(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        _, at, flat = found.buffers()
+        at, flat = np.frombuffer(at, np.int64, len(found) + 1), memoryview(flat or b"")
+        return [bytes(flat[a:z]) for a, z in itertools.pairwise(at[ends - ends[0]].tolist())]
 
     def _cut(self, text: str) -> list[str]:
         """Pieces of about ``piece`` characters, cut before blanks."""
@@ -113,7 +111,7 @@ class Encoder:
 
         def flush() -> None:
             for i, ids in zip(owner, self._split(some) if some else [], strict=True):
-                out[i].append(ids.tobytes())
+                out[i].append(ids)
             some.clear()
             owner.clear()
 
@@ -128,7 +126,7 @@ class Encoder:
                 some.append(part)
                 owner.append(i)
                 size += len(part)
-                if size > 2 * self.piece:
+                if size > 4 * self.piece:
                     flush()
                     size = 0
         flush()
