@@ -12,6 +12,7 @@ no rows; a null identifier is kept as null; further columns are ignored.
 from __future__ import annotations
 
 import itertools
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -37,16 +38,17 @@ _ODD_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u200
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    The vocabulary drops white space, so no token spans it: the ids of a text are those of its words between blanks. The
-    distinct words of some texts are found at once, and those not met lately are encoded, together where they are letters.
-    Words are remembered in two halves of ``most`` entries (some 30 MB each); when one is full, the other, with the words not
-    met since, is forgotten. Longer texts than ``piece`` are cut at blanks.
+    The vocabulary drops white space, so no token spans it: the ids of a text are those of its words between blanks. Signs
+    after a word's last letter make tokens of their own, so a word is looked up in two parts. The distinct parts of some texts
+    are looked up at once in Arrow arrays, and those not met lately are encoded, together where they are letters. At most
+    ``most`` parts are remembered (some 50 bytes each) between calls; when there are more, the half met last stays. Longer
+    texts than ``piece`` are cut at blanks.
     """
 
-    def __init__(self, path: str, closing_id: int = 1, most: int = 150_000, piece: int = 1_000_000) -> None:
+    def __init__(self, path: str, closing_id: int = 1, most: int = 500_000, piece: int = 1_000_000) -> None:
         (self.tokenizer, self.last), self.most, self.piece = _tokenizer(path), most, piece
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.parts, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.met, self.turn = np.zeros(0, np.int64), 0
         self.closing = closing_id.to_bytes(4, "little")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -63,35 +65,38 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * z] for a, z in itertools.pairwise([0, *ends.tolist()])]
 
-    def _learn(self, words: list[str], known: dict[str, bytes]) -> None:
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        found: dict[str, bytes] = {}
         for own, encode in (([w for w in words if w.isalpha()], self._letters), ([w for w in words if not w.isalpha()], self._whole)):
             for i in range(0, len(own), 10_000):
-                known.update(zip(own[i : i + 10_000], encode(own[i : i + 10_000]), strict=True))
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """A full stop or comma after a word's last letter is a token of its own."""
-        if len(self.known) > self.most:
-            self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        found = list(map(known.get, words))
-        left = [i for i, ids in enumerate(found) if ids is None and words[i]]
-        stems = [w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w for w in map(words.__getitem__, left)]
-        new = {s for s in [*stems, ".", ","] if s not in known}
-        met = new & before.keys()
-        known.update((s, before[s]) for s in met)
-        self._learn(list(new - met), known)
-        for i, s in zip(left, stems, strict=True):
-            w = words[i]
-            found[i] = known[s] if len(s) == len(w) else known[s] + known[w[-1]]
-        return [b"" if ids is None else ids for ids in found]
+                found.update(zip(own[i : i + 10_000], encode(own[i : i + 10_000]), strict=True))
+        return [found[w] for w in words]
+
+    def _ids(self, parts: pa.Array) -> pa.Array:
+        """Ids of distinct parts of words."""
+        at = pc.fill_null(pc.index_in(parts, value_set=self.parts), -1).to_numpy().copy()
+        new = parts.filter(pa.array(at < 0))
+        at[at < 0] = np.arange(len(new)) + len(self.parts)
+        if len(new):
+            self.parts = pa.concat_arrays([self.parts, new])
+            self.ids = pa.concat_arrays([self.ids, pa.array(self._encoded(new.to_pylist()), pa.large_binary())])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.turn += 1
+        self.met[at] = self.turn
+        found = self.ids.take(pa.array(at))
+        if len(self.parts) > self.most:
+            stay = pa.array(np.argsort(-self.met, kind="stable")[: self.most // 2])
+            self.parts, self.ids, self.met = self.parts.take(stay), self.ids.take(stay), self.met[stay]
+        return found
 
     def _split(self, texts: list[str]) -> list[bytes]:
         """Ids of texts whose only white space is blank, tab, line feed and carriage return, in lower case already."""
         words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         ends, coded = words.offsets.to_numpy(), pc.dictionary_encode(words.flatten())
-        found = pa.array(self._ids(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
-        _, at, flat = found.buffers()
-        at, flat = np.frombuffer(at, np.int64, len(found) + 1), memoryview(flat or b"")
+        parts = pc.dictionary_encode(_parts(coded.dictionary))
+        at, flat = _buffers(self._ids(parts.dictionary).take(parts.indices))
+        found = pa.Array.from_buffers(pa.large_binary(), len(coded.dictionary), [None, pa.py_buffer(at[::2].copy()), flat])
+        at, flat = _buffers(found.take(coded.indices))
         return [bytes(flat[a:z]) for a, z in itertools.pairwise(at[ends - ends[0]].tolist())]
 
     def _cut(self, text: str) -> list[str]:
@@ -126,13 +131,29 @@ class Encoder:
                 some.append(part)
                 owner.append(i)
                 size += len(part)
-                if size > 4 * self.piece:
+                if size > 8 * self.piece:
                     flush()
                     size = 0
         flush()
         return [b"".join([*own, self.closing]) for own in out]
 
 
+def _buffers(array: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """Offsets and bytes of an array of long texts or binaries."""
+    _, at, flat = array.buffers()
+    return np.frombuffer(at, np.int64)[array.offset : array.offset + len(array) + 1], flat or pa.py_buffer(b"")
+
+
+def _parts(words: pa.Array) -> pa.Array:
+    """Of every word its letters and the ASCII signs after them, in turn; of words that are not so, all and nothing."""
+    letters = pc.ascii_rtrim(words, characters=string.punctuation)
+    length = pc.if_else(pc.utf8_is_alpha(letters), pc.binary_length(letters), pc.binary_length(words)).to_numpy()
+    at, flat = _buffers(words)
+    cuts = np.empty(2 * len(words) + 1, np.int64)
+    cuts[::2], cuts[1::2] = at, at[:-1] + length
+    return pa.Array.from_buffers(pa.large_string(), 2 * len(words), [None, pa.py_buffer(cuts), flat])
+
+
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -246,8 +267,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, open_windows: int
         part, encode = TaskContext.get().partitionId(), encoder(tokenizer, closing_id).encode
         packer = Packer(window, open_windows, _first_id(0, part), part)
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                some = b.slice(i, 1000)
+            for i in range(0, b.num_rows, 2000):
+                some = b.slice(i, 2000)
                 for doc, ids in zip(some.column("doc_id").to_pylist(), encode(some.column("text").to_pylist()), strict=True):
                     packer.add(doc, 0, len(ids) // 4, ids)
                 yield packer.take()

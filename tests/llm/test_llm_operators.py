@@ -370,6 +370,17 @@ def test_encoder_equals_the_tokenizer(tokenizer):
     assert encoder.encode([None, ""]) == [(1).to_bytes(4, "little")] * 2 and encoder.encode([]) == []
 
 
+def test_encoder_takes_letters_once_whatever_signs_follow(tokenizer, monkeypatch):
+    encoder, sent = packing.Encoder(tokenizer), []
+    whole, letters = encoder._whole, encoder._letters
+    monkeypatch.setattr(encoder, "_whole", lambda words: sent.extend(words) or whole(words))
+    monkeypatch.setattr(encoder, "_letters", lambda words: sent.extend(words) or letters(words))
+    texts = ["été word!! word%%% word. Word,,, word", "word?! a1!! 'word' été&&& !!"]
+    for _ in range(2):
+        encoder.encode(texts)
+    assert sorted(sent) == sorted({"", "word", "!!", "%%%", ".", ",,,", "?!", "a1!!", "'word'", "été", "&&&"})
+
+
 def test_packing_round_trip(docs, rows, tokenizer):
     from tokenizers import Tokenizer
 
