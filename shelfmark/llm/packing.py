@@ -49,6 +49,8 @@ class Encoder:
         (self.tokenizer, self.last), self.most, self.piece = _tokenizer(path), most, piece
         self.parts, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.met, self.turn = np.zeros(0, np.int64), 0
+        # these are met in the text as it stands, so one in capitals is none; texts with any are encoded whole
+        self.added = [token.content.lower() for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.closing = closing_id.to_bytes(4, "little")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -124,10 +126,12 @@ class Encoder:
             text = text or ""
             plain = text.isascii()
             odd = any(c in text for c in _ODD_ASCII) or not plain and any(c in text for c in _ODD_WIDE)
+            low = text.lower()
+            odd |= any(token in low for token in self.added)
             if odd or not plain and ("\u03a3" in text or not unicodedata.is_normalized("NFC", text)):
                 out[i] = self._whole([text])
                 continue
-            for part in self._cut(text.lower()):
+            for part in self._cut(low):
                 some.append(part)
                 owner.append(i)
                 size += len(part)

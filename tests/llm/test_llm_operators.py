@@ -381,6 +381,15 @@ def test_encoder_takes_letters_once_whatever_signs_follow(tokenizer, monkeypatch
     assert sorted(sent) == sorted({"", "word", "!!", "%%%", ".", ",,,", "?!", "a1!!", "'word'", "été", "&&&"})
 
 
+def test_encoder_takes_special_tokens_as_they_stand(tokenizer):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer)
+    texts = ["a <|STARTOFTEXT|> b", "a <|startoftext|> b", "<|EndOfText|>", "ab<|endoftext|>.,", "<|endoftext"]
+    got = packing.Encoder(tokenizer).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
 def test_packing_round_trip(docs, rows, tokenizer):
     from tokenizers import Tokenizer
 
