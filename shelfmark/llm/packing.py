@@ -276,6 +276,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, open_windows: int
                 for doc, ids in zip(some.column("doc_id").to_pylist(), encode(some.column("text").to_pylist()), strict=True):
                     packer.add(doc, 0, len(ids) // 4, ids)
                 yield packer.take()
+                pa.default_memory_pool().release_unused()  # else each worker keeps what its largest texts took
         packer.leave()
         yield packer.take()
 

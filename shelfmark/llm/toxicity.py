@@ -15,17 +15,21 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.scratch import staged
 
 WINDOW, STRIDE = 32, 24
+#: Words and windows of which what is made on the way is held at once.
+BLOCK = 8192
 BUCKETS, EMBED, HIDDEN = 4096, 16, 16
 #: Parts of the sample scored by networks fitted without them, and the score of the logit that parts the classes best.
 FOLDS, CUT = 3, 0.7
@@ -37,27 +41,35 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Vocabulary:
-    """Distinct words of some texts with their word bucket and character trigram buckets."""
+    """Distinct words of some texts with their word bucket and character trigram buckets; what is made on the way is of ``BLOCK`` words at most."""
 
     def __init__(self, words: list[str]) -> None:
-        raw = np.frombuffer(("".join(f" {w} " for w in words) + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-        blanks = np.flatnonzero(raw == 32)[: 2 * len(words)]
-        before, after = blanks[::2], blanks[1::2]
-        self.size = after - before  # trigrams start at the blank before a word and at each of its bytes
+        parts = [_buckets(words[i : i + BLOCK]) for i in range(0, len(words), BLOCK)] or [_buckets([])]
+        self.size, self.grams, self.word = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.first = np.cumsum(self.size) - self.size
-        own = np.ones(max(0, len(raw) - 2), bool)
-        own[after[:-1]] = False  # those that start behind a word depend on the next one
-        code = ((raw[:-2] * np.uint32(65599) + raw[1:-1] * np.uint32(257) + raw[2:]) * np.uint32(2654435761))[own]
-        self.grams = (code >> np.uint32(20)).astype(np.int32)
-        mixed = code * (2 * _ranges(self.size).astype(np.uint32) * np.uint32(40503) + np.uint32(1))
-        whole = np.add.reduceat(mixed, self.first).astype(np.uint32) if words else np.zeros(0, np.uint32)
-        self.word = (whole * np.uint32(2246822519) >> np.uint32(20)).astype(np.int32)
 
     def inputs(self, net: "Network") -> np.ndarray:
-        if not len(self.first):
-            return np.zeros((0, 2 * EMBED), np.float32)
-        sums = np.add.reduceat(net.p["chars"][self.grams], self.first, axis=0)
-        return np.concatenate([net.p["words"][self.word], sums / self.size[:, None]], 1).astype(np.float32)
+        out = np.empty((len(self.size), 2 * EMBED), np.float32)
+        for i in range(0, len(out), BLOCK):
+            first, size = self.first[i : i + BLOCK], self.size[i : i + BLOCK]
+            sums = np.add.reduceat(net.p["chars"][self.grams[first[0] : first[-1] + size[-1]]], first - first[0], axis=0)
+            out[i : i + BLOCK, :EMBED] = net.p["words"][self.word[i : i + BLOCK]]
+            out[i : i + BLOCK, EMBED:] = sums / size[:, None]
+        return out
+
+
+def _buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word the number of its trigrams, their buckets and its own bucket."""
+    raw = np.frombuffer(("".join(f" {w} " for w in words) + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+    blanks = np.flatnonzero(raw == 32)[: 2 * len(words)]
+    before, after = blanks[::2], blanks[1::2]
+    size = after - before  # trigrams start at the blank before a word and at each of its bytes
+    own = np.ones(max(0, len(raw) - 2), bool)
+    own[after[:-1]] = False  # those that start behind a word depend on the next one
+    code = ((raw[:-2] * np.uint32(65599) + raw[1:-1] * np.uint32(257) + raw[2:]) * np.uint32(2654435761))[own]
+    mixed = code * (2 * _ranges(size).astype(np.uint32) * np.uint32(40503) + np.uint32(1))
+    whole = np.add.reduceat(mixed, np.cumsum(size) - size).astype(np.uint32) if words else np.zeros(0, np.uint32)
+    return size, (code >> np.uint32(20)).astype(np.int32), (whole * np.uint32(2246822519) >> np.uint32(20)).astype(np.int32)
 
 
 def windows_of(texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -70,12 +82,14 @@ def windows_of(texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarra
 def _windows(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begins = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, int)
     counts = np.maximum(1, -(-(sizes - WINDOW) // STRIDE) + 1)
-    owner = np.repeat(np.arange(len(sizes)), counts)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = nth[:, None] * STRIDE + np.arange(WINDOW)
-    inside = at < sizes[owner][:, None]
-    index = np.where(inside, at + begins[owner][:, None], 0)
-    return np.where(inside, flat[index] if len(flat) else 0, -1).astype(np.int32), owner
+    out = np.full((len(owner), WINDOW), -1, np.int32)
+    for i in range(0, len(owner), BLOCK):
+        at, who = nth[i : i + BLOCK, None] * STRIDE + np.arange(WINDOW), owner[i : i + BLOCK]
+        inside = at < sizes[who][:, None]
+        out[i : i + BLOCK][inside] = flat[(at + begins[who][:, None])[inside]]
+    return out, owner
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -117,11 +131,16 @@ class Network:
 
     def logits(self, inputs: np.ndarray, index: np.ndarray, chunk: int = 2048) -> np.ndarray:
         """One logit per row of ``index``, whose entries are rows of ``inputs`` or -1."""
-        ready = {d: np.vstack([inputs @ self.p["x" + d] + self.p["i" + d], self.p["i" + d][None]]) for d in "fb"}
-        out = np.empty(len(index), np.float32)
+        out, place = np.empty(len(index), np.float32), np.zeros(len(inputs) + 1, np.int32)
         for i in range(0, len(index), chunk):
             part = index[i : i + chunk].T
             mask = (part >= 0).astype(np.float32)
+            met = np.zeros(len(place), bool)
+            met[part] = True  # the last entry stands for -1
+            used = np.flatnonzero(met[:-1])
+            place[used], place[-1] = np.arange(len(used)), len(used)
+            ready = {d: np.vstack([inputs[used] @ self.p["x" + d] + self.p["i" + d], self.p["i" + d][None]]) for d in "fb"}
+            part = place[part]
             states = [self._run(ready[d][part], mask, d, None) for d in "fb"]
             out[i : i + chunk] = self._pool(np.concatenate(states, 2), mask)[3]
         return out
@@ -188,24 +207,42 @@ def text_logits(net: Network, texts: list[list[str]]) -> np.ndarray:
     return out
 
 
-def _part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One fit on the sample: without fold ``key``, with the highest logit of each text in it, or on all for ``FOLDS``."""
-    got = sorted(zip(rows["toxic"].tolist(), rows["id"].tolist(), rows["text"].tolist(), strict=True))
-    toxic = np.array([r[0] for r in got])
+def _words(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Labels, distinct words, the number of each text's words and all words by number, whatever the order in which the texts come."""
     seen: dict[str, int] = {}
-    parts = [np.array([seen.setdefault(w, len(seen)) for w in words_of(r[2])], np.int32) for r in got]
-    index, owner = _windows(np.concatenate(parts), np.array([len(p) for p in parts]))
-    words, fold, top = list(seen), np.zeros(len(toxic), int), np.full(len(toxic), -np.inf)
-    del got, parts, seen
+    rows = []
+    for b in batches:
+        for toxic, id_, text in zip(b.column("toxic"), b.column("id"), b.column("text"), strict=True):
+            text = text.as_py()
+            own = np.array([seen.setdefault(w, len(seen)) for w in words_of(text)], np.int32)
+            rows.append((toxic.as_py(), id_.as_py(), hashlib.sha256(text.encode()).digest(), own))
+    rows.sort(key=lambda r: r[:3])
+    flat = np.concatenate([r[3] for r in rows])
+    first = np.full(len(seen), len(flat))
+    np.minimum.at(first, flat, np.arange(len(flat)))
+    order, known = np.argsort(first), list(seen)  # words are numbered as they are met in the sorted texts
+    number = np.empty(len(seen), np.int32)
+    number[order] = np.arange(len(seen))
+    return np.array([r[0] for r in rows]), [known[w] for w in order], np.array([len(r[3]) for r in rows]), number[flat]
+
+
+def _part(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One fit on the sample: without fold ``key``, with the highest logit of each text in it, or on all for ``FOLDS``."""
+    part = key[0].as_py()
+    toxic, words, sizes, flat = _words(batches)
+    index, owner = _windows(flat, sizes)
+    del flat
+    pa.default_memory_pool().release_unused()  # of the texts
+    fold, top = np.zeros(len(toxic), int), np.full(len(toxic), -np.inf)
     for label in (0, 1):
         fold[toxic == label] = np.arange((toxic == label).sum()) % FOLDS
-    held = fold == key[0] if key[0] < FOLDS else np.ones(len(toxic), bool)
-    used = ~held if key[0] < FOLDS else held
+    held = fold == part if part < FOLDS else np.ones(len(toxic), bool)
+    used = ~held if part < FOLDS else held
     if len(set(toxic[used])) < 2:
-        return pd.DataFrame(columns=["part", "network", "fold", "toxic", "top"], dtype=object)
-    net = _fitted(words, index[used[owner]], owner[used[owner]], toxic, *((200,) if key[0] < FOLDS else ()), seed=3 + (key[0] + 1) % (FOLDS + 1))
+        return
+    net = _fitted(words, index[used[owner]], owner[used[owner]], toxic, *((200,) if part < FOLDS else ()), seed=3 + (part + 1) % (FOLDS + 1))
     np.maximum.at(top, owner[held[owner]], net.logits(Vocabulary(words).inputs(net), index[held[owner]]))
-    return pd.DataFrame({"part": [key[0]], "network": [pickle.dumps(net)], "fold": [fold[held]], "toxic": [toxic[held]], "top": [top[held]]})
+    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "network": [pickle.dumps(net)], "fold": pa.array([fold[held]], pa.list_(pa.int32())), "toxic": pa.array([toxic[held]], pa.list_(pa.int32())), "top": pa.array([top[held]], pa.list_(pa.float64()))})
 
 
 def _fitted(words: list[str], index: np.ndarray, owner: np.ndarray, toxic: np.ndarray, steps: int = 600, batch: int = 96, rate: float = 0.01, drop: float = 0.15, decay: float = 0.02, seed: int = 3) -> Network:
@@ -293,7 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_bytes: i
     rows = staged(rows.filter(F.col("bytes") <= most_bytes).select("toxic", "id", "text"), "toxicity-sample")
     counts = dict(labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("toxic").cast("int")).count().collect())
     parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).groupBy("part")
-    fits = {r["part"]: r for r in parts.applyInPandas(_part, "part int, network binary, fold array<int>, toxic array<int>, top array<double>").collect()}
+    fits = {r["part"]: r for r in parts.applyInArrow(_part, "part int, network binary, fold array<int>, toxic array<int>, top array<double>").collect()}
     if FOLDS not in fits:
         return None
     net, whole = pickle.loads(fits[FOLDS]["network"]), fits[FOLDS]
@@ -316,23 +353,21 @@ def score_rows(docs: DataFrame, net: Network | None, name: str = "toxicity") ->
     return docs.withColumn(name, scorer(docs.sparkSession, net)("text"))
 
 
-def scorer(spark: SparkSession, net: Network | None) -> Callable[[str], Column]:
-    """A function of a column of texts that gives their scores."""
+def scorer(spark: SparkSession, net: Network | None, most_bytes: int = 1_000_000) -> Callable[[str], Column]:
+    """A function of a column of texts that gives their scores; texts of ``most_bytes`` are scored at once, or a longer one."""
     shared = spark.sparkContext.broadcast(net)  # about 0.6 MB, fixed by BUCKETS, EMBED and HIDDEN
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = shared.value
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b]
-            out, i = np.zeros(len(texts)), 0
-            while i < len(texts) and net is not None:
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) < 3_000_000):
-                    size += len(texts[j])
-                    j += 1
-                out[i:j] = net.score(text_logits(net, [words_of(t) for t in texts[i:j]]))
+            out, i = np.zeros(len(b)), 0
+            sizes = pc.fill_null(pc.binary_length(b), 0).to_numpy(zero_copy_only=False)
+            while i < len(b) and net is not None:
+                j = max(i + 1, i + int(np.searchsorted(np.cumsum(sizes[i:]), most_bytes)))
+                out[i:j] = net.score(text_logits(net, [words_of(t) for t in b.slice(i, j - i).to_pylist()]))
                 i = j
-            yield pd.Series(out)
+            yield pa.array(out)
+            pa.default_memory_pool().release_unused()  # else each worker keeps the largest batches that it met
 
     return run

@@ -7,9 +7,11 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -708,6 +710,33 @@ def test_toxicity_does_not_depend_on_neighbours():
     assert np.allclose(toxicity.text_logits(net, texts), alone, atol=1e-5) and np.allclose(toxicity.text_logits(net, texts[::-1])[::-1], alone, atol=1e-5)
 
 
+def test_toxicity_memory_is_bounded(monkeypatch):
+    """What is made on the way from words to logits is of some blocks only, and the blocks do not matter."""
+    words, net = [f"{i:015d}" for i in range(100_000)], toxicity.Network()
+    index, _ = toxicity._windows(np.arange(len(words), dtype=np.int32), np.array([len(words)]))
+    tracemalloc.start()
+    vocabulary = toxicity.Vocabulary(words)
+    inputs = vocabulary.inputs(net)
+    net.logits(inputs, index, chunk=256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * sum(x.nbytes for x in (inputs, vocabulary.grams, vocabulary.word, vocabulary.size, vocabulary.first))
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    assert np.array_equal(toxicity.Vocabulary(words[:5000]).inputs(net), inputs[:5000])
+    assert np.array_equal(toxicity._windows(np.arange(3000, dtype=np.int32), np.array([900, 0, 2100]))[0][:38], toxicity._windows(np.arange(900, dtype=np.int32), np.array([900]))[0])
+
+
+def test_toxicity_sample_in_any_order():
+    """The sample is read the same however its texts come."""
+    rows = [{"toxic": i % 2, "id": i // 3, "text": t} for i, t in enumerate(["b a", "", "c b a b", "a", "e d", "b a", "f"])]
+    read = lambda some: toxicity._words(pa.RecordBatch.from_pylist([r]) for r in some)
+    toxic, words, sizes, flat = read(rows)
+    assert toxic.tolist() == sorted(r["toxic"] for r in rows) and sorted(words) == list("abcdef") and sizes.sum() == len(flat) == 12
+    for other in (rows[::-1], rows[3:] + rows[:3]):
+        got = read(other)
+        assert got[1] == words and all(np.array_equal(got[k], x) for k, x in ((0, toxic), (2, sizes), (3, flat)))
+
+
 def test_windows_cover_whole_texts():
     texts = [[str(i) for i in range(n)] for n in (0, 1, 32, 33, 56, 57, 1000)]
     words, index, owner = toxicity.windows_of(texts)
