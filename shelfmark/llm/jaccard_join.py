@@ -89,6 +89,13 @@ def text_key(text: Column) -> Column:
 _ROW = pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("digest", pa.binary()), ("text_key", pa.binary())])
 
 
+def _pieces(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batch some rows at a time; what Arrow freed meanwhile goes back, else each worker keeps the most it ever took."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def postings(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Three kinds of rows, ``token, key, k, row``; ``key`` is the head of the digest of a set.
 
@@ -120,7 +127,7 @@ def postings(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, keys, held = [], [], 0
-        for b in batches:
+        for b in (part for whole in batches for part in _pieces(whole)):
             texts = b.column("text").to_pylist()
             rows = []
             for doc, text, own in zip(b.column("doc_id").to_pylist(), texts, shingle_sets(texts, words), strict=True):
@@ -167,16 +174,14 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     """``digest, n, tokens, bits``: the whole sets of the documents' texts, and their parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for i in range(0, len(texts), 500):
-                own = list(shingle_sets(texts[i : i + 500], words))
-                sizes = np.array(list(map(len, own)), np.int64)
-                flat = np.concatenate(own)
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat.astype(np.int64)))
-                digests = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in own], pa.binary())
-                bits = pa.StructArray.from_arrays([pa.array(c) for c in parities(sizes, flat).T], _WORDS)
-                yield pa.RecordBatch.from_arrays([digests, pa.array(sizes), tokens, bits], ["digest", "n", "tokens", "bits"])
+        for b in (part for whole in batches for part in _pieces(whole)):
+            own = list(shingle_sets(b.column("text").to_pylist(), words))
+            sizes = np.array(list(map(len, own)), np.int64)
+            flat = np.concatenate(own)
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat.astype(np.int64)))
+            digests = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in own], pa.binary())
+            bits = pa.StructArray.from_arrays([pa.array(c) for c in parities(sizes, flat).T], _WORDS)
+            yield pa.RecordBatch.from_arrays([digests, pa.array(sizes), tokens, bits], ["digest", "n", "tokens", "bits"])
 
     bits = ", ".join(f"{c}: bigint" for c in _WORDS)
     return docs.select("text").mapInArrow(run, f"digest binary, n long, tokens array<long>, bits struct<{bits}>")

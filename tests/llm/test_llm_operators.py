@@ -710,6 +710,14 @@ def test_toxicity_does_not_depend_on_neighbours():
     assert np.allclose(toxicity.text_logits(net, texts), alone, atol=1e-5) and np.allclose(toxicity.text_logits(net, texts[::-1])[::-1], alone, atol=1e-5)
 
 
+def test_jaccard_join_reads_batches_in_pieces():
+    """A batch comes whole and in order, some rows at a time."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1201)), "text": ["a"] * 1201})
+    pieces = list(jaccard_join._pieces(batch))
+    assert [p.num_rows for p in pieces] == [500, 500, 201] and pa.Table.from_batches(pieces).to_pydict() == batch.to_pydict()
+    assert list(jaccard_join._pieces(batch.slice(0, 0))) == []
+
+
 def test_toxicity_memory_is_bounded(monkeypatch):
     """What is made on the way from words to logits is of some blocks only, and the blocks do not matter."""
     words, net = [f"{i:015d}" for i in range(100_000)], toxicity.Network()
