@@ -3,11 +3,12 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import times
-from shelfmark.operators import dedup, paging, prefs, similar, stats, tracks
+from shelfmark.operators import dedup, near_links, paging, prefs, similar, stats, tracks
 from shelfmark.operators.components import connected_components
 from shelfmark.plans import actions
 from shelfmark.sources import catalog
@@ -109,6 +110,73 @@ def test_similar_groups_read_texts_once(spark):
     assert sorted((r.group_id, r.file_id) for r in found.collect()) == [(1, 1), (1, 2)]
 
 
+def _written(monkeypatch):
+    """Rows of each scratch table that ``similar`` writes from now on."""
+    sizes, write = {}, similar.staged
+
+    def counted(df, name, *by, **how):
+        out = write(df, name, *by, **how)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(similar, "staged", counted)
+    return sizes
+
+
+@pytest.mark.parametrize("spread", [8, 64])
+def test_similar_groups_of_a_crowd_write_no_list_of_pairs(spark, monkeypatch, spread):
+    """All pairs of a crowd are near; what is written grows with its hashes, in bands and where all are compared."""
+    crowd = [sum(1 << b * spread // 8 for b in c) for c in itertools.combinations_with_replacement(range(8), 2)]
+    rows = [(1, i, h ^ (k << 40)) for i, (h, k) in enumerate(itertools.product(sorted(set(crowd)), range(4)))]
+    sizes = _written(monkeypatch)
+    got = similar.similar_groups(spark.createDataFrame(rows, "task_id long, file_id long, h long"), 6).collect()
+    assert {(r.group_id, r.file_id) for r in got} == {(0, i) for _, i, _ in rows}
+    pairs = sum((a ^ b).bit_count() <= 6 for (*_, a), (*_, b) in itertools.combinations(rows, 2))
+    assert max(sizes.values()) <= 7 * len(rows) < pairs
+
+
+@pytest.mark.parametrize(("t", "run"), [(0, 8), (4, 8), (4, 10**6), (9, 8), (16, 8), (16, 50), (64, 8)])
+def test_components_of_runs_equal_all_pairs(spark, monkeypatch, t, run):
+    """Crowds in several blocks and in one run, in bands and all compared, of two tasks."""
+    r = random.Random(t)
+    base = [r.getrandbits(63) for _ in range(12)]
+    bits = {(n % 2, b ^ sum(1 << i for i in r.sample(range(40, 63), k % 7))) for n, b in enumerate(base) for k in range(20)}
+    rows = [(task, n, h) for n, (task, h) in enumerate(sorted(bits))] + [(1, 990, None), (None, 991, base[0]), (1, None, base[1] ^ 1)]
+    monkeypatch.setattr(similar, "RUN", run)
+    hashes = spark.createDataFrame(rows, "task_id long, file_id long, h long")
+    found = {x.node: x.component for x in similar.near_components(similar.hash_classes(hashes), t).collect()}
+    near = [(i, j) for (a, i, g), (b, j, h) in itertools.combinations(rows[:-3], 2) if a == b and (g ^ h).bit_count() <= t]
+    assert found == components(near) and (near or t == 0)
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_links_of_a_run_are_few_and_enough(monkeypatch, own):
+    """Tiles that do not fit evenly, hashes that begin in components; no link within what is linked already."""
+    monkeypatch.setattr(near_links, "ROWS", 3), monkeypatch.setattr(near_links, "COLUMNS", 8), monkeypatch.setattr(near_links, "STEP", 10)
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 6, dtype=np.uint64)
+    h = base[r.integers(0, 6, 100)] ^ (np.uint64(1) << r.integers(0, 64, 100, dtype=np.uint64))
+    h = np.concatenate([h, r.integers(0, 2**63, 11, dtype=np.uint64)])
+    label = np.where(r.random(len(h)) < 0.5, np.arange(len(h)), 50)
+    a, b = (h, h) if own else (h[:45], h[45:])
+    got = [(int(x), int(y)) for xs, ys in near_links.links(a, b, label, 4, own) for x, y in zip(xs, ys, strict=True)]
+    near = [(i, j) for i, j in itertools.combinations(range(len(h)), 2) if int(h[i] ^ h[j]).bit_count() <= 4 and (own or i < 45 <= j)]
+    want = components([(int(label[i]), int(label[j])) for i, j in near if label[i] != label[j]])
+    assert components(got) == want and len(got) == len(want) - len(set(want.values())) < len(near)
+
+
+def test_runs_go_on_in_the_next_batch():
+    import pyarrow as pa
+
+    rows = [(1, 0, 5, n, n, 0, h, 10 * n + h) for n in range(4) for h in range(n + 1)] + [(1, 0, 5, 4, 5, s, h, 100 + 10 * s + h) for s in range(2) for h in (0, 255)]
+    names = ["task_id", "k", "part", "lo", "hi", "side", "h", "label"]
+    for size in (1, 2, 3, 100):
+        batches = (pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows[i : i + size]]) for i in range(0, len(rows), size))
+        got = [tuple(x.values()) for batch in near_links.links_of_runs(batches, 2) for x in batch.to_pylist()]
+        assert components(got) == components([(10 * n, 10 * n + h) for n in range(4) for h in range(1, n + 1)] + [(100, 110), (355, 365)])
+    assert not list(near_links.links_of_runs(iter([]), 2))
+
+
 def _files(spark, rows):
     return spark.createDataFrame(rows, "task_id long, file_id long, file_path string, file_size long, has_exif boolean")
 
