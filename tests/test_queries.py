@@ -48,7 +48,7 @@ def test_no_plan_crosses_tables_or_uses_python(spark, name):
     assert "CartesianProduct" not in plan and "Python" not in plan and "Pandas" not in plan
 
 
-@pytest.mark.parametrize("name", ["near_text_summary"])
+@pytest.mark.parametrize("name", ["near_text_summary", "near_text_uncovered"])
 def test_near_texts_write_no_list_of_pairs(spark, tmp_path, monkeypatch, name):
     """All hashes of 200 texts are near each other; what the similar half writes grows with the texts, not with their pairs."""
     from pyspark.sql import functions as F
